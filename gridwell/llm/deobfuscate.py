@@ -139,14 +139,17 @@ def restore(text: str, model: CharModel, memo: dict | None = None) -> list[str]:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of word beginnings that the lexicon considers.
+STEMS = range(4, 8)
 
 
 def _features(text: str, model: CharModel, memo: dict) -> set[str]:
-    """Words (=word) and word beginnings (^stem) of the text and of what is restored."""
+    """Words (=word), word beginnings (^stem) and beginnings of two words or more (+stem), what is restored included."""
     words = set(_WORD.findall(text.lower())) | set(restore(text, model, memo))
     out = {"=" + w for w in words if len(w) >= 3}
-    for size in (4, 5, 6):
-        out |= {"^" + w[:size] for w in words if len(w) > size}
+    for size in STEMS:
+        stems = Counter(w[:size] for w in words if len(w) > size)
+        out |= {"^" + s for s in stems} | {"+" + s for s, n in stems.items() if n > 1}
     return out
 
 
@@ -185,7 +188,7 @@ def fit_lexicon(rows: list[tuple[str, int]], model: CharModel) -> tuple[dict[str
         out[best] = p
         left = [k for k in left if best not in pos[k]]
     for f in sorted(live):
-        if held[f] >= max(floor, len(pos) * 0.05) and neg[f] <= n_neg * 0.0005 and not any(f[1:].startswith(g[1:]) for g in out if g[0] == "^"):
+        if held[f] >= max(floor, len(pos) * 0.05) and neg[f] <= n_neg * 0.0005 and not any(f[1:].startswith(g[1:]) for g in out if g[0] != "="):
             out[f] = (held[f] + 0.5) / (held[f] + neg[f] + 1.0)
     base = min(0.25, (len(left) + 0.5) / (len(left) + n_neg + 1))
     return out, base
@@ -194,7 +197,7 @@ def fit_lexicon(rows: list[tuple[str, int]], model: CharModel) -> tuple[dict[str
 class Scorer:
     def __init__(self, lexicon: dict[str, float], base: float, model: CharModel):
         self.lexicon, self.base, self.model, self.memo = lexicon, base, model, {}
-        self.plain = {f: (f[1:], re.compile(r"(?<![^\W\d_])" + re.escape(f[1:]) + (r"(?![^\W\d_])" if f[0] == "=" else r"[^\W\d_]"))) for f in lexicon}
+        self.plain = {f: (f[1:], re.compile(r"(?<![^\W\d_])" + re.escape(f[1:]) + (r"(?![^\W\d_])" if f[0] == "=" else r"[^\W\d_]+"))) for f in lexicon}
 
     def score(self, text: str) -> float:
         low = text.lower()
@@ -202,7 +205,7 @@ class Scorer:
             low += "\n" + "\n".join(found)
         miss = 1 - self.base
         for f, (stem, pattern) in self.plain.items():
-            if stem in low and pattern.search(low):
+            if stem in low and (len(set(pattern.findall(low))) > 1 if f[0] == "+" else pattern.search(low)):
                 miss *= 1 - self.lexicon[f]
         return round(1 - miss, 9)
 
