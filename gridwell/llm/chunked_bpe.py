@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 2_000_000
 _WIDE = re.compile(r"\s ")
 _workers: dict = {}
 
@@ -33,49 +33,70 @@ class SpacePieces:
     """
 
     def __init__(self, path: str):
-        self.tok, self.table = tokenizer(path), {}
+        self.tok, self.table = tokenizer(path), {"": b""}
+        self.space = np.array(self.tok.encode(" ", add_special_tokens=False).ids, "<u2").tobytes()
+        self.marks = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u2").tobytes() for c in ".,;:!?"}
         size = self.tok.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
     def _learn(self, pieces: list[str]) -> None:
+        """Put pieces into the table; one that ends a known piece's letters with a mark is put together."""
         if len(self.table) + len(pieces) > TABLE_ROWS:
             self.table.clear()
-        step = 256
-        for enc, own in zip(self.tok.encode_batch([" " + " ".join(pieces[a : a + step]) for a in range(0, len(pieces), step)], add_special_tokens=False), (pieces[a : a + step] for a in range(0, len(pieces), step))):
-            ids = np.array(enc.ids, np.uint16)
+            self.table[""] = b""
+        table, step, plain, late = self.table, 64, [], []
+        for p in pieces:
+            if p[-1] in self.marks and p[-2:-1].isalpha():
+                late.append(p)
+            else:
+                plain.append(p)
+        known = set(plain)
+        plain += {b for p in late if (b := p[:-1]) not in table and b not in known}
+        parts = [plain[a : a + step] for a in range(0, len(plain), step)]
+        for enc, own in zip(self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), parts):
+            ids = np.array(enc.ids, "<u2")
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(own):  # a piece with an unusual start: one by one
                 for p in own:
-                    self.table[p] = np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, "<u2").tobytes()
+                    table[p] = np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, "<u2").tobytes()
                 continue
-            raw, ends = ids.astype("<u2").tobytes(), (np.append(cuts[1:], len(ids)) * 2).tolist()
-            self.table.update({p: raw[a:b] for p, a, b in zip(own, (cuts * 2).tolist(), ends)})
+            raw, cuts = ids.tobytes(), (cuts * 2).tolist()
+            table.update(zip(own, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+        for p in late:
+            table[p] = table[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _WIDE.search(t) else t.split(" ") for t in texts]
-        table = self.table
-        new = {p for s in split if s for p in s[1:] if p not in table}
-        new.discard("")
-        if new:
-            self._learn(sorted(new))
-            if missing := {p for s in split if s for p in s[1:] if p and p not in self.table}:
-                self._learn(sorted(missing))  # the table started anew
         whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
-        out = []
-        for t, s in zip(texts, split):
+        split = [None if _WIDE.search(t) else t.split(" ") for t in texts]
+        get, out, late = self.table.get, [None] * len(texts), []
+        for k, s in enumerate(split):
             if s is None:
-                out.append(whole(t))
+                out[k] = whole(texts[k])
                 continue
-            first = whole(s[0]) if s[0] else b""
+            head, s[0] = s[0], ""  # "" is a row without ids
+            found = list(map(get, s))
             if len(s) > 1 and not s[-1]:
-                s[-1:] = []
-                last = whole(" ")
-            else:
-                last = b""
+                found[-1] = self.space
+            found[0] = whole(head) if head else b""
+            gaps, at = [], -1
             try:
-                out.append(first + b"".join([table[p] for p in s[1:]]) + last)
-            except KeyError:  # more distinct pieces in one batch than the table holds
-                out.append(whole(t))
+                while True:
+                    at = found.index(None, at + 1)
+                    gaps.append(at)
+            except ValueError:
+                pass
+            if gaps:
+                late.append((k, found, gaps))
+            else:
+                out[k] = b"".join(found)
+        if late:
+            self._learn(list({split[k][at] for k, _, gaps in late for at in gaps}))
+            table = self.table
+            for k, found, gaps in late:
+                s = split[k]
+                for at in gaps:
+                    found[at] = table[s[at]]
+                out[k] = b"".join(found)
         return out

@@ -7,8 +7,10 @@ hold both their boundary lines, so each has two lines at least; a line of passag
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from gridwell.plans.runtime import materialize, small
@@ -17,6 +19,8 @@ from gridwell.plans.runtime import materialize, small
 LONG_LINE = 8
 #: Words that a run of repeated chunks needs to be removed; "passage length".
 MIN_WORDS = 50
+#: Bytes of the filter of repeated hashes that each task holds at most.
+BLOOM_BYTES = 64 << 20
 _MASK, _MUL = 1, 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -44,8 +48,12 @@ def chunks(text: str, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) ->
     return out
 
 
-def _rows(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Every chunk: (k1, k2) name its document, a and b its lines, h1 and h2 hash its bytes."""
+def _rows(docs: DataFrame, bloom: Broadcast | None = None) -> DataFrame:
+    """Every chunk: (k1, k2) name its document, a and b its lines, h1 and h2 hash its bytes.
+
+    With a filter only the chunks that it may hold, and their bytes as `raw`.
+    """
+    with_text = bloom is not None
 
     def run(batches):
         for batch in batches:
@@ -61,11 +69,49 @@ def _rows(docs: DataFrame, with_text: bool) -> DataFrame:
                             c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 arrays = [pa.array(c, k) for c, k in zip(cols, kinds)][: 7 if with_text else 6]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "a", "b", "h1", "h2", "raw"][: len(arrays)])
+                out = pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "a", "b", "h1", "h2", "raw"][: len(arrays)])
+                yield out.filter(pa.array(bloom.value.has(np.array(cols[4], np.int64), np.array(cols[5], np.int64)))) if with_text else out
 
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, a int, b int, h1 long, h2 long" + ", raw string" * with_text)
 
 
+class Bloom:
+    """Blocked Bloom filter of 128-bit hashes: the first half names a block, three slices of the second a bit each."""
+
+    BLOCK = 19  # log2 of a block's bits
+
+    def __init__(self, blocks: np.ndarray):
+        self.blocks = blocks
+
+    @classmethod
+    def bits(cls, h2: np.ndarray) -> np.ndarray:
+        return np.stack([h2.view(np.uint64) >> np.uint64(k * cls.BLOCK) & np.uint64((1 << cls.BLOCK) - 1) for k in range(3)]).astype(np.int64)
+
+    def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        if not len(h1):
+            return np.zeros(0, bool)
+        block, at = h1 & (len(self.blocks) - 1), self.bits(h2)
+        return np.logical_and.reduce([self.blocks[block, b >> 3] >> (b & 7).astype(np.uint8) & 1 for b in at]).astype(bool)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bloom:
+        """About 16 bits a hash, BLOOM_BYTES at most. Beyond that more chunks pass it; the result stays the same."""
+        n = 1
+        while n << cls.BLOCK < 16 * hashes.count() and (2 * n << cls.BLOCK) // 8 <= BLOOM_BYTES:
+            n *= 2
+
+        def build(group: pa.Table) -> pa.Table:
+            bits = np.zeros(1 << cls.BLOCK, bool)
+            bits[cls.bits(group.column("h2").to_numpy()).ravel()] = True
+            return pa.table({"block": group.column("block").slice(0, 1), "raw": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        blocks = np.zeros((n, (1 << cls.BLOCK) // 8), np.uint8)
+        named = hashes.select(F.col("h1").bitwiseAND(F.lit(n - 1)).cast("int").alias("block"), "h2")
+        for block, raw in named.groupBy("block").applyInArrow(build, "block int, raw binary").toLocalIterator():
+            blocks[block] = np.frombuffer(raw, np.uint8)
+        return cls(blocks)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k1"), F.xxhash64("text").alias("k2"), "text").filter("text is not null and text <> ''")
 
@@ -73,14 +119,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(k1, k2, spans): line spans of each document that repeat a chunk seen in an earlier place, compared byte by byte.
 
-    Places are ordered by doc_id (null last), text hash and line. Hash counts find the chunks that may repeat; only their
-    bytes are shuffled, and grouped by the bytes themselves with partial aggregation, so a chunk that a third of all
+    Places are ordered by doc_id (null last), text hash and line. Hash counts find the chunks that may repeat; a bounded
+    Bloom filter of them goes to the tasks, so that only bytes of such chunks are shuffled. They are grouped by the bytes themselves with partial aggregation, so a chunk that a third of all
     documents hold is one row a task.
     """
     keyed = _keyed(docs)
-    once = _rows(keyed, False).select("k1", "k2", "a", "b", "h1", "h2")
+    once = _rows(keyed)
     twice = materialize(once.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "line-hashes")
-    held = materialize(_rows(keyed, True).join(small(twice), ["h1", "h2"], "left_semi"), "line-chunks")
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(twice))
+    held = materialize(_rows(keyed, bloom), "line-chunks")
     place = F.struct("k1", "k2", "a")
     first = held.groupBy("h1", "h2", "raw").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "raw", "first")
     later = held.join(first, ["h1", "h2", "raw"]).filter(place != F.col("first"))

@@ -18,9 +18,9 @@ def _planes(ids: np.ndarray, levels: int):
     """Bit-planes from the most significant bit on; each level is stably parted by the bits above it."""
     for shift in range(levels - 1, -1, -1):
         bit = ((ids >> shift) & 1).astype(bool)
-        zeros = ids[~bit]
+        zeros = ids.compress(~bit)
         yield bit, len(zeros)
-        ids = np.concatenate([zeros, ids[bit]])
+        ids = np.concatenate([zeros, ids.compress(bit)])
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int = 16) -> bytes:
@@ -130,7 +130,7 @@ class WaveletFile:
             raw = b"".join(self.undo.decompress(self.data[int(a) : int(b)]) for a, b in zip(self.starts[level][:-1], self.starts[level][1:]))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             out, z = np.empty_like(ids), self.zeros[level]
-            out[~bit] = ids[:z]
-            out[bit] = ids[z:] | ids.dtype.type(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = ids[:z]
+            out[np.flatnonzero(bit)] = ids[z:] | ids.dtype.type(1 << (self.levels - 1 - level))
             ids = out
         return ids

@@ -13,10 +13,12 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridwell.llm.chunked_bpe import TABLE_ROWS, tokenizer
+from gridwell.llm.chunked_bpe import tokenizer
 
 #: Characters that Python's split takes for white space and the tokenizer does not, and marks that join backwards.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Distinct words that a worker keeps; beyond it the table starts anew.
+TABLE_ROWS = 400_000
 _tables: dict = {}
 
 
