@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
 TABLE_ROWS = 2_000_000
-_WIDE = re.compile(r"\s ")
+#: White space before a space, in RE2.
+_WIDE = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 _workers: dict = {}
 
 
@@ -26,7 +28,7 @@ def tokenizer(path: str):
 
 
 class SpacePieces:
-    """ids of whole texts as little-endian uint16 bytes, for a byte-level BPE whose words take one leading space.
+    """ids of whole texts as uint16, for a byte-level BPE whose words take one leading space.
 
     Such a tokenizer always cuts between a non-space and the space after it, so `" piece"` encodes the same alone
     as in its text. Texts in which a space follows other white space are encoded whole.
@@ -67,36 +69,43 @@ class SpacePieces:
         for p in late:
             table[p] = table[p[:-1]] + self.marks[p[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ids of each text), with `end_id` after each text if it is given.
+
+        Arrow splits and numbers the distinct pieces, Python looks up only those, numpy puts ids back by position.
+        """
         whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
-        split = [None if _WIDE.search(t) else t.split(" ") for t in texts]
-        get, out, late = self.table.get, [None] * len(texts), []
-        for k, s in enumerate(split):
-            if s is None:
-                out[k] = whole(texts[k])
-                continue
-            head, s[0] = s[0], ""  # "" is a row without ids
-            found = list(map(get, s))
-            if len(s) > 1 and not s[-1]:
-                found[-1] = self.space
-            found[0] = whole(head) if head else b""
-            gaps, at = [], -1
-            try:
-                while True:
-                    at = found.index(None, at + 1)
-                    gaps.append(at)
-            except ValueError:
-                pass
-            if gaps:
-                late.append((k, found, gaps))
-            else:
-                out[k] = b"".join(found)
-        if late:
-            self._learn(list({split[k][at] for k, _, gaps in late for at in gaps}))
-            table = self.table
-            for k, found, gaps in late:
-                s = split[k]
-                for at in gaps:
-                    found[at] = table[s[at]]
-                out[k] = b"".join(found)
-        return out
+        n = len(texts)
+        if n == 0:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        wide = pc.match_substring_regex(texts, _WIDE)
+        heads = {k: whole(texts[k].as_py()) for k in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()}
+        if heads:
+            texts = pc.if_else(wide, "", texts)
+        split = pc.split_pattern(texts, " ")
+        cuts = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        found = list(map(self.table.get, distinct))
+        if None in found:
+            gaps = [k for k, f in enumerate(found) if f is None]
+            self._learn([distinct[k] for k in gaps])
+            for k in gaps:
+                found[k] = self.table[distinct[k]]
+        # the first piece of a text has no space before it, an empty last one is the space at the text's end
+        size = len(found)
+        found += [heads[k] if k in heads else whole(distinct[at[c]]) if distinct[at[c]] else b"" for k, c in enumerate(cuts[:-1].tolist())]
+        found += [self.space, b"" if end_id is None else np.array([end_id], "<u2").tobytes()]
+        last = cuts[1:] - 1
+        empty = distinct.index("") if "" in distinct else -1
+        at[last[(at[last] == empty) & (last > cuts[:-1])]] = size + n
+        at[cuts[:-1]] = size + np.arange(n)
+        at = np.insert(at, cuts[1:], size + n + 1)
+        cuts = cuts + np.arange(n + 1)
+        pool = np.frombuffer(b"".join(found), "<u2")
+        own = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        begin = np.cumsum(own) - own
+        sizes = own[at]
+        ends = np.cumsum(sizes)
+        ids = pool[np.arange(int(ends[-1])) + np.repeat(begin[at] - (ends - sizes), sizes)]
+        return ids, np.diff(np.append(0, ends[cuts[1:] - 1]))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,23 +16,22 @@ from gridwell.llm.chunked_bpe import SpacePieces
 from gridwell.llm.wavelet import WaveletFile, pack
 from gridwell.plans.runtime import fresh_path, materialize, partitions
 
-#: Ids after which a shard file ends with its document.
+#: Ids after which a shard file ends with its batch.
 SHARD_IDS = 4_000_000
-#: Characters that are encoded at once.
-BATCH_CHARS = 2_000_000
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 8_000_000
 _null_id = -(1 << 63)
 _encoders: dict = {}
 
 
-def _batches(texts: list, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield a, k + 1
-            a, size = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _batches(texts: pa.StringArray, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `size` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -40,7 +40,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     The manifest has a row for each file: path, part, seq, n_tokens, n_docs; (part, seq) is the order. Null texts
     count as empty, each document ends with `end_id`, so an empty one has that id alone. Null doc_ids come first.
     Documents that share a doc_id keep an order by text. An empty table gives no files. Other columns are ignored.
-    One range shuffle deals the documents; a shard is built in memory from `shard_ids` ids at most beyond one document.
+    One range shuffle deals the documents; a shard is built in memory from `shard_ids` ids at most beyond one batch.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
@@ -49,25 +49,25 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = SpacePieces(tokenizer_path)
         coder, part = _encoders[tokenizer_path], TaskContext.get().partitionId()
-        end, names, raws, seq, held = np.array([end_id], "<u2").tobytes(), [], [], 0, 0
+        ids, names, sizes, seq, held = [], [], [], 0, 0
 
         def flush():
-            path = f"{folder}/part-{part:06d}-{seq:05d}.wvm"
-            write_blob(path, pack(np.frombuffer(b"".join(raws), "<u2"), np.array(names, np.int64), np.array([len(r) // 2 for r in raws])))
-            return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_tokens": [held], "n_docs": [len(names)]}, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
+            path, own = f"{folder}/part-{part:06d}-{seq:05d}.wvm", np.concatenate(names)
+            write_blob(path, pack(np.concatenate(ids), own, np.concatenate(sizes)))
+            return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_tokens": [held], "n_docs": [len(own)]}, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
         for batch in batches:
-            ids = [_null_id if x is None else x for x in batch.column(0).to_pylist()]
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            keys, texts = pc.fill_null(batch.column(0), _null_id).to_numpy(), pc.fill_null(batch.column(1), "").cast(pa.string())
             for a, b in _batches(texts):
-                for name, raw in zip(ids[a:b], coder.encode(texts[a:b])):
-                    names.append(name)
-                    raws.append(raw + end)
-                    held += len(raws[-1]) // 2
-                    if held >= shard_ids:
-                        yield flush()
-                        names, raws, seq, held = [], [], seq + 1, 0
-        if names:
+                got, lengths = coder.encode(texts.slice(a, b - a), end_id)
+                ids.append(got)
+                sizes.append(lengths)
+                names.append(keys[a:b])
+                held += len(got)
+                if held >= shard_ids:
+                    yield flush()
+                    ids, names, sizes, seq, held = [], [], [], seq + 1, 0
+        if held:
             yield flush()
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -62,8 +63,10 @@ def test_space_pieces_equal_whole_texts():
     coder = SpacePieces(path)
     r = random.Random(5)
     some = ["".join(r.choice(["a", "B", " ", " ", "\n", "1", "'s", ".", "é", "\u00a0", "\t", "<|endoftext|>"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    for t, got in zip(some, coder.encode(some)):
-        assert coder.tok.encode(t, add_special_tokens=False).ids == np.frombuffer(got, "<u2").tolist(), repr(t)
+    for end in (None, 7):
+        ids, sizes = coder.encode(pa.array(some), end)
+        for t, got in zip(some, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert coder.tok.encode(t, add_special_tokens=False).ids + [7] * (end == 7) == got.tolist(), repr(t)
 
 
 def test_op3_shards(spark, docs):
@@ -255,7 +258,7 @@ def test_op4_restores_and_learns(spark):
     bad = ["nasty", "rotten", "wicked"]
     rows = [(k, " ".join([word(r) for _ in range(20)] + ([r.choice(bad)] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    trained = deobfuscate.train(df, df)
+    trained = deobfuscate.train(df, df, F.lit(True))
     probes = spark.createDataFrame([(1, "so n4sty today"), (2, "so r.o.t.t.e.n today"), (3, "w1ck3d"), (4, "plain day"), (5, ""), (6, None), (7, "rooootten")], "doc_id long, text string")
     got = {x.doc_id: x.score for x in deobfuscate.score(probes, trained, ["doc_id"]).collect()}
     assert all(got[k] >= 0.3 for k in (1, 2, 3, 7)) and all(0 <= got[k] < 0.3 for k in (4, 5, 6))
@@ -274,7 +277,7 @@ def test_op4_and_op7_held_out(spark):
 
 
 def test_op7_empty_and_untrained(spark):
-    w = ftrl.train(spark.createDataFrame([], "text string, label int"))
+    w = ftrl.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, label int"), F.lit(True))
     got = ftrl.score(spark.createDataFrame([(None, None), (1, ""), (2, "a b c")], "doc_id long, text string"), w, ["doc_id"]).collect()
     assert [x.score for x in got] == [0.5] * 3
 
