@@ -5,16 +5,18 @@ A character lattice is decoded with Viterbi under a trigram model of characters
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridwell.llm.sample import labelled_sample
 
 #: Rows of each label that the lexicon is fitted on at most; they are the ones with the lowest hash of their text.
-FIT_POSITIVE, FIT_NEGATIVE = 4000, 6000
+FIT_POSITIVE, FIT_NEGATIVE = 2000, 4000
 THRESHOLD = 0.3
 
 # What a sign may stand for.
@@ -160,23 +162,20 @@ def fit_lexicon(rows: list[tuple[str, int]], model: CharModel) -> tuple[dict[str
     twenty times the share of clean rows that have it; a feature needs 1 % of the toxic rows and 5 at least. Features
     of 5 % of the toxic rows that hardly any clean row has are then added, even where others cover their rows.
     """
-    memo, pos, neg, seen = {}, [], Counter(), set()
-    n_neg = 0
-    clean = []
-    for text, label in rows:
-        if text in seen:
-            continue
-        seen.add(text)
-        if label:
-            pos.append(_features(text, model, memo))
-        else:
-            clean.append(text)
+    memo, neg = {}, Counter()
+    toxic, clean = sorted({t for t, y in rows if y}), sorted({t for t, y in rows if not y})
+    number = xxhash.xxh3_64_intdigest
+    floor = max(5, len(toxic) // 100)
+    # features are counted by their hashes: the names of all of them would not fit a small driver
+    seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.array([number(f) for f in _features(t, model, memo)], np.uint64) for t in toxic)]), return_counts=True)
+    frequent = set(seen[times >= floor].tolist())
+    own = lambda t: {f for f in _features(t, model, memo) if number(f) in frequent}
+    pos = [own(t) for t in toxic]
     held = Counter(f for p in pos for f in p)
-    floor = max(5, len(pos) // 100)
     live = {f for f, n in held.items() if n >= floor}
     for text in clean:
-        n_neg += 1
-        neg.update(_features(text, model, memo) & live)
+        neg.update(own(text) & live)
+    n_neg = len(clean)
     pos = [p & live for p in pos]
     out, left, scale = {}, list(range(len(pos))), (len(pos) + 1) / (n_neg + 1)
     while left:
@@ -210,14 +209,14 @@ class Scorer:
         return round(1 - miss, 9)
 
 
-def train(docs: DataFrame, labelled: DataFrame, fit_positive: int = FIT_POSITIVE, fit_negative: int = FIT_NEGATIVE) -> tuple[dict[str, float], float, np.ndarray]:
-    """(lexicon, base, trigram counts). docs(text): all documents for the character model; labelled(text, label)."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_positive: int = FIT_POSITIVE, fit_negative: int = FIT_NEGATIVE) -> tuple[dict[str, float], float, np.ndarray]:
+    """(lexicon, base, trigram counts). docs(doc_id, text): all documents for the character model; labels(doc_id, label).
+
+    learn says of which rows of docs the labels may be used.
+    """
     counts = char_counts(docs)
-    model, rows = CharModel(counts), []
-    for label, n in ((1, fit_positive), (0, fit_negative)):
-        own = labelled.filter(F.col("label") == label).select(F.coalesce("text", F.lit("")).alias("text"))
-        rows += [(r.text, label) for r in own.orderBy(F.xxhash64("text"), "text").limit(n).collect()]
-    return *fit_lexicon(rows, model), counts
+    rows = labelled_sample(docs, labels, learn, {1: fit_positive, 0: fit_negative})
+    return *fit_lexicon(rows, CharModel(counts)), counts
 
 
 def score(docs: DataFrame, trained: tuple, keep: list[str]) -> DataFrame:
@@ -228,8 +227,10 @@ def score(docs: DataFrame, trained: tuple, keep: list[str]) -> DataFrame:
     def run(batches):
         lexicon, base, counts = shared.value
         scorer = Scorer(lexicon, base, CharModel(counts))
-        for batch in batches:
-            got = [scorer.score(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                got = [scorer.score(t) for t in batch.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, "score"])
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes) + ", score double")

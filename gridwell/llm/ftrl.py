@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridwell.llm.sample import labelled_sample
 
 #: log2 of the number of weights.
 HASH_BITS = 20
 #: Labelled rows that are fitted at most; they are the ones with the lowest hash of their text.
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 #: Value of a feature is SCALE times its share of the text's features.
 SCALE = 30.0
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xFF51AFD7ED558CCD)
@@ -54,8 +56,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h *= _MIX
     doc = np.searchsorted(ends, a, side="right")
+    same = h[:-1] == h[1:]
     pair = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:]
     pair ^= pair >> np.uint64(29)
+    pair[same] = 1  # a word and itself again is one pair, whatever the word
     pair = (pair * _MIX)[doc[:-1] == doc[1:]] if len(h) else h
     pair_doc = doc[:-1][doc[:-1] == doc[1:]] if len(h) else doc
     shift = np.uint64(64 - HASH_BITS)
@@ -101,11 +105,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7) ->
     return model.weights().astype(np.float32)
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Fit on labelled(text, label). Of more than `fit_rows` rows those with the lowest text hash are taken."""
-    rows = labelled.filter("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = rows.orderBy(F.xxhash64("text"), "text", "label").limit(fit_rows).collect()
-    return fit([r.text for r in rows], [r.label for r in rows])
+def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Weights from docs(doc_id, text) and labels(doc_id, label), of `fit_rows` rows at most that `learn` allows.
+
+    The labels' shares in the sample are the table's: both labels take the rows with the lowest text hash.
+    """
+    n = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    whole = sum(n.values())
+    limits = {y: k if whole <= fit_rows else max(1, k * fit_rows // whole) for y, k in n.items()}
+    rows = labelled_sample(docs, labels, learn, limits)
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:

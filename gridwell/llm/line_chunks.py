@@ -57,8 +57,8 @@ def _rows(docs: DataFrame, bloom: Broadcast | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 cols = ([], [], [], [], [], [], [])
                 for k1, k2, text in zip(*(part.column(k).to_pylist() for k in range(3))):
                     lines = text.split("\n")
@@ -164,16 +164,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out_names = [c for c in names if c != "lines_removed"]
 
     def run(batches):
-        for batch in batches:
-            texts, spans, n = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), []
-            for k, s in enumerate(spans):
-                if s and texts[k]:
-                    texts[k], lost = cut(texts[k], [(x["a"], x["b"]) for x in s])
-                    n.append(lost)
-                else:
-                    n.append(0)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(names.index(c)) for c in out_names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], names=[*out_names, "lines_removed"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts, spans, n = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), []
+                for k, s in enumerate(spans):
+                    if s and texts[k]:
+                        texts[k], lost = cut(texts[k], [(x["a"], x["b"]) for x in s])
+                        n.append(lost)
+                    else:
+                        n.append(0)
+                cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(names.index(c)) for c in out_names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], names=[*out_names, "lines_removed"])
 
     kinds = dict(docs.dtypes)
     return joined.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out_names) + ", lines_removed long")

@@ -28,8 +28,7 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
     """score of every row of docs; labels are learnt from the table's rows that are not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter("label is not null and doc_id is not null")
-    known = docs.select("doc_id", "text").filter(~_held_out(4, 2)).join(labels, "doc_id")
-    return deobfuscate.score(docs, deobfuscate.train(docs, known), keep)
+    return deobfuscate.score(docs, deobfuscate.train(docs, labels, ~_held_out(4, 2)), keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter("label is not null and doc_id is not null")
-    weights = ftrl.train(docs.select("doc_id", "text").filter(~_held_out(5, 0)).join(labels, "doc_id"))
+    weights = ftrl.train(docs, labels, ~_held_out(5, 0))
     got = ftrl.score(docs, weights, ["doc_id"])
     return got.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

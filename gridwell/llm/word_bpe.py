@@ -18,7 +18,7 @@ from gridwell.llm.chunked_bpe import tokenizer
 #: Characters that Python's split takes for white space and the tokenizer does not, and marks that join backwards.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Distinct words that a worker keeps; beyond it the table starts anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 200_000
 _tables: dict = {}
 
 
@@ -65,15 +65,11 @@ def _table(path: str) -> WordTable:
     return _tables[path]
 
 
-def _chunks(texts: list[str], chars: int = 2_000_000):
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield a, k + 1
-            a, size = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _parts(batch: pa.RecordBatch, rows: int = 500):
+    """(keys, texts) of a few rows at a time; null texts are empty."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -85,10 +81,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         table = _table(tokenizer_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _chunks(texts):
-                got = table.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([[int(i) for i in x[0].split()] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got])], names=["doc_id", "ids", "decoded"])
+            for keys, texts in _parts(batch):
+                got = table.encode(texts)
+                yield pa.RecordBatch.from_arrays([keys, pa.array([[int(i) for i in x[0].split()] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got])], names=["doc_id", "ids", "decoded"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -100,9 +95,8 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         table = _table(tokenizer_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _chunks(texts):
-                got = table.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in got], pa.int64()), pa.array([sha(x[0]) for x in got]), pa.array([sha(x[1]) for x in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for keys, texts in _parts(batch):
+                got = table.encode(texts)
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in got], pa.int64()), pa.array([sha(x[0]) for x in got]), pa.array([sha(x[1]) for x in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
