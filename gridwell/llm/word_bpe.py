@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridwell.llm.chunked_bpe import tokenizer
+from gridwell.plans.runtime import bound_batches
 
 #: Characters that Python's split takes for white space and the tokenizer does not, and marks that join backwards.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -85,6 +86,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 got = table.encode(texts)
                 yield pa.RecordBatch.from_arrays([keys, pa.array([[int(i) for i in x[0].split()] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got])], names=["doc_id", "ids", "decoded"])
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -99,4 +101,5 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 got = table.encode(texts)
                 yield pa.RecordBatch.from_arrays([keys, pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in got], pa.int64()), pa.array([sha(x[0]) for x in got]), pa.array([sha(x[1]) for x in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
