@@ -24,6 +24,24 @@ _null_id = -(1 << 63)
 _encoders: dict = {}
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
+    """(doc_ids, texts) of as many batches at a time as hold BATCH_BYTES; nulls are replaced."""
+    held, size = [], 0
+
+    def out():
+        keys = np.concatenate([pc.fill_null(b.column(0), _null_id).to_numpy() for b in held])
+        return keys, pa.concat_arrays([pc.fill_null(b.column(1), "").cast(pa.string()) for b in held])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BATCH_BYTES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def _batches(texts: pa.StringArray, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `size` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -56,8 +74,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             write_blob(path, pack(np.concatenate(ids), own, np.concatenate(sizes)))
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_tokens": [held], "n_docs": [len(own)]}, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
-        for batch in batches:
-            keys, texts = pc.fill_null(batch.column(0), _null_id).to_numpy(), pc.fill_null(batch.column(1), "").cast(pa.string())
+        for keys, texts in _gathered(batches):
             for a, b in _batches(texts):
                 got, lengths = coder.encode(texts.slice(a, b - a), end_id)
                 ids.append(got)
