@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
 TABLE_ROWS = 2_000_000
-#: White space before a space, in RE2.
-_WIDE = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
+#: White space before a space or a line end, or a line end at the text's edge, in RE2.
+_WIDE = r"[\s\x0b\x1c-\x1f\x{85}\pZ][ \n]|\A\n|\n\z|\n[\s\x0b\x1c-\x1f\x{85}\pZ]"
 _workers: dict = {}
 
 
@@ -30,8 +30,8 @@ def tokenizer(path: str):
 class SpacePieces:
     """ids of whole texts as uint16, for a byte-level BPE whose words take one leading space.
 
-    Such a tokenizer always cuts between a non-space and the space after it, so `" piece"` encodes the same alone
-    as in its text. Texts in which a space follows other white space are encoded whole.
+    Such a tokenizer always cuts between a non-space and the space or line end after it, so `" piece"` and `"\\npiece"`
+    encode the same alone as in their text. Texts in which white space meets white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,6 +41,8 @@ class SpacePieces:
         size = self.tok.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = np.arange(size) == (line[0] if len(line) == 1 else -1)
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
     def _learn(self, pieces: list[str]) -> None:
@@ -56,19 +58,26 @@ class SpacePieces:
                 plain.append(p)
         known = set(plain)
         plain += {b for p in late if (b := p[:-1]) not in table and b not in known}
-        parts = [plain[a : a + step] for a in range(0, len(plain), step)]
-        for enc, own in zip(self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), parts):
-            ids = np.array(enc.ids, "<u2")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(own):  # a piece with an unusual start: one by one
-                for p in own:
-                    table[p] = np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, "<u2").tobytes()
-                continue
-            raw, cuts = ids.tobytes(), (cuts * 2).tolist()
-            table.update(zip(own, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+        opening = [p for p in plain if p[0] == "\n"]
+        plain = [p for p in plain if p[0] != "\n"]
+        for a in range(0, len(opening), step):
+            self._cut("".join(opening[a : a + step]), opening[a : a + step], self.line)
+        for a in range(0, len(plain), step):
+            self._cut(" " + " ".join(plain[a : a + step]), plain[a : a + step], self.opens)
         for p in late:
             table[p] = table[p[:-1]] + self.marks[p[-1]]
 
+    def _cut(self, text: str, own: list[str], opens: np.ndarray) -> None:
+        """Learn the pieces that make up `text`; each begins at an id of `opens`."""
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        cuts = np.flatnonzero(opens[ids])
+        if len(cuts) != len(own):  # a piece with an unusual start: one by one
+            for p in own:
+                self.table[p] = np.array(self.tok.encode(p if p[0] == "\n" else " " + p, add_special_tokens=False).ids, "<u2").tobytes()
+            return
+        raw, cuts = ids.tobytes(), (cuts * 2).tolist()
+        self.table.update(zip(own, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text), with `end_id` after each text if it is given.
 
@@ -82,7 +91,7 @@ class SpacePieces:
         heads = {k: whole(texts[k].as_py()) for k in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()}
         if heads:
             texts = pc.if_else(wide, "", texts)
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")  # a line end opens the piece after it
         cuts = split.offsets.to_numpy().astype(np.int64)
         numbered = split.flatten().dictionary_encode()
         distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)

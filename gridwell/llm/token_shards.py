@@ -19,7 +19,7 @@ from gridwell.plans.runtime import fresh_path, materialize, partitions
 #: Ids after which a shard file ends with its batch.
 SHARD_IDS = 4_000_000
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 16_000_000
 _null_id = -(1 << 63)
 _encoders: dict = {}
 

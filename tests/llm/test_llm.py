@@ -62,7 +62,7 @@ def test_space_pieces_equal_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = SpacePieces(path)
     r = random.Random(5)
-    some = ["".join(r.choice(["a", "B", " ", " ", "\n", "1", "'s", ".", "é", "\u00a0", "\t", "<|endoftext|>"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    some = ["".join(r.choice(["a", "B", " ", " ", "\n", "\na", "b\n", "x.", "é,", "1", "'s", ".", "é", "\u00a0", "\t", "<|endoftext|>"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     for end in (None, 7):
         ids, sizes = coder.encode(pa.array(some), end)
         for t, got in zip(some, np.split(ids, np.cumsum(sizes)[:-1])):
