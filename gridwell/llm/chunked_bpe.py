@@ -81,7 +81,7 @@ class SpacePieces:
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text), with `end_id` after each text if it is given.
 
-        Arrow splits and numbers the distinct pieces, Python looks up only those, numpy puts ids back by position.
+        Arrow splits the texts, numbers the distinct pieces and puts their ids back by position; Python looks up only those.
         """
         whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
         n = len(texts)
@@ -91,10 +91,11 @@ class SpacePieces:
         heads = {k: whole(texts[k].as_py()) for k in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()}
         if heads:
             texts = pc.if_else(wide, "", texts)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")  # a line end opens the piece after it
-        cuts = split.offsets.to_numpy().astype(np.int64)
+        # a line end opens the piece after it; the space put behind each text opens an empty piece, the place of `end_id`
+        split = pc.split_pattern(pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " \n"), "", " "), " ")
+        cuts = split.offsets.to_numpy()
         numbered = split.flatten().dictionary_encode()
-        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
         found = list(map(self.table.get, distinct))
         if None in found:
             gaps = [k for k, f in enumerate(found) if f is None]
@@ -102,19 +103,14 @@ class SpacePieces:
             for k in gaps:
                 found[k] = self.table[distinct[k]]
         # the first piece of a text has no space before it, an empty last one is the space at the text's end
-        size = len(found)
-        found += [heads[k] if k in heads else whole(distinct[at[c]]) if distinct[at[c]] else b"" for k, c in enumerate(cuts[:-1].tolist())]
+        size, first, last = len(found), cuts[:-1], cuts[1:] - 2
+        found += [heads[k] if k in heads else whole(distinct[at[c]]) if distinct[at[c]] else b"" for k, c in enumerate(first.tolist())]
         found += [self.space, b"" if end_id is None else np.array([end_id], "<u2").tobytes()]
-        last = cuts[1:] - 1
-        empty = distinct.index("") if "" in distinct else -1
-        at[last[(at[last] == empty) & (last > cuts[:-1])]] = size + n
-        at[cuts[:-1]] = size + np.arange(n)
-        at = np.insert(at, cuts[1:], size + n + 1)
-        cuts = cuts + np.arange(n + 1)
-        pool = np.frombuffer(b"".join(found), "<u2")
-        own = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        begin = np.cumsum(own) - own
-        sizes = own[at]
-        ends = np.cumsum(sizes)
-        ids = pool[np.arange(int(ends[-1])) + np.repeat(begin[at] - (ends - sizes), sizes)]
-        return ids, np.diff(np.append(0, ends[cuts[1:] - 1]))
+        at[last[(at[last] == distinct.index("")) & (last > first)]] = size + n
+        at[first] = size + np.arange(n)
+        at[cuts[1:] - 1] = size + n + 1
+        placed = pa.array(found, pa.large_binary()).take(pa.array(at))
+        ends = placed.buffers()[1]
+        ends = np.frombuffer(ends, "<i8", len(placed) + 1, 8 * placed.offset)
+        ids = np.frombuffer(placed.buffers()[2], "<u2", int(ends[-1]) // 2)
+        return ids, np.diff(ends[cuts]) // 2
