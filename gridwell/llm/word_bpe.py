@@ -8,56 +8,87 @@ corpus through a shuffle, while distinct words grow with the corpus and can't be
 from __future__ import annotations
 
 import hashlib
-import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gridwell.llm.chunked_bpe import tokenizer
 from gridwell.plans.runtime import bound_batches
 
-#: Characters that Python's split takes for white space and the tokenizer does not, and marks that join backwards.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Distinct words that a worker keeps; beyond it the table starts anew.
-TABLE_ROWS = 200_000
+#: White space of the tokenizer besides the space and the line end, in RE2.
+_SPACE = r"[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Distinct words after which a worker's table begins a new generation; words that are met again move over from the last one.
+TABLE_ROWS = 250_000
 _tables: dict = {}
 
 
 class WordTable:
-    """word -> (ids, ids as text, pieces as text); at most TABLE_ROWS words, then it starts anew."""
+    """word -> (ids as text, pieces as text, number of ids), in two generations of TABLE_ROWS and one batch's words each."""
 
     def __init__(self, path: str):
-        self.tok, self.rows = tokenizer(path), {}
+        self.tok, self.old, self.rows = tokenizer(path), {}, {"": ("", "", 0)}
         self.pieces = {i: p for p, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.marks = {c: self.entry(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
 
-    def entry(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])
+    def entry(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids]), len(ids)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.rows) + len(words) > TABLE_ROWS:
-            self.rows.clear()
-        for a in range(0, len(words), 20_000):
-            own = words[a : a + 20_000]
-            self.rows.update(zip(own, [self.entry(e.ids) for e in self.tok.encode_batch_fast(own, add_special_tokens=False)]))
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids joined by a space, decoded text) of each text."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        if new := {w for s in split if s for w in s if w not in self.rows}:
-            self.learn(sorted(new))
-            if missing := {w for s in split if s for w in s if w not in self.rows}:
-                self.learn(sorted(missing))  # the table started anew
-        out, rows = [], self.rows
-        for t, s in zip(texts, split):
-            try:
-                found = None if s is None else [rows[w] for w in s]
-            except KeyError:  # more distinct words in one batch than the table holds
-                found = None
-            if found is None:
-                out.append(self.entry(self.tok.encode(t, add_special_tokens=False).ids))
-            else:
-                out.append((" ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])))
-        return out
+        """Encode new words; the tokenizer lowers letters and parts a mark from the letters before it, so those are put together."""
+        rows, old, marks, plain, late = self.rows, self.old, self.marks, set(), []
+        for w in words:
+            mark = w[-1] if w[-1] in marks and w[-2:-1].lower().isalpha() else ""
+            base = w[:-1] if mark else w
+            if base.isascii() and base.isalpha():
+                base = base.lower()
+            if base != w:
+                late.append((w, base, mark))
+            if base in old:
+                rows[base] = old[base]
+            elif base not in rows:
+                plain.add(base)
+        fresh = sorted(plain)
+        for a in range(0, len(fresh), 20_000):
+            own = fresh[a : a + 20_000]
+            rows.update(zip(own, [self.entry(e.ids) for e in self.tok.encode_batch_fast(own, add_special_tokens=False)]))
+        for w, base, mark in late:
+            x = rows[base]
+            rows[w] = (f"{x[0]} {marks[mark][0]}", f"{x[1]} {marks[mark][1]}", x[2] + marks[mark][2]) if mark else x
+
+    def lookup(self, words: list[str]) -> list[tuple[str, str, int]]:
+        if len(self.rows) > TABLE_ROWS:
+            self.old, self.rows = self.rows, {"": ("", "", 0)}
+        found = list(map(self.rows.get, words))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            self.rows.update({w: self.old[w] for w in (words[k] for k in gaps) if w in self.old})
+            self.learn([w for w in (words[k] for k in gaps) if w not in self.rows])
+            for k in gaps:
+                found[k] = self.rows[words[k]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids joined by a space, decoded text) of each text.
+
+        Arrow splits the texts, numbers the distinct words and joins what the table has for them back by position.
+        """
+        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+        odd = pc.match_substring_regex(texts, _SPACE)
+        if pc.any(odd).as_py():
+            texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), _SPACE, " "))
+        split = pc.split_pattern(texts, " ")
+        numbered = split.flatten().dictionary_encode()
+        found, at = self.lookup(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+        count = np.fromiter((x[2] for x in found), np.int64, len(found))
+        sizes = count[at]
+        kept = sizes > 0  # not the gaps between white space and white space
+        cuts = np.append(0, np.cumsum(kept))[split.offsets.to_numpy()]
+        total = np.append(0, np.cumsum(sizes))[split.offsets.to_numpy()]
+        at, cuts = pa.array(at[kept]), pa.array(cuts, pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(cuts, pa.array([x[k] for x in found], pa.large_string()).take(at)), pa.scalar(" ", pa.large_string())) for k in (0, 1)]
+        return np.diff(total), *joined
 
 
 def _table(path: str) -> WordTable:
@@ -66,11 +97,11 @@ def _table(path: str) -> WordTable:
     return _tables[path]
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 500):
-    """(keys, texts) of a few rows at a time; null texts are empty."""
-    for lo in range(0, batch.num_rows, rows):
-        part = batch.slice(lo, rows)
-        yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
+def _sha256(texts: pa.Array) -> list[str]:
+    """Digests of a large_string array's values, read in place."""
+    ends = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset).tolist()
+    raw = memoryview(texts.buffers()[2] or b"")
+    return [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -82,9 +113,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         table = _table(tokenizer_path)
         for batch in batches:
-            for keys, texts in _parts(batch):
-                got = table.encode(texts)
-                yield pa.RecordBatch.from_arrays([keys, pa.array([[int(i) for i in x[0].split()] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got])], names=["doc_id", "ids", "decoded"])
+            if batch.num_rows:
+                _, ids, decoded = table.encode(batch.column(1))
+                ids = pa.array([[int(i) for i in x.split()] for x in ids.to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded.cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -95,11 +127,10 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         table = _table(tokenizer_path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for keys, texts in _parts(batch):
-                got = table.encode(texts)
-                yield pa.RecordBatch.from_arrays([keys, pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in got], pa.int64()), pa.array([sha(x[0]) for x in got]), pa.array([sha(x[1]) for x in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if batch.num_rows:
+                count, ids, decoded = table.encode(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(_sha256(ids)), pa.array(_sha256(decoded))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

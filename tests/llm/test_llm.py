@@ -99,6 +99,20 @@ def test_op6_words(spark, docs):
     assert word_bpe.digests(empty(spark), path).count() == 0
 
 
+def test_word_table_equals_whole_texts(monkeypatch):
+    """White space of all kinds, letters that change size when lowered, marks, special tokens; the table turns over."""
+    monkeypatch.setattr(word_bpe, "TABLE_ROWS", 50)
+    table = word_bpe.WordTable(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["it's, IT'S. <|endoftext|>, <|ENDOFTEXT|> a\tb\r\nc\x1ce\x85f\xa0g\u3000h", None, "", "  \n\n", "\u0130\u0130. \u03a3\u0391\u03a3, e\u0301! \ufb01; a\u180eb", " \u0308x, \u4e2d\u6587."]
+    pick = random.Random(1)
+    texts += ["".join(pick.choice("aB,. \n\t'sS!\u0301\u03a3\u03c3\u01301_\x1c<|>\u00aa\u4e2d") for _ in range(pick.randint(0, 40))) for _ in range(1500)]
+    for k in range(0, len(texts), 100):
+        count, ids, decoded = table.encode(pa.array(texts[k : k + 100]))
+        for t, n, i, d in zip(texts[k : k + 100], count.tolist(), ids.to_pylist(), decoded.to_pylist()):
+            own = table.tok.encode(t or "", add_special_tokens=False).ids
+            assert (n, i, d) == (len(own), " ".join(map(str, own)), table.tok.decode(own, skip_special_tokens=False)), t
+
+
 def brute_groups(rows):
     fps = [simhash.fingerprint(t, 3) for _, t in rows]
     root = list(range(len(rows)))
