@@ -81,7 +81,7 @@ def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP) -> DataFrame:
         return pd.DataFrame({"i": list(roots), "root": list(roots.values())}, dtype="int64")
 
     merged = own.groupBy("component").cogroup(rows.groupBy("part")).applyInPandas(run, "i long, root long")
-    return m.rows().join(merged, "i", "left").select("i", F.coalesce("root", "i").alias("root"))
+    return m.rows().join(materialize(merged, "hc-roots"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
 
 
 def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.operators import layouts, work
 from gridwell.operators.matrix import Matrix
-from gridwell.plans.runtime import small
+from gridwell.plans.runtime import materialize, small
 
 #: Columns up to which a dense row accumulator is used.
 SPA_COLUMNS = 1 << 20
@@ -103,7 +103,7 @@ def _clustered(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
 
 
 def _mixed(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
-    flags = work.classify(a, b, members)
+    flags = materialize(work.classify(a, b, members), "mixed-clusters")  # the symbolic product runs once
     dense = flags.filter("dense = 1").select("cluster", "min_col", "max_col")
     sparse = members.join(small(dense), "cluster", "left_anti")
     rows = lambda own: a.with_entries(a.entries.join(small(own.select("i")), "i", "left_semi"))
