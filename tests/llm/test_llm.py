@@ -324,6 +324,26 @@ def test_op10_template_slot(spark):
     assert got[90].text == "" and got[91].text == "" and got[None].text == "alone"
 
 
+def test_op10_slots_before_names(spark):
+    """Names around the main slot, fixed text inside it, a section called related-work, an article that is not the slot."""
+    r = random.Random(23)
+    line = lambda n: " ".join(word(r) for _ in range(n))
+    fixed, rows, want = "Read all of our terms before you copy this text", [], {}
+    for k in range(8):
+        t = [line(30), line(20), line(25), line(12)]
+        rows.append((k, f"http://a.org/{k}", f'<body><div class="layout with-sidebar"><nav>menu</nav><article><h1>{t[3]}</h1><p>{t[0]}</p><section class="related-work"><p>{t[1]}</p></section><div class="hint">{fixed}</div><p>{t[2]} {fixed}</p><div class="comments"><p>{line(5)}</p></div></article></div></body>'))
+        want[k] = "\n".join([t[3], t[0], t[1], t[2]])
+        t = [line(40), line(30)]
+        rows.append((20 + k, f"http://b.org/{k}", f"<body><article>teaser {line(3)}</article><div class=cell><p>{t[0]}</p><p>{t[1]}</p></div></body>"))
+        want[20 + k] = "\n".join(t)
+        rows.append((40 + k, f"http://c.org/{k % 2}", f"<body><div class=x><p>copies of {k % 2} stay whole and are no template</p></div></body>"))
+        want[40 + k] = f"copies of {k % 2} stay whole and are no template"
+    rows.append((60, "http://d.org/", '<body><div class="layout with-sidebar"><article><p>one page only</p></article></div></body>'))
+    want[60] = "one page only"
+    got = {x.page_id: x.text for x in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
 
