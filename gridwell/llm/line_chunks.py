@@ -3,10 +3,15 @@
 A line ends one chunk and begins the next if it is long enough to stand for itself, or else if the rolling hash over it
 and the line before says so: boundaries depend on nearby lines alone, so that a shift elsewhere leaves them. Chunks
 hold both their boundary lines, so each has two lines at least; a line of passage length is a chunk of its own too.
+Where lines are short a passage may begin and end off the boundaries or hold none, so that from each line on, and up to
+each line, the fewest lines of passage length are chunks as well: together they cover every passage to its last line.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,6 +53,30 @@ def chunks(text: str, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) ->
     return out
 
 
+def windows(text: str, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The fewest lines from each line on, and up to each line, that have `min_words` words, if a short line is among them.
+
+    Each line of a passage is in one of them that lies in the passage, or in a run of long lines, which all are
+    boundaries: with less than `min_words` words on both sides of a line, the first window of the passage holds it.
+    """
+    lines = text.split("\n")
+    short = [line != "" and line.count(" ") + 1 < long_line for line in lines]
+    if not any(short):
+        return []
+    words = [len(line.split()) for line in lines]
+    if sum(words) < min_words:
+        return []
+    upto, among = [0, *itertools.accumulate(words)], [0, *itertools.accumulate(short)]
+    out = set()
+    for k, n in enumerate(words):
+        if n:
+            if (b := bisect.bisect_left(upto, upto[k] + min_words)) < len(upto):
+                out.add((k, b))
+            if (a := bisect.bisect_right(upto, upto[k + 1] - min_words) - 1) >= 0:
+                out.add((a, k + 1))
+    return sorted((a, b) for a, b in out if among[b] > among[a])
+
+
 def _rows(docs: DataFrame, bloom: Broadcast | None = None) -> DataFrame:
     """Every chunk: (k1, k2) name its document, a and b its lines, h1 and h2 hash its bytes.
 
@@ -62,7 +91,7 @@ def _rows(docs: DataFrame, bloom: Broadcast | None = None) -> DataFrame:
                 cols = ([], [], [], [], [], [], [])
                 for k1, k2, text in zip(*(part.column(k).to_pylist() for k in range(3))):
                     lines = text.split("\n")
-                    for a, b in chunks(text):
+                    for a, b in sorted({*chunks(text), *windows(text)}):
                         raw = "\n".join(lines[a:b])
                         both = xxhash.xxh128_intdigest(raw.encode())
                         for c, v in zip(cols, (k1, k2, a, b, (both >> 64) - (1 << 63), (both & _M64) - (1 << 63), raw if with_text else None)):
@@ -151,7 +180,7 @@ def cut(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) ->
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from `text`, and lines_removed; every row and every other column stays.
 
-    The first place of a passage keeps it. Null and empty texts stay as they are (0 lines removed). Rows that agree in
+    The first place of a passage keeps it; where it repeats into itself, one period stays. Null and empty texts stay as they are (0 lines removed). Rows that agree in
     doc_id and text are one document: all of them keep or lose the same lines. A text of which every line repeats
     becomes empty. An empty table gives an empty one. Line separators other than \\n are part of their line.
     """

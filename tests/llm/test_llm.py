@@ -239,6 +239,39 @@ def test_op2_passages(spark):
     assert line_chunks.dedup_lines(empty(spark)).count() == 0
 
 
+def test_op2_short_lines(spark):
+    """Passages of short lines go to their last line wherever they stand; runs below 50 words stay, and so does each first place."""
+    r = random.Random(29)
+    line = lambda n: " ".join(word(r) + word(r) for _ in range(n))
+    shapes = [[6] * 9, [6] * 10, [5] * 11, [7] * 8, [6] * 12, [4, 47], [47, 4], [1] * 50, [3, 60, 2], [20, 0, 5, 0, 25], [6] * 8]
+    rows, want, k = [], {}, 0
+    for shape in shapes:
+        passage = [line(n) for n in shape]
+        for place in range(12):
+            before, after = [line(r.randint(1, 12)) for _ in range(r.randint(0, 3))], [line(r.randint(1, 12)) for _ in range(r.randint(0, 3))]
+            rows.append((k, "\n".join(before + passage + after), k))
+            want[k] = "\n".join(before + (passage if place == 0 or sum(shape) < 50 else []) + after)
+            k += 1
+    again = line(5)
+    rows += [(k, "\n".join([again] * 40), k), (k + 1, "a\tb " + "\t".join(word(r) for _ in range(60)), k), (k + 2, rows[0][1] + "\n" + "own words", k)]
+    got = {x.doc_id: x.text for x in line_chunks.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[d] == t for d, t in want.items())
+    assert got[k].startswith(again) and got[k + 1] == rows[k + 1][1] and got[k + 2].endswith("own words")
+
+
+def test_op2_windows_cover_every_passage():
+    r = random.Random(31)
+    for _ in range(300):
+        lines = [" ".join("w" for _ in range(r.choice([0, 1, 3, 7, 9, 20, 55]))) for _ in range(r.randint(1, 25))]
+        spans = line_chunks.windows("\n".join(lines))
+        size = [len(x.split()) for x in lines]
+        assert all(sum(size[a:b]) >= 50 for a, b in spans)
+        for s in range(len(lines)):
+            for t in range(s + 1, len(lines) + 1):
+                if sum(size[s:t]) >= 50 and all(0 < n < 8 for n in size[s:t]):
+                    assert {k for a, b in spans if a >= s and b <= t for k in range(a, b)} == set(range(s, t))
+
+
 def test_op8_matches_brute_force(spark):
     r = random.Random(13)
     items = [(k, " ".join(word(r) for _ in range(n))) for k, n in enumerate([1, 3, 5, 6, 9, 20, 33, 64, 65, 120])] + [(50, None), (51, " "), (None, "some words of an item without id")]
