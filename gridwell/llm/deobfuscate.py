@@ -63,26 +63,33 @@ class CharModel:
         p3 = (tri + 20 * p2[None]) / (tri.sum(2, keepdims=True) + 20)
         self.log = np.log(p3).tolist()
 
-    def decode(self, noisy: str) -> str:
-        """The likeliest letters behind a token: signs may stand for letters or be noise, repeated letters may be one.
+    def best(self, noisy: str, edges: bool = False) -> tuple[float, str]:
+        """The likeliest letters behind noisy text and their score: signs may stand for letters or be noise, repeated
+        letters may be one, a star may be any letter. With edges, what separates letters may be a word's edge.
 
-        Exact Viterbi: a state is the last two letters put out, and whether the last input letter may be dropped.
+        Exact Viterbi: a state is the last two letters put out.
         """
         states = {(26, 26): (0.0, "")}
-        prev = ""
+        prev, times = "", 0
         for c in noisy.lower():
             options = []
+            times = times + 1 if c == prev else 1
             if c.isalpha():
                 options.append((c, 0.0))
-                if c == prev:
-                    options.append(("", -1.0))
+                if times > 1:
+                    options.append(("", -2.5 if times == 2 else -1.0))
+            elif c == "*" and not edges:
+                options += [(x, -1.0) for x in _LETTERS]
+                options.append(("", -4.0))
             else:
                 options += [(x, -0.7) for x in LEET.get(c, "")]
-                options.append(("", -9.0 if c in LEET else -0.5))
+                options.append(("", -9.0 if c in LEET else -2.0 if c == _FAR else -0.5))
+                if edges and c not in LEET:
+                    options.append((" ", 0.0 if c == _FAR else -0.5))
             new = {}
             for (a, b), (score, text) in states.items():
                 for letter, cost in options:
-                    if letter:
+                    if letter and (letter != " " or b != 26):
                         k = _code(letter)
                         key, value = (b, k), (score + cost + self.log[a][b][k], text + letter)
                     else:
@@ -90,54 +97,78 @@ class CharModel:
                     if key not in new or new[key][0] < value[0]:
                         new[key] = value
             states, prev = new, c
-        return max((s + self.log[a][b][26], t) for (a, b), (s, t) in states.items())[1]
-
-
-_MIXED = re.compile(r"[A-Za-z][0-9@$|!+(]|[0-9@$|!+(][A-Za-z]")
-_RUN = re.compile(r"([a-z])\1\1")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w(?!\w)){2,}")
+        return max((s + (self.log[a][b][26] if b != 26 else 0.0), t) for (a, b), (s, t) in states.items())
+
+    def decode(self, noisy: str, edges: bool = False) -> str:
+        return self.best(noisy, edges)[1]
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Stands for a wider separator than the others of its run.
+_FAR = "\x01"
+_TWICE = re.compile(r"([^\W\d_])\1")
+_FIGURE = re.compile(r"[\d.,:;/\-+%$€()|!*=<>~^_#&'\"?]*")
+_PIECE = r"(?:[^\W_]|[@$!|+(€]){1,2}"
+_BETWEEN = r"[\s.\-_*~,/:;'\"=^]{1,4}"
+_SPACED = re.compile(rf"(?<![^\W_])(?<![@$!|+(€]){_PIECE}(?:{_BETWEEN}{_PIECE}(?![^\W_]|[@$!|+(€])){{2,}}")
+_SEPARATOR = re.compile(_BETWEEN)
+_BREAK = re.compile(r"(?:[^\w@$!|+(€*]|_)+")
 _OUTER = ".,;:?\"'()[]{}#&%*<>-_/="
-
-
-def _token(text: str, at: int) -> tuple[int, int]:
-    a, b = at, at
-    while a > 0 and not text[a - 1].isspace():
-        a -= 1
-    while b < len(text) and not text[b].isspace():
-        b += 1
-    return a, b
+#: Letters of a token that are decoded at once, and by how many the pieces of a longer one overlap.
+_LONGEST, _OVERLAP = 48, 16
+
+
+def _restored(token: str, model: CharModel) -> tuple[str, ...]:
+    """Words that a token without white space may stand for, other than itself; figures and prices stand for none."""
+    core = token.lower().strip(_OUTER).rstrip("!").rstrip(_OUTER)
+    if len(core) < 2 or _FIGURE.fullmatch(core) or core.isalpha() and not _TWICE.search(core):
+        return ()
+    if len(core) > _LONGEST:
+        parts = [x for x in _BREAK.split(core) if x]
+        if parts == [core]:
+            parts = [core[k : k + _LONGEST] for k in range(0, len(core) - _OVERLAP, _LONGEST - _OVERLAP)]
+        return tuple(w for x in parts for w in _restored(x, model))
+    out, stars = set(), core.count("*")
+    if stars == 1:  # a star hides one letter, and the likeliest ones are close
+        out.update(t for _, t in sorted((model.best(core.replace("*", x)) for x in _LETTERS), reverse=True)[:5])
+    elif stars <= 3:
+        out.add(model.decode(core))
+    if stars:
+        core = core.replace("*", "-")
+        out.add(model.decode(core))
+    if _BREAK.search(core):
+        out.update(model.decode(core, edges=True).split())
+    return tuple(sorted(out - {core, ""}))
+
+
+def _joined(run: str, model: CharModel) -> tuple[str, ...]:
+    """Words behind a run of short pieces: as one word, and with the likeliest words' edges between them."""
+    run = run.lower().strip(_OUTER + " \t\r\n").lstrip("(").rstrip("! \t\r\n")
+    pieces, gaps = _SEPARATOR.split(run), _SEPARATOR.findall(run)
+    if len(set("".join(pieces))) < 3 or _FIGURE.fullmatch("".join(pieces)):
+        return ()
+    out, least = set(), min(map(len, gaps), default=0)
+    for k in range(0, max(len(pieces) - _OVERLAP // 2, 1), _LONGEST - _OVERLAP):  # a long run is read in overlapping parts
+        own, between = pieces[k : k + _LONGEST], gaps[k : k + _LONGEST - 1]
+        out.add(model.decode("".join(own)))
+        out.update(model.decode("".join(x for pair in zip(own, [*(_FAR if len(g) > least else "-" for g in between), ""]) for x in pair), edges=True).split())
+    return tuple(sorted(out - set(pieces) - {""}))
 
 
 def restore(text: str, model: CharModel, memo: dict | None = None) -> list[str]:
-    """Restored words of the obfuscated places of a text."""
-    memo, out, done = {} if memo is None else memo, [], -1
-
-    def read(token: str) -> None:
-        if token not in memo:
-            if len(memo) > 50_000:
-                memo.clear()
-            memo[token] = model.decode(token)
-        out.append(memo[token])
-
-    for m in _MIXED.finditer(text):
-        if m.start() < done:
-            continue
-        a, done = _token(text, m.start())
-        core = text[a:done].strip(_OUTER).rstrip("!")
-        if core and not core.isalpha():
-            read(core)
-    low, done = text.lower(), -1
-    for m in _RUN.finditer(low):
-        if m.start() >= done:
-            a, done = _token(low, m.start())
-            core = low[a:done].strip(_OUTER + "!")
-            if core.isalpha():
-                read(core)
-    for m in _SPACED.finditer(text):
-        letters = re.sub(r"[ .\-_*]", "", m.group())
-        if len(set(letters.lower())) > 2:
-            read(letters)
-    return out
+    """Restored words of the obfuscated places of a text: of every token with a sign or a repeated letter in it, and of
+    every run of pieces of one or two characters."""
+    memo, out = {} if memo is None else memo, set()
+    for places, read in ((set(text.split()), _restored), ({m.group() for m in _SPACED.finditer(text)}, _joined)):
+        for place in places:
+            key = place if read is _restored else (place,)
+            found = memo.get(key)
+            if found is None:
+                if len(memo) > 200_000:
+                    memo.clear()
+                found = memo[key] = read(place, model)
+            out.update(found)
+    return sorted(out)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -146,12 +177,14 @@ STEMS = range(4, 8)
 
 
 def _features(text: str, model: CharModel, memo: dict) -> set[str]:
-    """Words (=word), word beginnings (^stem) and beginnings of two words or more (+stem), what is restored included."""
-    words = set(_WORD.findall(text.lower())) | set(restore(text, model, memo))
+    """Words (=word), word beginnings (^stem), what is restored included, and beginnings of two words or more of the
+    text itself (+stem): a word and what it may stand for are not two words."""
+    plain = set(_WORD.findall(text.lower()))
+    words = plain | set(restore(text, model, memo))
     out = {"=" + w for w in words if len(w) >= 3}
     for size in STEMS:
-        stems = Counter(w[:size] for w in words if len(w) > size)
-        out |= {"^" + s for s in stems} | {"+" + s for s, n in stems.items() if n > 1}
+        stems = Counter(w[:size] for w in plain if len(w) > size)
+        out |= {"^" + w[:size] for w in words if len(w) > size} | {"+" + s for s, n in stems.items() if n > 1}
     return out
 
 
@@ -199,12 +232,12 @@ class Scorer:
         self.plain = {f: (f[1:], re.compile(r"(?<![^\W\d_])" + re.escape(f[1:]) + (r"(?![^\W\d_])" if f[0] == "=" else r"[^\W\d_]+"))) for f in lexicon}
 
     def score(self, text: str) -> float:
-        low = text.lower()
+        low = plain = text.lower()
         if found := restore(text, self.model, self.memo):
             low += "\n" + "\n".join(found)
         miss = 1 - self.base
         for f, (stem, pattern) in self.plain.items():
-            if stem in low and (len(set(pattern.findall(low))) > 1 if f[0] == "+" else pattern.search(low)):
+            if stem in low and (len(set(pattern.findall(plain))) > 1 if f[0] == "+" else pattern.search(low)):
                 miss *= 1 - self.lexicon[f]
         return round(1 - miss, 9)
 

@@ -313,6 +313,32 @@ def test_op4_restores_and_learns(spark):
     assert model.decode("n4sty") == "nasty"
 
 
+@pytest.mark.parametrize("noisy", ["i_d_i_o_t", "i d ! o t", "$ t u p i d", "i - d - i - o - t", "i  d  i  o  t", "stuupid", "st-up-id", "st up id", "id*ot", "id€ot".replace("€", "!"), "m€an", "y o u i d i o t", "you-1diot", "1d10t!", "s.t.u.p.i.d", "STUPIIID", "x" * 60 + "/stup1d"])
+def test_op4_forms(noisy):
+    r = random.Random(37)
+    words = "you are so mean and that was an idiot or a stupid thing to do in the end of this long day but we meet a good friend".split()
+    model = deobfuscate.CharModel(char_table(" ".join(r.choices(words, k=20_000))))
+    found = {w for x in deobfuscate.restore(f"then {noisy}, there", model) for w in x.split()}
+    assert found & {"idiot", "stupid", "mean"}, found
+    assert not {"idiot", "stupid", "mean"} & set(deobfuscate.restore("a good friend, we meet in 2024 - 1,000 of us (at 10:30) to do it", model))
+
+
+def char_table(text):
+    c = deobfuscate._CODE[np.frombuffer(b"\n" + text.encode() + b"\n", np.uint8)].astype(int)
+    return np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3).astype(float)
+
+
+def test_op4_scores_words_in_spaced_runs(spark):
+    r = random.Random(17)
+    bad = ["nasty", "rotten", "wicked"]
+    rows = [(k, " ".join([word(r) for _ in range(20)] + ([r.choice(bad)] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    trained = deobfuscate.train(df, df, F.lit(True))
+    forms = ["n_a_s_t_y", "n @ s t y", "r - o - t - t - e - n", "w  i  c  k  e  d", "na-st-y", "wickeed"]
+    got = deobfuscate.score(spark.createDataFrame([(k, f"abc {x} defg") for k, x in enumerate(forms)], "doc_id long, text string"), trained, ["doc_id"]).collect()
+    assert {forms[x.doc_id] for x in got if x.score < 0.3} == set()
+
+
 def test_op4_and_op7_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
