@@ -1,8 +1,7 @@
 """FLAC streams in numpy: many frames are coded side by side, one lane a frame.
 
 The encoder writes mono 8-bit frames of one size with constant, verbatim, fixed and order-2 linear subframes; the
-decoder reads any mono stream of up to 16 bits that has a seek point for each frame (as the encoder writes), with fixed and linear
-predictors, partitioned Rice residuals of both kinds, escapes and wasted bits, and checks both frame checksums.
+decoder reads any mono stream of up to 16 bits, with or without seek points, with fixed and linear predictors, partitioned Rice residuals of both kinds, escapes and wasted bits, and checks both frame checksums.
 """
 
 from __future__ import annotations
@@ -195,6 +194,8 @@ def stream_info(data: bytes) -> dict:
         raise BadFrame("not a FLAC stream")
     at, last, info, seek = 4, False, None, np.zeros((0, 3), np.int64)
     while not last:
+        if at + 4 > len(data):
+            raise BadFrame("metadata end early")
         last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
         if kind == 0:
@@ -367,6 +368,47 @@ def _header(raw: bytes, a: int) -> tuple[int, int, int, int]:
     return block, {1: 8, 2: 12, 4: 16}.get(bps_code, 0), number, at - a
 
 
+def _offsets(data: bytes, info: dict) -> np.ndarray:
+    """Where the frames of a stream start: its seek points if there is one for each frame, or else sync codes.
+
+    A sync code starts a frame if its header's checksum and number fit and the checksum of the frame before ends there.
+    """
+    seek, size, first = info["seek"], len(data), info["frames"]
+    if len(seek) and info["samples"] == seek[:, 2].sum() and (seek[:, 0] == np.cumsum(seek[:, 2]) - seek[:, 2]).all() and seek[0, 1] == 0 and (np.diff(seek[:, 1]) > 0).all() and first + seek[-1, 1] < size:
+        return seek[:, 1] + first
+    if first >= size:
+        return np.zeros(0, np.int64)
+    buf = np.frombuffer(data, np.uint8)
+    at, heads = [], []
+    for a in (np.flatnonzero((buf[first:-1] == 0xFF) & (buf[first + 1 :] & 0xFE == 0xF8)) + first).tolist():
+        try:
+            head = _header(data, a)
+            if crc8(buf, np.array([a]), np.array([head[3]]))[0] == buf[a + head[3]]:
+                at.append(a)
+                heads.append(head)
+        except (ValueError, IndexError, StopIteration):
+            if a == first:
+                raise
+    if not at or at[0] != first:
+        raise BadFrame("no frame here")
+    ends = np.array([*at[1:], size])
+
+    def fits(k: np.ndarray, end: np.ndarray) -> np.ndarray:
+        begin = np.array(at)[k]
+        crc = crc16(buf, begin, np.maximum(end - begin - 2, 0))
+        return (crc >> 8 == buf[end - 2]) & (crc & 0xFF == buf[end - 1])
+
+    whole = np.concatenate([fits(np.arange(k, min(k + 256, len(at))), ends[k : k + 256]) for k in range(0, len(at), 256)])
+    out, k, samples = [], 0, 0
+    while k < len(at):
+        out.append(at[k])
+        samples += heads[k][0]
+        number = samples if data[at[k] + 1] & 1 else len(out)
+        follow = next((j for j in range(k + 1, len(at)) if heads[j][2] == number and (whole[k] if j == k + 1 else fits(np.array([k]), np.array([at[j]]))[0])), len(at))
+        k = follow
+    return np.array(out, np.int64)
+
+
 def decode_many(streams: list[bytes]) -> list[tuple[dict, np.ndarray]]:
     """(stream_info, samples) of each stream; all frames of all streams are decoded side by side.
 
@@ -374,14 +416,29 @@ def decode_many(streams: list[bytes]) -> list[tuple[dict, np.ndarray]]:
     """
     infos, starts, sizes, at = [stream_info(s) for s in streams], [], [], 0
     for s, info in zip(streams, infos):
-        offs = info["seek"][:, 1] + info["frames"]
+        if info["bps"] > 16 or info["channels"] > 1:
+            raise BadFrame("one channel of 16 bits at most")
+        offs = _offsets(s, info)
         starts.append(offs + at)
         sizes.append(np.diff(np.append(offs, len(s))))
         at += len(s)
     start, size = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
-    if not len(start):
-        return [(i, np.zeros(0, np.int64)) for i in infos]
-    raw = b"".join(streams)
+    frames = _frames(b"".join(streams), start, size, np.repeat([i["bps"] for i in infos], [len(s) for s in starts])) if len(start) else []
+    out, done = [], 0
+    for info, s in zip(infos, starts):
+        samples = np.concatenate([*frames[done : done + len(s)], np.zeros(0, np.int64)])
+        done += len(s)
+        if info["samples"] and len(samples) != info["samples"]:
+            raise BadFrame("sample count")
+        wide = samples.astype("<i1" if info["bps"] <= 8 else "<i2")
+        if any(info["md5"]) and hashlib.md5(wide.tobytes()).digest() != info["md5"]:
+            raise BadFrame("MD5")
+        out.append((info, samples))
+    return out
+
+
+def _frames(raw: bytes, start: np.ndarray, size: np.ndarray, bps_of: np.ndarray) -> list[np.ndarray]:
+    """The samples of each frame, after both of its checksums."""
     buf = np.frombuffer(raw, np.uint8)
     crc = crc16(buf, start, size - 2)
     if ((crc >> 8 != buf[start + size - 2]) | (crc & 0xFF != buf[start + size - 1])).any():
@@ -392,7 +449,6 @@ def decode_many(streams: list[bytes]) -> list[tuple[dict, np.ndarray]]:
         raise BadFrame("header checksum")
     lanes, frames = _Lanes(raw), [None] * len(start)
     shapes = {}
-    bps_of = np.repeat([i["bps"] for i in infos], [len(s) for s in starts])
     for f, h in enumerate(heads):
         shapes.setdefault((h[0], h[1] or int(bps_of[f])), []).append(f)
     for (block, bps), own in shapes.items():
@@ -402,14 +458,4 @@ def decode_many(streams: list[bytes]) -> list[tuple[dict, np.ndarray]]:
             raise BadFrame("frame length")
         for f, row in zip(own.tolist(), got):
             frames[f] = row
-    out, done = [], 0
-    for info, s in zip(infos, starts):
-        samples = np.concatenate([*frames[done : done + len(s)], np.zeros(0, np.int64)])
-        done += len(s)
-        if info["samples"] and len(samples) != info["samples"]:
-            raise BadFrame("sample count")
-        wide = samples.astype("<i1" if info["bps"] <= 8 else "<i2")
-        if any(info["md5"]) and hashlib.md5(wide.tobytes()).digest() != info["md5"]:
-            raise BadFrame("MD5")
-        out.append((info, samples))
-    return out
+    return frames

@@ -201,6 +201,41 @@ def test_flac_round_trip_and_checksums():
         flac.decode_many([bytes(bad)])
 
 
+def without_seek(stream, keep=0, edit=lambda info: info):
+    """The stream with every `keep`-th seek point, or without a table."""
+    size = int.from_bytes(stream[43:46], "big")
+    points = [stream[46 + k : 64 + k] for k in range(0, size, 18)][:: keep or size]
+    table = b"\x83" + (18 * len(points)).to_bytes(3, "big") + b"".join(points) if keep else b""
+    return b"fLaC" + (b"\x00" if keep else b"\x80") + stream[5:8] + edit(stream[8:42]) + table + stream[46 + size :]
+
+
+def test_flac_without_seek_points(spark):
+    r = np.random.default_rng(6)
+    noise = bytearray(r.integers(0, 256, 576 * 5, dtype=np.uint8))
+    fake = b"\xff\xf8\x24\x02\x01"
+    fake += bytes(flac.crc8(np.frombuffer(fake, np.uint8), np.array([0]), np.array([5])))
+    noise[100:106] = bytes(b ^ 0x80 for b in fake)  # a header inside of frame 0 that says it is frame 1
+    loads = [bytes(noise), bytes(r.integers(0, 256, 576 * 300, dtype=np.uint8)), (b"the quick brown fox " * 200)[: 576 * 4], b"\xff" * 576]
+    whole = flac.encode_many(loads)
+    bare, sparse = [without_seek(s) for s in whole], [without_seek(s, 2) for s in whole]
+    assert fake in bare[0]
+    for streams in (bare, sparse, [whole[0], bare[1], sparse[2], bare[3]]):
+        assert [(s + 128).astype(np.uint8).tobytes() for _, s in flac.decode_many(streams)] == loads
+    empty = bare[2][:42]
+    unknown = without_seek(whole[2], edit=lambda i: i[:13] + bytes([i[13] & 0xF0]) + bytes(4) + i[18:])
+    assert (flac.decode_many([unknown])[0][1] + 128).astype(np.uint8).tobytes() == loads[2]
+    torn = bytearray(bare[1])
+    torn[5000] ^= 1
+    for bad in (empty, bare[2][:-100], bytes(torn), bare[2][:20], whole[2][:-100]):
+        for batch in ([bad], [bad, whole[3]], [bare[0], bad]):
+            with pytest.raises(flac.BadFrame):
+                flac.decode_many(batch)
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, bare))), "k long, media binary")
+    got = media.pcm_blocks(rows, "k").collect()
+    for k, load in enumerate(loads):
+        assert bytes(b ^ 0x80 for x in sorted(got, key=lambda g: g.block) if x.k == k for b in x.pcm) == load
+
+
 def test_op9_media(spark, docs):
     want = []
     for d, t, _ in docs.collect():
