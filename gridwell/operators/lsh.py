@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwell.functions.mod64 import affine, signed, unsigned_min
-from gridwell.operators.matrix import Matrix
+from gridwell.operators.joins import heavy_join
+from gridwell.operators.matrix import SCAN_BUCKET, Matrix
+from gridwell.plans.runtime import materialize, small
 
 # The congruential generator that gives the coefficients, and the bounds of a bucket's pairs.
 LCG_MUL, LCG_ADD = 6364136223846793005, 1442695040888963407
 BUCKET_LIMIT, WINDOW_ROWS = 256, 16
+#: Rows of a large bucket that one task pairs.
+RUN_ROWS = 1 << 16
 
 
 def coefficients(k: int, seed: int = 12345) -> list[tuple[int, int]]:
@@ -30,7 +34,7 @@ def signatures(m: Matrix, k: int = 64, seed: int = 12345) -> DataFrame:
     One aggregation with map-side minima: what is shuffled is a signature a row and task, not the entries.
     """
     coef = coefficients(k, seed)
-    held = m.entries.groupBy("i").agg(*[unsigned_min(affine(a, b, F.col("j"))).alias(f"h{d}") for d, (a, b) in enumerate(coef)])
+    held = m.entries.groupBy("i").agg(*[unsigned_min(affine(a, b, F.col("j"), m.ncols > 1 << 31)).alias(f"h{d}") for d, (a, b) in enumerate(coef)])
     empty = F.array_repeat(F.lit(signed(-1)), k)
     own = held.select("i", F.array(*[f"h{d}" for d in range(k)]).alias("sig"))
     return m.rows().join(own, "i", "left").select("i", F.coalesce("sig", empty).alias("sig"))
@@ -50,25 +54,46 @@ def bands(sigs: DataFrame, k: int, n: int) -> DataFrame:
     return sigs.select("i", F.posexplode(cut).alias("band", "part"))
 
 
+def _run_pairs(banded: DataFrame, window: int) -> DataFrame:
+    """(i, j): each row of a bucket with its next `window` rows.
+
+    Rows are numbered over cells of row ids and cut into runs of RUN_ROWS, to which the first `window` rows of the next
+    run are copied: a bucket of any size is as many tasks' work as it has runs.
+    """
+    cell = F.floor(F.col("i") / SCAN_BUCKET)
+    placed = banded.withColumn("cell", cell)
+    sizes = placed.groupBy("band", "part", "cell").agg(F.count("*").alias("size"))
+    base = sizes.withColumn("base", F.sum("size").over(Window.partitionBy("band", "part").orderBy("cell")) - F.col("size")).drop("size")
+    at = F.row_number().over(Window.partitionBy("band", "part", "cell").orderBy("i")) - 1
+    held = placed.withColumn("at", at).join(base, ["band", "part", "cell"]).withColumn("at", F.col("base") + F.col("at")).withColumn("run", F.floor(F.col("at") / RUN_ROWS))
+    runs = F.when((F.col("run") > 0) & (F.col("at") % RUN_ROWS < window), F.array("run", F.col("run") - 1)).otherwise(F.array("run"))
+    dealt = held.select("band", "part", "i", "at", F.col("run").alias("home"), F.explode(runs).alias("run"))
+    ahead = F.collect_list("i").over(Window.partitionBy("band", "part", "run").orderBy("at").rowsBetween(1, window))
+    return dealt.withColumn("next", ahead).filter("home = run").select("i", F.explode("next").alias("j"))
+
+
 def bucket_pairs(banded: DataFrame, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS) -> DataFrame:
     """Distinct (i, j), i < j, of rows that share a bucket; in buckets of over `limit` rows each with its next `window`.
 
-    limit None gives all pairs of every bucket.
+    limit None gives all pairs of every bucket, by a join that deals buckets of many pairs to several tasks.
     """
-    by = Window.partitionBy("band", "part")
-    placed = banded.withColumn("at", F.row_number().over(by.orderBy("i"))).withColumn("n", F.count("*").over(by)).filter("n > 1")
     if limit is None:
-        other = placed.select("band", "part", F.col("i").alias("j"), F.col("at").alias("bt"))
-        return placed.join(other, ["band", "part"]).filter("bt > at").select("i", "j").distinct()
-    # lead() over the bucket gives the partners without a self-join
-    reach = F.when(F.col("n") <= limit, F.col("n")).otherwise(F.lit(window))
-    ahead = F.collect_list("i").over(by.orderBy("i").rowsBetween(1, max(limit - 1, window)))
-    return placed.withColumn("next", F.slice(ahead, 1, reach.cast("int"))).select("i", F.explode("next").alias("j")).distinct()
+        return heavy_join(banded, banded.select("band", "part", F.col("i").alias("j")), ["band", "part"], ["i"]).filter("i < j").select("i", "j").distinct()
+    large = banded.groupBy("band", "part").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("band", "part")
+    rest, out = banded, None
+    if large.limit(1).count():
+        large = small(materialize(large, "lsh-buckets"))
+        rest, out = banded.join(large, ["band", "part"], "left_anti"), _run_pairs(banded.join(large, ["band", "part"]), window)
+    # a small bucket is one row; its pairs are unfolded in place
+    ids = rest.groupBy("band", "part").agg(F.sort_array(F.collect_list("i")).alias("ids")).filter(F.size("ids") > 1)
+    first = ids.select(F.posexplode("ids").alias("at", "i"), "ids").filter(F.col("at") + 1 < F.size("ids"))
+    pairs = first.select("i", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("j"))
+    return (pairs if out is None else pairs.unionByName(out)).distinct()
 
 
 def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS) -> DataFrame:
-    """(i, j, score) of candidate pairs, score the estimated similarity."""
-    sigs = signatures(m, k, seed)
+    """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once."""
+    sigs = materialize(signatures(m, k, seed), "lsh-signatures")
     pairs = bucket_pairs(bands(sigs, k, n), limit, window)
     left, right = sigs.select("i", F.col("sig").alias("a")), sigs.select(F.col("i").alias("j"), F.col("sig").alias("b"))
     return pairs.join(left, "i").join(right, "j").select("i", "j", estimated_jaccard(F.col("a"), F.col("b")).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridwell.operators.joins import heavy_join
 from gridwell.operators.matrix import Matrix
 from gridwell.plans.runtime import materialize
 
@@ -13,7 +14,8 @@ def exact_jaccard(m: Matrix, pairs: DataFrame) -> DataFrame:
     cells = m.entries.select("i", "j").distinct()
     size = cells.groupBy("i").agg(F.count("*").alias("n"))
     one = pairs.select("a", "b").distinct()
-    shared = one.join(cells.withColumnRenamed("i", "a"), "a").join(cells.withColumnRenamed("i", "b"), ["b", "j"]).groupBy("a", "b").agg(F.count("*").alias("c"))
+    left = heavy_join(one, cells.withColumnRenamed("i", "a"), ["a"], ["b"])  # a row in many pairs is dealt by its partners
+    shared = left.join(cells.withColumnRenamed("i", "b"), ["b", "j"]).groupBy("a", "b").agg(F.count("*").alias("c"))
     held = one.join(shared, ["a", "b"], "left").join(size.select(F.col("i").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b", "left")
     c, union = F.coalesce("c", F.lit(0)), F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - F.coalesce("c", F.lit(0))
     return held.select("a", "b", F.when(union > 0, c / union).otherwise(0.0).alias("jaccard"))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.operators import layouts, work
+from gridwell.operators.joins import HEAVY_ROWS, heavy_join
 from gridwell.operators.matrix import Matrix
-from gridwell.plans.runtime import materialize, small
+from gridwell.plans.runtime import materialize, partitions, small
 
-#: Columns up to which a dense row accumulator is used.
-SPA_COLUMNS = 1 << 20
-#: Products of one join key from which it is dealt to several tasks.
-HEAVY_PRODUCTS = 50_000_000
+#: Columns up to which a dense row accumulator is used, rows of a block and cells of it at most.
+SPA_COLUMNS, SPA_ROWS, SPA_CELLS = 1 << 20, 128, 1 << 22
+#: Columns of a piece of a row of B, and products that are formed at once.
+PIECE_COLUMNS, FLUSH_PRODUCTS = 1 << 16, 1 << 21
 
 
 def _right(b: Matrix) -> DataFrame:
@@ -25,32 +26,20 @@ def _check(a: Matrix, b: Matrix) -> None:
         raise ValueError(f"{a.nrows} x {a.ncols} times {b.nrows} x {b.ncols}")
 
 
-def products(a: Matrix, b: Matrix, heavy: int = HEAVY_PRODUCTS) -> DataFrame:
-    """(i, j, p) of every product a[i, k] b[k, j].
-
-    A key k costs count_A(k) * count_B(k) products. Keys over `heavy` are salted: the rows of A are dealt to several
-    tasks by their row, the row of B is repeated for each.
-    """
+def products(a: Matrix, b: Matrix, heavy: int | None = None) -> DataFrame:
+    """(i, j, p) of every product a[i, k] b[k, j]. Keys k of over `heavy` products are dealt to several tasks by i."""
     _check(a, b)
-    left, right = a.entries.withColumnRenamed("j", "k"), _right(b)
-    cost = a.entries.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("na")).join(b.entries.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("nb")), "k")
-    hot = cost.filter(F.col("na") * F.col("nb") > heavy).select("k", F.least(F.lit(1024), F.ceil(F.col("na") * F.col("nb") / heavy)).cast("int").alias("parts"))
-    if hot.limit(1).count():
-        hot = small(hot)
-        left = left.join(hot, "k", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        right = right.join(hot, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
-        joined = left.join(right, ["k", "salt"])
-    else:
-        joined = left.join(right, "k")
+    joined = heavy_join(a.entries.withColumnRenamed("j", "k"), _right(b), ["k"], ["i"], heavy)
     return joined.select("i", F.col("bj").alias("j"), (F.col("v") * F.col("bv")).alias("p"))
 
 
 def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = False, members: DataFrame | None = None) -> Matrix:
-    """C = A B. Cancelled cells stay as zeros unless drop_zeros.
+    """C = A B. hash, sorted and spa keep cancelled cells as zeros unless drop_zeros; cluster and mixed drop them always,
+    as zeros are what pads a cluster's lanes.
 
-    hash: join and hash aggregation. sorted: the same, rows in order. spa: a dense numpy accumulator a row block.
+    hash: join and hash aggregation. sorted: the same, rows in order. spa: dense numpy accumulators of blocks of rows.
     cluster: A in cluster layout, lanes are summed together. mixed: clusters are told apart by `work.classify`, dense
-    ones get a numpy accumulator over their column range, the others the cluster strategy. members(i, cluster, lane, csz).
+    ones get a dense accumulator over their column range, the others the cluster strategy. members(i, cluster, lane, csz).
     """
     if strategy in ("hash", "sorted", "auto"):
         out = products(a, b).groupBy("i", "j").agg(F.sum("p").alias("v"))
@@ -67,60 +56,123 @@ def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = Fals
     return c.with_entries(c.sorted()) if strategy == "sorted" else c
 
 
+class _Accumulator:
+    """A dense block of cells with the list of those that were hit."""
+
+    def __init__(self):
+        self.cells, self.hit = np.zeros(0), np.zeros(0, bool)
+
+    def open(self, cluster: int, low: int, width: int, lanes: int) -> None:
+        self.cluster, self.low, self.width, self.ids = cluster, low, width, np.full(lanes, -1, np.int64)
+        if len(self.cells) < lanes * width:
+            self.cells, self.hit = np.zeros(lanes * width), np.zeros(lanes * width, bool)
+        self.size = lanes * width
+
+    def add(self, cell: np.ndarray, value: np.ndarray) -> None:
+        if len(cell) * 8 > self.size:
+            self.cells[: self.size] += np.bincount(cell, value, self.size)
+        else:
+            np.add.at(self.cells, cell, value)
+        self.hit[cell] = True
+
+    def close(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.hit[: self.size])
+        out = pa.RecordBatch.from_arrays([pa.array(self.ids[at // self.width]), pa.array(at % self.width + self.low), pa.array(self.cells[at])], names=["i", "j", "v"])
+        self.cells[at], self.hit[at] = 0, False
+        return out
+
+
+def _accumulate(batches):
+    """Sums of products of batches(cluster, csz, low, width, lane, i, v, bj, bv) that are sorted by cluster.
+
+    A row is the outer product of a column of A inside its cluster and a piece of a row of B. Products are formed
+    FLUSH_PRODUCTS at a time and added to one dense block, which is written out where the cluster ends.
+    """
+    acc, open_ = _Accumulator(), False
+    for batch in batches:
+        cluster, csz, low, width = (batch.column(k).to_numpy() for k in range(4))
+        lane, ids, v, bj, bv = (batch.column(k).flatten().to_numpy() for k in range(4, 9))
+        lanes, cols = (np.diff(batch.column(k).offsets.to_numpy()).astype(np.int64) for k in (4, 7))
+        lane_at, col_at = np.append(0, np.cumsum(lanes)), np.append(0, np.cumsum(cols))
+        done = np.append(0, np.cumsum(lanes * cols))
+        ends = np.append(np.flatnonzero(np.diff(cluster)) + 1, len(cluster))
+        a = 0
+        for end in ends.tolist() if len(cluster) else ():
+            if open_ and acc.cluster != cluster[a]:
+                yield acc.close()
+                open_ = False
+            if not open_:
+                acc.open(int(cluster[a]), int(low[a]), int(width[a]), int(csz[a]))
+                open_ = True
+            while a < end:
+                z = max(a + 1, min(end, int(np.searchsorted(done, done[a] + FLUSH_PRODUCTS, side="right")) - 1))
+                rows = np.repeat(np.arange(a, z), lanes[a:z])  # a row of the batch for each of its lanes
+                own = slice(lane_at[a], lane_at[z])
+                acc.ids[lane[own]] = ids[own]
+                n = cols[rows]
+                begin = np.append(0, np.cumsum(n))
+                at = np.arange(begin[-1]) + np.repeat(col_at[rows] - begin[:-1], n)
+                acc.add(np.repeat(lane[own].astype(np.int64) * acc.width - acc.low, n) + bj[at], np.repeat(v[own], n) * bv[at])
+                a = z
+    if open_:
+        yield acc.close()
+
+
+def _dense(own: DataFrame, b: Matrix) -> DataFrame:
+    """(i, j, v) of the products of own(i, cluster, lane, csz, low, width, k, v) and B in dense accumulators.
+
+    Nothing is summed before them. A column of A inside a cluster and a piece of a row of B, each as arrays, make one
+    row, so a shared row of B moves once for all lanes of the cluster. Clusters over HEAVY_ROWS products are dealt to
+    several accumulators by k, whose blocks are then added.
+    """
+    left = own.repartition("cluster", "k").groupBy("cluster", "k", "lane").agg(*[F.any_value(c).alias(c) for c in ("csz", "low", "width", "i")], F.sum("v").alias("v"))
+    left = left.groupBy("cluster", "k").agg(*[F.any_value(c).alias(c) for c in ("csz", "low", "width")], F.collect_list(F.struct("lane", "i", "v")).alias("own"))
+    right = _right(b).withColumn("piece", F.floor(F.col("bj") / PIECE_COLUMNS)).repartition("k", "piece")
+    right = right.groupBy("k", "piece", "bj").agg(F.sum("bv").alias("bv")).groupBy("k", "piece").agg(F.collect_list(F.struct("bj", "bv")).alias("row"))
+    joined = left.join(right, "k").select("cluster", "csz", "low", "width", "k", F.size("own").cast("long").alias("n"), *[F.col(f"own.{c}").alias(c) for c in ("lane", "i", "v")], F.col("row.bj").alias("bj"), F.col("row.bv").alias("bv"))
+    joined = materialize(joined, "spgemm-rows")
+    heavy = joined.groupBy("cluster").agg(F.sum(F.col("n") * F.size("bj")).alias("work")).filter(F.col("work") > HEAVY_ROWS).select("cluster", F.ceil(F.col("work") / HEAVY_ROWS).cast("int").alias("parts"))
+    hot = bool(heavy.limit(1).count())
+    salt = F.lit(0)
+    if hot:
+        joined = joined.join(small(heavy), "cluster", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = joined.withColumn("salt", salt).repartition(partitions(b.entries.sparkSession), "cluster", "salt").sortWithinPartitions("salt", "cluster")
+    out = dealt.select("cluster", "csz", "low", "width", "lane", "i", "v", "bj", "bv").mapInArrow(_accumulate, "i long, j long, v double")
+    return out.groupBy("i", "j").agg(F.sum("v").alias("v")) if hot else out
+
+
 def _spa(a: Matrix, b: Matrix) -> DataFrame:
-    """Row blocks accumulate into dense rows of B's width; wider matrices take the hash strategy."""
+    """Blocks of rows accumulate into dense rows of B's width; where B is wider than SPA_COLUMNS, the hash strategy."""
     _check(a, b)
     if b.ncols > SPA_COLUMNS:
         return products(a, b).groupBy("i", "j").agg(F.sum("p").alias("v"))
-    width = b.ncols
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(rows["i"].to_numpy(), return_inverse=True)
-        out = []
-        step = max(1, (1 << 22) // width)  # dense rows held at once
-        j, p = rows["j"].to_numpy(), rows["p"].to_numpy()
-        for lo in range(0, len(ids), step):
-            own = (at >= lo) & (at < lo + step)
-            cell = (at[own] - lo) * width + j[own]
-            acc = np.bincount(cell, weights=p[own], minlength=step * width)
-            seen = np.flatnonzero(np.bincount(cell, minlength=step * width))
-            out.append(pd.DataFrame({"i": ids[lo + seen // width], "j": seen % width, "v": acc[seen]}))
-        return pd.concat(out)
-
-    combined = products(a, b).groupBy("i", "j").agg(F.sum("p").alias("p"))
-    return combined.withColumn("block", F.floor(F.col("i") / 64)).groupBy("block").applyInPandas(lambda pdf: run(pdf), "i long, j long, v double")
+    rows = max(1, min(SPA_ROWS, SPA_CELLS // max(b.ncols, 1)))
+    own = a.entries.select("i", F.floor(F.col("i") / rows).alias("cluster"), (F.col("i") % rows).cast("int").alias("lane"), F.lit(rows).alias("csz"), F.lit(0).cast("long").alias("low"), F.lit(b.ncols).cast("long").alias("width"), F.col("j").alias("k"), "v")
+    return _dense(own, b)
 
 
 def _clustered(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
-    """Join rows are shared columns rather than entries; each lane is summed in one aggregation."""
+    """Join rows are shared columns rather than entries; each lane is summed in one aggregation. Columns of over
+    HEAVY_ROWS joined rows are dealt to several tasks by cluster."""
     _check(a, b)
     layout = layouts.cluster_layout(a, members)
     most = members.agg(F.max("csz")).first()[0] or 1
-    hit = layout.join(_right(b), F.col("j") == F.col("k"))
+    hit = heavy_join(layout.withColumnRenamed("j", "k"), _right(b), ["k"], ["cluster"])
     sums = [F.sum(F.coalesce(F.get("lanes", F.lit(p)), F.lit(0.0)) * F.col("bv")).alias(f"l{p}") for p in range(most)]
     held = hit.groupBy("cluster", "bj").agg(*sums).select("cluster", F.col("bj").alias("j"), F.array(*[f"l{p}" for p in range(most)]).alias("lanes"))
     return layouts.cluster_to_entries(held, members)
 
 
 def _mixed(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
+    """Dense clusters accumulate into blocks over their column range, the others take the cluster strategy."""
     flags = materialize(work.classify(a, b, members), "mixed-clusters")  # the symbolic product runs once
-    dense = flags.filter("dense = 1").select("cluster", "min_col", "max_col")
-    sparse = members.join(small(dense), "cluster", "left_anti")
-    rows = lambda own: a.with_entries(a.entries.join(small(own.select("i")), "i", "left_semi"))
-    by_hash = _clustered(rows(sparse), b, sparse)
-    inside = members.join(small(dense), "cluster")
-    hit = products(rows(inside), b).groupBy("i", "j").agg(F.sum("p").alias("p")).join(small(inside.select("i", "cluster", "lane", "csz", "min_col", "max_col")), "i")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, width, csz = int(pdf["min_col"].iat[0]), int(pdf["max_col"].iat[0] - pdf["min_col"].iat[0] + 1), int(pdf["csz"].iat[0])
-        acc = np.zeros((csz, width))
-        np.add.at(acc, (pdf["lane"].to_numpy(), pdf["j"].to_numpy() - low), pdf["p"].to_numpy())
-        lane, at = np.nonzero(acc)
-        first = int(pdf["i"].iat[0])
-        ids = dict(zip(pdf["lane"], pdf["i"]))
-        return pd.DataFrame({"i": [ids.get(x, first) for x in lane.tolist()], "j": at + low, "v": acc[lane, at]})
-
-    return by_hash.unionByName(hit.groupBy("cluster").applyInPandas(run, "i long, j long, v double"))
+    dense = small(flags.filter("dense = 1").select("cluster", F.col("min_col").alias("low"), (F.col("max_col") - F.col("min_col") + 1).alias("width")))
+    sparse = members.join(dense, "cluster", "left_anti")
+    rows = a.with_entries(a.entries.join(small(sparse.select("i")), "i", "left_semi"))
+    inside = members.join(dense, "cluster")
+    own = a.entries.join(small(inside), "i").select("i", "cluster", "lane", "csz", "low", "width", F.col("j").alias("k"), "v")
+    return _clustered(rows, b, sparse).unionByName(_dense(own, b).filter("v <> 0"))
 
 
 def flops(a: Matrix, b: Matrix) -> DataFrame:
@@ -132,7 +184,7 @@ def flops(a: Matrix, b: Matrix) -> DataFrame:
 
 def symbolic(a: Matrix, b: Matrix) -> DataFrame:
     """(i, nnz) of C's rows with entries, without values."""
-    pairs = a.entries.select("i", F.col("j").alias("k")).join(b.entries.select(F.col("i").alias("k"), "j"), "k").select("i", "j").distinct()
+    pairs = heavy_join(a.entries.select("i", F.col("j").alias("k")), b.entries.select(F.col("i").alias("k"), "j"), ["k"], ["i"]).select("i", "j").distinct()
     return pairs.groupBy("i").agg(F.count("*").alias("nnz"))
 
 
@@ -140,7 +192,7 @@ def topk_jaccard(m: Matrix, k: int = 7) -> DataFrame:
     """(i, j, jaccard): each row's k most similar other rows by shared columns; score falls, ties by j."""
     cells = m.entries.select("i", "j").distinct()
     size = cells.groupBy("i").agg(F.count("*").alias("n"))
-    shared = cells.join(cells.select(F.col("i").alias("o"), "j"), "j").filter("i <> o").groupBy("i", "o").agg(F.count("*").alias("c"))
+    shared = heavy_join(cells, cells.select(F.col("i").alias("o"), "j"), ["j"], ["i"]).filter("i <> o").groupBy("i", "o").agg(F.count("*").alias("c"))
     other = size.select(F.col("i").alias("o"), F.col("n").alias("no"))
     scored = shared.join(size, "i").join(other, "o").select("i", F.col("o").alias("j"), (F.col("c") / (F.col("n") + F.col("no") - F.col("c"))).alias("jaccard"))
     by = Window.partitionBy("i").orderBy(F.desc("jaccard"), "j")

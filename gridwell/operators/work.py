@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridwell.operators.joins import heavy_join
 from gridwell.operators.matrix import Matrix, prefix_sum
 
 # Fixed values of the cost model.
@@ -62,7 +63,7 @@ def cluster_stats(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
     """(cluster, csz, acols, nnz, min_col, max_col): shared columns of A, and C's columns."""
     cols = a.entries.select("i", "j").join(members.select("i", "cluster", "csz"), "i").select("cluster", "csz", "j").distinct()
     acols = cols.groupBy("cluster", "csz").agg(F.count("*").alias("acols"))
-    out = cols.join(b.entries.select(F.col("i").alias("j"), F.col("j").alias("c")), "j").select("cluster", "c").distinct()
+    out = heavy_join(cols, b.entries.select(F.col("i").alias("j"), F.col("j").alias("c")), ["j"], ["cluster"]).select("cluster", "c").distinct()
     return acols.join(out.groupBy("cluster").agg(F.count("*").alias("nnz"), F.min("c").alias("min_col"), F.max("c").alias("max_col")), "cluster")
 
 

@@ -6,11 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Rows up to which a side of a join may be broadcast after it has been counted.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+#: Rows and bytes up to which a side of a join may be broadcast after both have been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 #: Rows and bytes of the record batches that go to Python workers: whole documents may be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -58,9 +57,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it is counted and has at most `limit` rows; unchanged otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """About the bytes that a column's value takes in a row."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+        return F.greatest(F.size(col), F.lit(0)).cast("long") * 8 + 24
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)).cast("long") * 2 + 24
+    return F.lit(16).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `limit` rows and `max_bytes` bytes, both counted; unchanged otherwise."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    rows, size = df.select(width.alias("width")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= max_bytes else df
 
 
 def partitions(spark: SparkSession) -> int:

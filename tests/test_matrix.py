@@ -114,6 +114,47 @@ def test_hash_arithmetic(spark):
         xs = [0, 1, (1 << 31) - 1] + [r.randrange(1 << 31) for _ in range(20)]
         rows = spark.createDataFrame([(x,) for x in xs], "x long").select("x", affine(a, b, F.col("x")).alias("h")).collect()
         assert all(row.h == signed(a * row.x + b) for row in rows)
+        xs += [1 << 31, 1 << 62, (1 << 63) - 1] + [r.randrange(1 << 63) for _ in range(20)]
+        rows = spark.createDataFrame([(x,) for x in xs], "x long").select("x", affine(a, b, F.col("x"), wide=True).alias("h")).collect()
+        assert all(row.h == signed(a * row.x + b) for row in rows)
+
+
+def test_buckets_of_any_size(spark, monkeypatch):
+    """Pairs of small and large buckets, whatever the runs that large ones are cut into."""
+    r = random.Random(14)
+    rows = [(i, b, [r.choice([1, 1, 1, 2, 3, 4])]) for i in r.sample(range(500), 120) for b in range(2)]
+    df = spark.createDataFrame(rows, "i long, band int, part array<long>")
+    for limit, window, run in ((5, 3, 4), (30, 7, 8), (200, 2, 4), (1, 1, 1)):
+        monkeypatch.setattr(lsh, "RUN_ROWS", max(run, window))
+        monkeypatch.setattr(lsh, "SCAN_BUCKET", 64)
+        want = set()
+        for key in {(b, p[0]) for _, b, p in rows}:
+            ids = sorted(i for i, b, p in rows if (b, p[0]) == key)
+            for k, i in enumerate(ids):
+                want |= {(i, j) for j in (ids[k + 1 :] if len(ids) <= limit else ids[k + 1 : k + 1 + window])}
+        assert {tuple(x) for x in lsh.bucket_pairs(df, limit, window).collect()} == want
+    every = {(a, b) for a, n, p in rows for b, m, q in rows if a < b and (n, p) == (m, q)}
+    monkeypatch.setattr("gridwell.operators.joins.HEAVY_ROWS", 50)
+    assert {tuple(x) for x in lsh.bucket_pairs(df, None).collect()} == every
+
+
+def test_heavy_joins_and_dense_blocks(spark, monkeypatch):
+    """Salted keys, many flushes, cut rows of B and repeated cells leave every strategy's result as it is."""
+    a, b = random_cells(21, 40, 25, 300), random_cells(22, 25, 60, 300)
+    ma, mb = make(spark, a, 40, 25), make(spark, b, 25, 60)
+    want = got(spgemm.spgemm(ma, mb).entries)
+    monkeypatch.setattr("gridwell.operators.joins.HEAVY_ROWS", 20)
+    monkeypatch.setattr(spgemm, "HEAVY_ROWS", 100)
+    monkeypatch.setattr(spgemm, "FLUSH_PRODUCTS", 16)
+    monkeypatch.setattr(spgemm, "PIECE_COLUMNS", 8)
+    monkeypatch.setattr(spgemm, "SPA_CELLS", 60 * 6)
+    for strategy in ("hash", "spa"):
+        assert got(spgemm.spgemm(ma, mb, strategy).entries) == want
+    members = layouts.fixed_clusters(ma, 8)
+    for strategy in ("cluster", "mixed"):
+        assert got(spgemm.spgemm(ma, mb, strategy, members=members).entries) == {c: v for c, v in want.items() if v}
+    assert work.classify(ma, mb, members).agg(F.sum("dense")).first()[0] > 0
+    assert got(spgemm.spgemm(make(spark, [], 40, 25), mb, "spa").entries) == {}
 
 
 def test_empty_rows_collide(spark):
@@ -196,6 +237,78 @@ def test_matrix_market(spark, tmp_path):
     assert {(r.i, r.j, r.score) for r in mtx.read_pairs(spark, str(pairs)).collect()} == {(0, 1, 0.25), (2, 3, 0.5)}
 
 
+def test_part_files_are_read_in_order(spark, tmp_path):
+    """Four parts of growing size: Spark reads the last one first."""
+    r = random.Random(15)
+    cells = {(min(999, int(1000 * (1 - r.random() ** 3))), r.randrange(50)): float(r.randrange(1, 900)) for _ in range(4000)}
+    m = make(spark, [(i, j, v) for (i, j), v in cells.items()], 1000, 50)
+    mtx.write_mtx(m, str(tmp_path / "m"), parts=4)
+    sizes = [os.path.getsize(tmp_path / "m" / f) for f in sorted(os.listdir(tmp_path / "m")) if f.startswith("part")]
+    assert len(sizes) == 4
+    back = mtx.read_mtx(spark, str(tmp_path / "m"))
+    assert got(back.entries) == cells and (back.nrows, back.ncols) == (1000, 50) and back.entries.count() == len(cells)
+    numbers = r.sample(range(10**6), 4000)
+    for k, (lo, hi) in enumerate(((0, 40), (40, 300), (300, 1200), (1200, 4000))):
+        for name, lines in (("p", numbers[lo:hi]), ("q", [f"{x % 40} {x % 7} {x}" for x in numbers[lo:hi]])):
+            (tmp_path / name).mkdir(exist_ok=True)
+            head = ["%%MatrixMarket matrix coordinate real general", "% note", "9 9 4000"] if k == 0 and name == "q" else []
+            (tmp_path / name / f"part-{k:05d}.txt").write_text("\n".join(map(str, [*head, *lines])) + "\n")
+    perm = mtx.read_permutation(spark, str(tmp_path / "p")).orderBy("new_row").collect()
+    assert [x.old_row for x in perm] == numbers and [x.new_row for x in perm] == list(range(4000))
+    spans = mtx.read_offsets(spark, str(tmp_path / "p")).orderBy("cluster").collect()
+    assert [(x.start, x.stop) for x in spans] == list(zip(numbers, numbers[1:]))
+    shift = 0 if 0 in (numbers[0] % 40, numbers[0] % 7) else 1
+    want = {(x % 40 - shift, x % 7 - shift): float(x) for x in numbers if min(x % 40, x % 7) >= shift}
+    assert {(x.i, x.j): x.score for x in mtx.read_pairs(spark, str(tmp_path / "q")).collect()} == want
+    # splits of one file, and entries that look like the size line
+    big = tmp_path / "big.mtx"
+    big.write_text("%%MatrixMarket matrix coordinate pattern general\n%\n\n2 2 3\n" + "2 2 3\n" * 3 + "1 2\n" * 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        again = mtx.read_mtx(spark, str(big))
+        assert {(x.i, x.j): x["count"] for x in again.entries.groupBy("i", "j").count().collect()} == {(1, 1): 3, (0, 1): 4000}
+        one = tmp_path / "one.perm"
+        one.write_text("\n".join(map(str, numbers)))
+        assert [x.old_row for x in mtx.read_permutation(spark, str(one)).orderBy("new_row").collect()] == numbers
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for text in ("1 1 1\n", "%%MatrixMarket matrix coordinate real general\n", "%%MatrixMarket matrix coordinate real general\n1 x 2\n"):
+        (tmp_path / "bad.mtx").write_text(text)
+        with pytest.raises(mtx.BadHeader):
+            mtx.read_mtx(spark, str(tmp_path / "bad.mtx"))
+
+
+def test_written_numbers_and_layout_readers(spark, tmp_path):
+    values = [425.0, 0.1, 1 / 3, 1e-5, 1.5e300, 12345678901234567.0, 0.0, -2.5e-10, 1234567890123456.7, 100000.0]
+    m = make(spark, [(k, k, v) for k, v in enumerate(values)], 10, 10)
+    mtx.write_mtx(m, str(tmp_path / "n"), parts=1)
+    lines = [x for x in (tmp_path / "n").glob("part*")][0].read_text().splitlines()[2:]
+    assert lines == [f"{k + 1} {k + 1} %20.16g" % v for k, v in enumerate(values)]
+    cells = random_cells(16, 12, 9, 40)
+    m = make(spark, cells, 12, 9)
+    path = str(tmp_path / "l")
+    mtx.write_mtx(m, path, parts=3)
+    own = m.compact()
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert got(layouts.csr_to_entries(mtx.read_layout(spark, path, "csr"))) == got(own.entries)
+    for name, options, want in (("bsr", {"br": 2, "bc": 3}, layouts.bsr(own, 2, 3)), ("csr5", {"omega": 2, "sigma": 4}, layouts.csr5(own, 2, 4)), ("ell", {}, layouts.ell(own)), ("dia", {}, layouts.dia(own)), ("sell", {"chunk": 4}, layouts.sell(own, 0, 4, 4)), ("sell_c_sigma", {"chunk": 4, "sigma": 8}, layouts.sell(own, 8, 4, 4)), ("sell_c_r", {"chunk": 4}, layouts.sell(own, None, 4, 4))):
+        assert order(mtx.read_layout(spark, path, name, **options)) == order(want), name
+    with pytest.raises(ValueError):
+        mtx.read_layout(spark, path, "coo5")
+
+
+def test_feature_files(spark, tmp_path):
+    cells = random_cells(18, 300, 280, 900)
+    m = make(spark, cells, 300, 280).compact()
+    mtx.write_features({"basic": features.basic(m), "rows": features.spread(m.row_counts())}, str(tmp_path / "f"))
+    rows = {(x.feature, x.name): x.value for x in spark.read.parquet(str(tmp_path / "f")).collect()}
+    n = sum(1 for v in dense(cells).values() if v)
+    assert rows["basic", "nnz"] == n and rows["rows", "most"] >= 1
+    mtx.write_feature_images(m, str(tmp_path / "i"))
+    sums = {x.image: x.n for x in spark.read.parquet(str(tmp_path / "i")).groupBy("image").agg(F.sum("n").alias("n")).collect()}
+    assert sums == {"tile": n, "rb": n, "cb": n}
+
+
 def test_consecutive_clusters(spark):
     rows = [{1, 2}, {1, 2}, {2, 3}, {9}, set(), set(), {4}, {4}]
     m = make(spark, [(i, j, 1) for i, c in enumerate(rows) for j in c], 8, 10)
