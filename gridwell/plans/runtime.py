@@ -52,14 +52,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def name(column: str) -> str:
+    """A column's name as SQL, whatever is in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def quoted(column: str) -> Column:
+    return F.col(name(column))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _width(name: str, kind: T.DataType) -> Column:
+def _width(column: str, kind: T.DataType) -> Column:
     """About the bytes that a column's value takes in a row."""
-    col = F.col(f"`{name}`")
+    col = quoted(column)
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
