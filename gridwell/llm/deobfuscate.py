@@ -11,9 +11,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridwell.llm.sample import labelled_sample
+from gridwell.plans.runtime import quoted
 
 #: Rows of each label that the lexicon is fitted on at most; they are the ones with the lowest hash of their text.
 FIT_POSITIVE, FIT_NEGATIVE = 2000, 4000
@@ -30,7 +31,7 @@ _CODE[128:] = 27
 
 
 def _code(c: str) -> int:
-    return ord(c) - 97 if "a" <= c <= "z" else 27 if c.isalpha() else 26
+    return ord(c) - 97 if "a" <= c <= "z" else 27 if c and c.isalpha() else 26
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -67,37 +68,42 @@ class CharModel:
         """The likeliest letters behind noisy text and their score: signs may stand for letters or be noise, repeated
         letters may be one, a star may be any letter. With edges, what separates letters may be a word's edge.
 
-        Exact Viterbi: a state is the last two letters put out.
+        Exact Viterbi with back-pointers: a state is the last two letters put out, so time and memory grow with the
+        length of the text.
         """
-        states = {(26, 26): (0.0, "")}
+        states, back = {(26, 26): 0.0}, []
         prev, times = "", 0
         for c in noisy.lower():
-            options = []
             times = times + 1 if c == prev else 1
-            if c.isalpha():
-                options.append((c, 0.0))
-                if times > 1:
-                    options.append(("", -2.5 if times == 2 else -1.0))
-            elif c == "*" and not edges:
-                options += [(x, -1.0) for x in _LETTERS]
-                options.append(("", -4.0))
-            else:
-                options += [(x, -0.7) for x in LEET.get(c, "")]
-                options.append(("", -9.0 if c in LEET else -2.0 if c == _FAR else -0.5))
-                if edges and c not in LEET:
-                    options.append((" ", 0.0 if c == _FAR else -0.5))
-            new = {}
-            for (a, b), (score, text) in states.items():
-                for letter, cost in options:
+            options = [(x, cost, _code(x)) for x, cost in self.options(c, times, edges)]
+            new, came = {}, {}
+            for key, score in states.items():
+                a, b = key
+                for letter, cost, k in options:
                     if letter and (letter != " " or b != 26):
-                        k = _code(letter)
-                        key, value = (b, k), (score + cost + self.log[a][b][k], text + letter)
+                        to, value = (b, k), score + cost + self.log[a][b][k]
                     else:
-                        key, value = (a, b), (score + cost, text)
-                    if key not in new or new[key][0] < value[0]:
-                        new[key] = value
+                        to, value, letter = key, score + cost, ""
+                    if to not in new or new[to] < value:
+                        new[to], came[to] = value, (key, letter)
+            back.append(came)
             states, prev = new, c
-        return max((s + (self.log[a][b][26] if b != 26 else 0.0), t) for (a, b), (s, t) in states.items())
+        score, key = max((s + (self.log[a][b][26] if b != 26 else 0.0), (a, b)) for (a, b), s in states.items())
+        out = []
+        for came in reversed(back):
+            key, letter = came[key]
+            out.append(letter)
+        return score, "".join(reversed(out))
+
+    @staticmethod
+    def options(c: str, times: int, edges: bool) -> list[tuple[str, float]]:
+        """(letter or nothing, cost) of what a character may stand for that is the `times`-th of its run."""
+        if c.isalpha():
+            return [(c, 0.0)] + [("", -2.5 if times == 2 else -1.0)] * (times > 1)
+        if c == "*" and not edges:
+            return [*((x, -1.0) for x in _LETTERS), ("", -4.0)]
+        gone = -9.0 if c in LEET else -2.0 if c == _FAR else -0.5
+        return [*((x, -0.7) for x in LEET.get(c, "")), ("", gone)] + [(" ", 0.0 if c == _FAR else -0.5)] * (edges and c not in LEET)
 
     def decode(self, noisy: str, edges: bool = False) -> str:
         return self.best(noisy, edges)[1]
@@ -188,9 +194,11 @@ def _features(text: str, model: CharModel, memo: dict) -> set[str]:
     return out
 
 
-def fit_lexicon(rows: list[tuple[str, int]], model: CharModel) -> tuple[dict[str, float], float]:
+def fit_lexicon(rows: list[tuple[str, int]], model: CharModel, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[str, float], float]:
     """feature -> P(toxic | feature), and P(toxic) without any of them. Greedy cover of the toxic rows.
 
+    weights: labelled rows that a toxic and a clean row of the sample stand for, so that probabilities mean the same
+    however many labelled rows there are.
     Rows with equal texts count once. Each step takes the feature with the most toxic rows not yet covered, less
     twenty times the share of clean rows that have it; a feature needs 1 % of the toxic rows and 5 at least. Features
     of 5 % of the toxic rows that hardly any clean row has are then added, even where others cover their rows.
@@ -210,19 +218,20 @@ def fit_lexicon(rows: list[tuple[str, int]], model: CharModel) -> tuple[dict[str
         neg.update(own(text) & live)
     n_neg = len(clean)
     pos = [p & live for p in pos]
+    chance = lambda f: (weights[0] * held[f] + 0.5) / (weights[0] * held[f] + weights[1] * neg[f] + 1.0)
     out, left, scale = {}, list(range(len(pos))), (len(pos) + 1) / (n_neg + 1)
     while left:
         now = Counter(f for k in left for f in pos[k])
         best = max(now, key=lambda f: (now[f] - 20 * scale * neg[f], f[0] == "=", f), default=None)
         if best is None or now[best] - 20 * scale * neg[best] < floor:
             break
-        p = (held[best] + 0.5) / (held[best] + neg[best] + 1.0)
+        p = chance(best)
         out[best] = p
         left = [k for k in left if best not in pos[k]]
     for f in sorted(live):
         if held[f] >= max(floor, len(pos) * 0.05) and neg[f] <= n_neg * 0.0005 and not any(f[1:].startswith(g[1:]) for g in out if g[0] != "="):
-            out[f] = (held[f] + 0.5) / (held[f] + neg[f] + 1.0)
-    base = min(0.25, (len(left) + 0.5) / (len(left) + n_neg + 1))
+            out[f] = chance(f)
+    base = min(0.25, (weights[0] * len(left) + 0.5) / (weights[0] * len(left) + weights[1] * n_neg + 1))
     return out, base
 
 
@@ -245,17 +254,24 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_positive: int = FIT_POSITIVE, fit_negative: int = FIT_NEGATIVE) -> tuple[dict[str, float], float, np.ndarray]:
     """(lexicon, base, trigram counts). docs(doc_id, text): all documents for the character model; labels(doc_id, label).
 
-    learn says of which rows of docs the labels may be used.
+    learn is a condition on doc_id that says which labels may be used; the others are read by nothing.
     """
-    counts = char_counts(docs)
-    rows = labelled_sample(docs, labels, learn, {1: fit_positive, 0: fit_negative})
-    return *fit_lexicon(rows, CharModel(counts)), counts
+    counts, allowed = char_counts(docs), labels.filter(learn)
+    n = {r.label: r.n for r in allowed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    limits = {1: fit_positive, 0: fit_negative}
+    rows = labelled_sample(docs, allowed, learn, limits)
+    weights = tuple(max(1.0, n.get(y, 0) / limits[y]) for y in (1, 0))
+    return *fit_lexicon(rows, CharModel(counts), weights), counts
 
 
 def score(docs: DataFrame, trained: tuple, keep: list[str]) -> DataFrame:
-    """`keep` columns and score (0 to 1) of every row. Null and empty texts get the score of texts without evidence."""
+    """`keep` columns and score (0 to 1) of every row. Null and empty texts get the score of texts without evidence.
+
+    Repeated rows and null ids stay, equal texts score alike; an empty table gives an empty one. Whole texts count; a
+    very long token is decoded in overlapping parts of _LONGEST characters, so time grows with its length.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trained)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = docs.select(*[quoted(c) for c in keep], F.coalesce("text", F.lit("")))
 
     def run(batches):
         lexicon, base, counts = shared.value
@@ -266,4 +282,4 @@ def score(docs: DataFrame, trained: tuple, keep: list[str]) -> DataFrame:
                 got = [scorer.score(t) for t in batch.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes) + ", score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))

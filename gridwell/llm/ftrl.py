@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridwell.llm.sample import labelled_sample
+from gridwell.plans.runtime import quoted
 
 #: log2 of the number of weights.
 HASH_BITS = 20
@@ -15,19 +18,20 @@ FIT_ROWS = 5000
 #: Value of a feature is SCALE times its share of the text's features.
 SCALE = 30.0
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xFF51AFD7ED558CCD)
-_powers: dict = {}
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+_MASK64 = (1 << 64) - 1
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["p"]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        inv = pow(int(_MUL), -1, 1 << 64)
-        for name, base in (("p", int(_MUL)), ("i", inv)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["p"], _powers["i"]
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64, for one chunk."""
+    out = []
+    for base in (int(_MUL), pow(int(_MUL), -1, 1 << 64)):
+        a = np.full(CHUNK + 1, base, np.uint64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
 
 
 #: 0 white space and control, 1 letters, digits and all beyond ASCII, 2 other signs.
@@ -35,33 +39,53 @@ _CLASS = np.array([0 if b <= 32 or b == 127 else 1 if chr(b).isalnum() or b >= 1
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 
 
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of every word of the bytes: the sum of (byte + 1) MUL**place modulo 2**64, mixed.
+
+    Chunk by chunk, so that memory beyond the words does not grow with the text; a word over an edge is put together.
+    """
+    p, inv = _tables()
+    starts, hashes, length, open_kind = [], [], 0, 0
+    for lo in range(0, len(buf), CHUNK):
+        part = buf[lo : lo + CHUNK]
+        kind = _CLASS[part]
+        cut = np.flatnonzero(np.diff(kind, prepend=kind[0] ^ 3))  # every first place of a run, the chunk's too
+        stop, own = np.append(cut[1:], len(part)), kind[cut] > 0
+        a, b = cut[own], stop[own]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_FOLD[part].astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=total[1:])
+        h, a = (total[b] - total[a]) * inv[a], a + lo
+        size = int(b[-1] + lo - a[-1]) if len(a) else 0
+        if len(a) and open_kind and kind[0] == open_kind:  # goes on with the last word of the chunk before
+            joined = (int(hashes[-1][-1]) + pow(int(_MUL), length, 1 << 64) * int(h[0])) & _MASK64
+            hashes[-1][-1], length = joined, length + int(b[0])
+            a, h = a[1:], h[1:]
+            size = size if len(a) else length
+        starts.append(a)
+        hashes.append(h)
+        if not len(a) and len(starts) > 1:  # the word still open stays the last one
+            starts, hashes = [*starts[:-2], starts[-2]], [*hashes[:-2], hashes[-2]]
+        open_kind, length = int(kind[-1]), size
+    h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    h ^= h >> np.uint64(31)
+    return np.concatenate([*starts, np.zeros(0, np.int64)]), h * _MIX
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weight index of every word and word pair of the texts, and where each text's features start (one more at the end).
 
     Words are runs of letters and digits or runs of other signs, lower-cased in ASCII, digits alike.
     """
     raws = [t.encode("utf-8", "replace") for t in texts]
-    buf = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
-    ends = np.cumsum(sizes)
-    kind = _CLASS[buf]
-    cut = np.flatnonzero(np.diff(kind, prepend=0))
-    stop = np.append(cut[1:], len(buf))
-    word = kind[cut] > 0
-    a, b = cut[word], stop[word]
-    p, inv = _tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_FOLD[buf].astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=total[1:])
-    h = (total[b] - total[a]) * inv[a]
-    h ^= h >> np.uint64(31)
-    h *= _MIX
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    a, h = word_hashes(np.frombuffer(b" ".join(raws) + b" ", np.uint8))
     doc = np.searchsorted(ends, a, side="right")
     same = h[:-1] == h[1:]
     pair = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:]
     pair ^= pair >> np.uint64(29)
     pair[same] = 1  # a word and itself again is one pair, whatever the word
-    pair = (pair * _MIX)[doc[:-1] == doc[1:]] if len(h) else h
-    pair_doc = doc[:-1][doc[:-1] == doc[1:]] if len(h) else doc
+    inside = doc[:-1] == doc[1:]
+    pair, pair_doc = (pair * _MIX)[inside], doc[:-1][inside]
     shift = np.uint64(64 - HASH_BITS)
     n1, n2 = np.bincount(doc, minlength=len(texts)), np.bincount(pair_doc, minlength=len(texts))
     index = np.concatenate([h >> shift, pair >> shift]).astype(np.int64)
@@ -108,19 +132,25 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7) ->
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Weights from docs(doc_id, text) and labels(doc_id, label), of `fit_rows` rows at most that `learn` allows.
 
-    The labels' shares in the sample are the table's: both labels take the rows with the lowest text hash.
+    learn is a condition on doc_id; labels that it keeps out are read by nothing, counts included. The labels' shares in
+    the sample are those of the rows it allows: both labels take the rows with the lowest text hash.
     """
-    n = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    allowed = labels.filter(learn)
+    n = {r.label: r.n for r in allowed.groupBy("label").agg(F.count("*").alias("n")).collect()}
     whole = sum(n.values())
     limits = {y: k if whole <= fit_rows else max(1, k * fit_rows // whole) for y, k in n.items()}
-    rows = labelled_sample(docs, labels, learn, limits)
+    rows = labelled_sample(docs, allowed, learn, limits)
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep` columns and score (0 to 1) of every row of docs(text, ...). Null and empty texts get the bias alone."""
+    """`keep` columns and score (0 to 1) of every row of docs(text, ...).
+
+    Null and empty texts get the bias alone. Repeated rows and null ids stay, equal texts score alike; an empty table
+    gives an empty one. Whole texts count: a very long one is hashed in chunks, so memory beyond its words is bounded.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = docs.select(*[quoted(c) for c in keep], F.coalesce("text", F.lit("")))
 
     def run(batches):
         w = shared.value
@@ -138,5 +168,4 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), pa.array(got)], names=[*keep, "score"])
                 lo = hi
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))
