@@ -14,7 +14,8 @@ from gridwell.plans.runtime import materialize, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
-_SPACE = " \t\n\x0b\f\r"
+#: Sketch hashes that are broadcast at once, 16 bytes each.
+SKETCH_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -41,8 +42,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
     docs(doc_id, text), items(item_id, text); other columns are ignored. shared: the item's distinct shingles that the
     document has. Items and documents without words are in no result. Rows with equal id and text give one row, rows
     with equal id and other texts a row each, null ids take part like others. Empty tables give an empty result.
-    No Python; documents are not shuffled, only what their shingles hit.
+    Very long texts count whole. No Python; documents are not shuffled, only what their shingles hit: sketches beyond
+    what may be broadcast are dealt to rounds, each of which reads the documents once.
     """
+    return matches(docs, items, threshold, size).drop("dkey")
+
+
+def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """`contained` with dkey, the hash of the document's text: (doc_id, dkey) names a document."""
     item = items.select("item_id", F.xxhash64("text").alias("ikey"), words(F.col("text")).alias("w"))
     own = _shingles(item, ["item_id", "ikey"], size)
     per_item = Window.partitionBy("item_id", "ikey")
@@ -52,14 +59,20 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
     keep = top - F.ceil(top * threshold - 1e-9) + 1
     own = materialize(own.withColumn("sketch", F.col("rank") <= keep), "item-shingles")
     doc = docs.select("doc_id", F.xxhash64("text").alias("dkey"), words(F.col("text")).alias("w"))
-    sketch = small(own.filter("sketch").select("h").distinct())
-    found = doc.select("doc_id", "dkey", F.explode(_hashes(F.col("w"), size)).alias("h")).join(sketch, "h").select("doc_id", "dkey").distinct()
-    found = materialize(found, "contain-candidates")
+    sketch = materialize(own.filter("sketch").select("h").distinct(), "contain-sketch")
+    rounds = max(1, -(-sketch.count() // SKETCH_ROWS))
+    spread = doc.select("doc_id", "dkey", F.explode(_hashes(F.col("w"), size)).alias("h"))
+    found = None
+    for k in range(rounds):  # each holds SKETCH_ROWS hashes, more or less: a broadcast of bounded size
+        part = sketch if rounds == 1 else sketch.filter(F.pmod("h", F.lit(rounds)) == k)
+        now = spread.join(F.broadcast(part), "h").select("doc_id", "dkey").distinct()
+        found = now if found is None else found.unionByName(now)
+    found = materialize(found.distinct() if rounds > 1 else found, "contain-candidates")
     near = doc.join(small(found.select(F.col("doc_id").alias("fid"), F.col("dkey").alias("fkey"))), F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("dkey") == F.col("fkey")), "left_semi")
     spread = near.select("doc_id", "dkey", "w", F.posexplode(_hashes(F.col("w"), size)).alias("at", "h"))
     hit = spread.join(small(own), "h").filter(F.concat_ws(" ", F.slice("w", F.col("at") + 1, size)) == F.col("shingle")).select("doc_id", "dkey", "item_id", "ikey", "n", "rank", "sketch").distinct()
     per = hit.groupBy("doc_id", "dkey", "item_id", "ikey").agg(F.count("*").alias("shared"), F.max("n").alias("shingles"), F.max("sketch").alias("sketched"))
-    return per.filter(F.col("sketched") & (F.col("shared") >= F.col("shingles") * F.lit(threshold) - 1e-9)).select("doc_id", "item_id", "shared", "shingles", F.round(F.col("shared") / F.col("shingles"), 6).alias("containment"))
+    return per.filter(F.col("sketched") & (F.col("shared") >= F.col("shingles") * F.lit(threshold) - 1e-9)).select("doc_id", "dkey", "item_id", "shared", "shingles", F.round(F.col("shared") / F.col("shingles"), 6).alias("containment"))
 
 
 ORACLE = """
