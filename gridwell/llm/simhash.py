@@ -11,10 +11,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwell.operators.components import connected_components
-from gridwell.plans.runtime import materialize, partitions, small
+from gridwell.plans.runtime import materialize, partitions, quoted, small
 
 RADIUS = 3
 #: Rows of one probed value that a task compares with each other; larger ones are dealt to cells of block pairs.
@@ -38,17 +38,20 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row. Null and empty texts have fingerprint 0; shorter texts are one shingle."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[Column] | None = None) -> DataFrame:
+    """doc_id (or the columns `keep`) and fp of every row. Null and empty texts have fingerprint 0; shorter texts are one
+    shingle, very long ones are summed in parts."""
+    rows = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").alias("__text"))
+    names, kinds = rows.columns[:-1], rows.dtypes[:-1]
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                got = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+                got = np.array([fingerprint(t, shingle) for t in part.column(len(names)).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(got.view(np.int64))], names=[*names, "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds) + ", fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -269,6 +272,13 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, block_
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def classes(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of fps(fp): root is one fingerprint of its class."""
+    reps = materialize(fps.select("fp").distinct(), "simhash-distinct")
+    found = connected_components(links(reps, radius, parts, block_rows))
+    return reps.join(found, reps.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, parts: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included.
 
@@ -276,9 +286,31 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, parts: int |
     the smallest; a group of null doc_ids alone has a null component_id. Repeated rows stay. An empty table gives none.
     """
     fps = materialize(fingerprints(docs, shingle), "simhash-fp")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    found = connected_components(links(reps, radius, parts, block_rows))
-    joined = reps.join(found, reps.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.join(low, "root").select("fp", "component_id")
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    joined = materialize(classes(fps, radius, parts, block_rows).join(low, "fp"), "simhash-classes")
+    named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of docs(doc_id, text, ...), with all its columns.
+
+    It is the one with the smallest doc_id (null last), then the smallest hash of its text and of its row. Rows with one
+    doc_id and other texts are rows of their own; of rows that agree in every column one stays.
+    """
+    names = docs.columns
+    key = [F.col("doc_id").isNull().alias("k0"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64(*[quoted(c) for c in names]).alias("k3")]
+    fps = materialize(fingerprints(docs, shingle, key), "simhash-fp")
+    rows = materialize(fps.join(classes(fps, radius), "fp").select("root", F.struct("k0", "k1", "k2", "k3").alias("key")).groupBy("root", "key").agg(F.count("*").alias("n")), "simhash-rows")
+    first = rows.groupBy("root").agg(F.min("key").alias("first"))
+    told = materialize(rows.join(first, "root").select("key.*", "n", (F.col("key") == F.col("first")).alias("stays")), "simhash-told")
+    at = lambda df: (F.col("o0") == F.col("k0")) & F.col("o1").eqNullSafe(F.col("k1")) & (F.col("o2") == F.col("k2")) & (F.col("o3") == F.col("k3"))
+    own = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), *[c.alias(f"o{k}") for k, c in enumerate(key)])
+    gone = told.filter("not stays").drop("n", "stays")
+    left = own.join(small(gone), at(gone), "left_anti")
+    again = told.filter("stays and n > 1").drop("n", "stays")
+    if again.limit(1).count():  # rows that are equal in every column
+        again = small(again)
+        once = left.join(again, at(again), "left_semi").dropDuplicates(["o0", "o1", "o2", "o3"])
+        left = left.join(again, at(again), "left_anti").unionByName(once)
+    return left.select("row.*")
