@@ -11,43 +11,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwell.llm import contain, deobfuscate, line_chunks, queries, simhash, word_bpe
-from gridwell.plans.runtime import materialize, small, table
+from gridwell.plans.runtime import materialize, quoted, small, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text scores below the threshold."""
-    scored = queries.toxicity(spark, docs, sf_dir, docs.columns)
-    return scored.filter(F.col("score") < deobfuscate.THRESHOLD).select(*docs.columns)
+    """Documents whose restored text scores below the threshold. Null and empty texts, null and repeated ids and equal
+    rows stay, long texts count whole, columns may have any name; no documents give none."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), "doc_id", "text")
+    scored = queries.toxicity(spark, rows, sf_dir, ["row"])
+    return scored.filter(F.col("score") < deobfuscate.THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that an earlier place holds; n_chars is counted anew where text changed."""
-    out = line_chunks.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Every document, without the chunks of lines that an earlier place holds; n_chars is counted anew where text changed.
+
+    Null and empty texts stay; rows with one id (null too) and one text lose the same lines; no documents give none.
+    """
+    count = "lines_removed"
+    while count in docs.columns:
+        count += "_"
+    out = line_chunks.dedup_lines(docs, count)
+    anew = F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[anew.cast(out.schema[c].dataType).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that share it, one. Null doc_ids stay."""
-    groups = materialize(simhash.groups(docs), "pipeline-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if again.limit(1).count():
-        left = left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    """One row of each group: the smallest doc_id, null last, then the smallest text hash. Null and empty texts are one
+    group; rows that share an id but no group all stay; no documents give none."""
+    return simhash.first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    leaks = contain.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    leaks = materialize(leaks, "pipeline-leaks")
-    return docs.join(small(leaks), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item, whatever other rows share their id. Null ids count like others, null
+    and empty texts contain nothing and stay, equal rows stay or go together; no documents give none."""
+    leaks = contain.matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "dkey").distinct()
+    leaks = materialize(leaks, "pipeline-leaks").withColumnsRenamed({"doc_id": "leaked"})
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("hash"))
+    return rows.join(small(leaks), F.col("own").eqNullSafe(F.col("leaked")) & (F.col("hash") == F.col("dkey")), "left_anti").select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left: a row for each document, null texts as empty ones, null ids as they are."""
     return word_bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
