@@ -13,6 +13,8 @@ import numpy as np
 
 BLOCK = 576
 RATE = 8000
+#: Frames, and samples of frames, that are coded side by side: what bounds the memory of a long stream.
+SLICE_FRAMES, SLICE_SAMPLES = 2048, 2048 * 576
 _BPS = 8
 
 
@@ -171,8 +173,10 @@ def encode_many(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         raise ValueError("frames have 576 samples")
     counts = [len(p) // block for p in payloads]
     samples = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).reshape(-1, block)
-    out, size = _encode_frames(samples, [k for c in counts for k in range(c)])
-    raw, done, streams, at = out.tobytes(), 0, [], 0
+    numbers = [k for c in counts for k in range(c)]
+    parts = [_encode_frames(samples[k : k + SLICE_FRAMES], numbers[k : k + SLICE_FRAMES]) for k in range(0, len(samples), SLICE_FRAMES)]
+    raw, size = b"".join(p.tobytes() for p, _ in parts), np.concatenate([z for _, z in parts])
+    done, streams, at = 0, [], 0
     for p, c in zip(payloads, counts):
         own = size[done : done + c]
         offs = np.concatenate([[0], np.cumsum(own)])
@@ -423,10 +427,16 @@ def decode_many(streams: list[bytes]) -> list[tuple[dict, np.ndarray]]:
         sizes.append(np.diff(np.append(offs, len(s))))
         at += len(s)
     start, size = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
-    frames = _frames(b"".join(streams), start, size, np.repeat([i["bps"] for i in infos], [len(s) for s in starts])) if len(start) else []
+    raw, bps = b"".join(streams), np.repeat([i["bps"] for i in infos], [len(s) for s in starts])
+    most = max([i["max_block"] for i in infos if i["max_block"]], default=1 << 16)
+    step, frames = max(1, min(SLICE_FRAMES, SLICE_SAMPLES // most)), []
+    for k in range(0, len(start), step):
+        own, until = start[k : k + step], start[k : k + step] + size[k : k + step]
+        low, high = int(own.min()), int(until.max())
+        frames += _frames(raw[low:high], own - low, size[k : k + step], bps[k : k + step])
     out, done = [], 0
     for info, s in zip(infos, starts):
-        samples = np.concatenate([*frames[done : done + len(s)], np.zeros(0, np.int64)])
+        samples = np.concatenate([*frames[done : done + len(s)], np.zeros(0, np.int16)])
         done += len(s)
         if info["samples"] and len(samples) != info["samples"]:
             raise BadFrame("sample count")
@@ -457,5 +467,5 @@ def _frames(raw: bytes, start: np.ndarray, size: np.ndarray, bps_of: np.ndarray)
         if ((end + 7) // 8 + 2 != start[own] + size[own]).any():
             raise BadFrame("frame length")
         for f, row in zip(own.tolist(), got):
-            frames[f] = row
+            frames[f] = row.astype(np.int16 if bps <= 16 else np.int64)
     return frames

@@ -58,7 +58,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digest(media.text_media(table(spark, sf_dir, "documents")))
+    return media.media_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
