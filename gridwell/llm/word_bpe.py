@@ -1,100 +1,193 @@
-"""BPE by a table of distinct words: each distinct word of a task is encoded once, ids and pieces join back by position.
+"""BPE by a table of distinct words: words are split in blocks of documents, every distinct word of the corpus is encoded
+once, and its ids, joined with the vocabulary for their pieces, join back to the documents by position.
 
-Words are runs without white space, which the tokenizer never joins. The table belongs to the worker rather than to the
-cluster: a table shared by all tasks would have to be joined with every word occurrence, which moves several times the
-corpus through a shuffle, while distinct words grow with the corpus and can't be broadcast.
+Words are runs without white space, which the tokenizer never joins, less the signs that close them. What is shuffled are
+the distinct words of each block, not their occurrences: documents keep numbers into their block's words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from gridwell.llm.chunked_bpe import tokenizer
-from gridwell.plans.runtime import bound_batches
+from gridwell.plans.runtime import bound_batches, materialize, partitions
 
+_vocabularies: dict = {}
 #: White space of the tokenizer besides the space and the line end, in RE2.
 _SPACE = r"[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Distinct words after which a worker's table begins a new generation; words that are met again move over from the last one.
-TABLE_ROWS = 250_000
-_tables: dict = {}
-
-
-class WordTable:
-    """word -> (ids as text, pieces as text, number of ids), in two generations of TABLE_ROWS and one batch's words each."""
-
-    def __init__(self, path: str):
-        self.tok, self.old, self.rows = tokenizer(path), {}, {"": ("", "", 0)}
-        self.pieces = {i: p for p, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.marks = {c: self.entry(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
-
-    def entry(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids]), len(ids)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words; the tokenizer lowers letters and parts a mark from the letters before it, so those are put together."""
-        rows, old, marks, plain, late = self.rows, self.old, self.marks, set(), []
-        for w in words:
-            mark = w[-1] if w[-1] in marks and w[-2:-1].lower().isalpha() else ""
-            base = w[:-1] if mark else w
-            if base.isascii() and base.isalpha():
-                base = base.lower()
-            if base != w:
-                late.append((w, base, mark))
-            if base in old:
-                rows[base] = old[base]
-            elif base not in rows:
-                plain.add(base)
-        fresh = sorted(plain)
-        for a in range(0, len(fresh), 20_000):
-            own = fresh[a : a + 20_000]
-            rows.update(zip(own, [self.entry(e.ids) for e in self.tok.encode_batch_fast(own, add_special_tokens=False)]))
-        for w, base, mark in late:
-            x = rows[base]
-            rows[w] = (f"{x[0]} {marks[mark][0]}", f"{x[1]} {marks[mark][1]}", x[2] + marks[mark][2]) if mark else x
-
-    def lookup(self, words: list[str]) -> list[tuple[str, str, int]]:
-        if len(self.rows) > TABLE_ROWS:
-            self.old, self.rows = self.rows, {"": ("", "", 0)}
-        found = list(map(self.rows.get, words))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        if gaps:
-            self.rows.update({w: self.old[w] for w in (words[k] for k in gaps) if w in self.old})
-            self.learn([w for w in (words[k] for k in gaps) if w not in self.rows])
-            for k in gaps:
-                found[k] = self.rows[words[k]]
-        return found
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """(number of ids, ids joined by a space, decoded text) of each text.
-
-        Arrow splits the texts, numbers the distinct words and joins what the table has for them back by position.
-        """
-        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
-        odd = pc.match_substring_regex(texts, _SPACE)
-        if pc.any(odd).as_py():
-            texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), _SPACE, " "))
-        split = pc.split_pattern(texts, " ")
-        numbered = split.flatten().dictionary_encode()
-        found, at = self.lookup(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
-        count = np.fromiter((x[2] for x in found), np.int64, len(found))
-        sizes = count[at]
-        kept = sizes > 0  # not the gaps between white space and white space
-        cuts = np.append(0, np.cumsum(kept))[split.offsets.to_numpy()]
-        total = np.append(0, np.cumsum(sizes))[split.offsets.to_numpy()]
-        at, cuts = pa.array(at[kept]), pa.array(cuts, pa.int32())
-        joined = [pc.binary_join(pa.ListArray.from_arrays(cuts, pa.array([x[k] for x in found], pa.large_string()).take(at)), pa.scalar(" ", pa.large_string())) for k in (0, 1)]
-        return np.diff(total), *joined
-
-
-def _table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+#: Bytes of text of a block at most, but for a longer text, and word occurrences that are put together at once.
+BLOCK_BYTES, SLICE_WORDS = 32 << 20, 1 << 20
+#: Words that go to the tokenizer at once.
+ENCODE_WORDS = 20_000
+#: A word that ends in ASCII signs after a letter: the tokenizer cuts there.
+_CLOSED = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: Words whose letters the tokenizer lowers one by one, as str.lower does.
+_LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+
+
+def bases(word: str) -> tuple[str, str]:
+    """(word, signs) that encode one after the other as the word does; no signs for most words, and case is folded where
+    the tokenizer folds it. Words that may hold a special token stay as they are."""
+    if "<|" in word:
+        return word, ""
+    m = _CLOSED.fullmatch(word)
+    base, signs = m.groups() if m and m[1][-1].lower().isalpha() else (word, "")  # some letters lower to a letter and a mark
+    return (base.lower() if _LATIN.fullmatch(base) else base), signs
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of each text, all words in order). Null texts have none."""
+    texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+    odd = pc.match_substring_regex(texts, _SPACE)
+    if pc.any(odd).as_py():
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), _SPACE, " "))
+    split = pc.split_pattern(texts, " ")
+    flat, offsets = split.flatten(), split.offsets.to_numpy()
+    word = pc.greater(pc.binary_length(flat), 0)  # gaps between white space and white space are none
+    upto = np.append(0, np.cumsum(word.to_numpy(zero_copy_only=False)))[offsets - offsets[0]]
+    return np.diff(upto), flat.filter(word)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc_ids, texts) of as many rows at a time as hold BLOCK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = min(max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_BYTES - size, side="right"))), batch.num_rows)
+            held.append(batch.slice(a, b - a))
+            size += int(ends[b - 1] - (ends[a - 1] if a else 0))
+            a = b
+            if size >= BLOCK_BYTES or a < batch.num_rows:
+                yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+
+
+def split_blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_ids, sizes, at, words): a row for each block of documents.
+
+    words are the block's distinct words, the frequent ones first; at has the number of each word occurrence in them, in
+    three planes of bytes, sizes how many each document has.
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for seq, (ids, texts) in enumerate(_gathered(batches)):
+            sizes, flat = split_words(texts)
+            numbered = flat.dictionary_encode()
+            number, first, signs = {}, [], []
+            for w in numbered.dictionary.to_pylist():
+                base, after = bases(w)
+                first.append(number.setdefault(base, len(number)))
+                signs.append(number.setdefault(after, len(number)) if after else -1)
+            first, signs = np.array(first, np.int64), np.array(signs, np.int64)
+            word = numbered.indices.to_numpy(zero_copy_only=False)
+            closed = signs[word] >= 0 if len(word) else np.zeros(0, bool)
+            at = np.repeat(first[word] if len(word) else first, 1 + closed)
+            ends = np.cumsum(1 + closed)
+            at[ends[closed] - 1] = signs[word[closed]] if len(word) else 0
+            total = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+            rank = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            planes = np.ascontiguousarray(place[at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            words = list(number)
+            row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            packed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), row(ids), row(pa.array(np.diff(total), pa.int32())), pa.array([packed], pa.binary()), row(pa.array([words[k] for k in rank.tolist()], pa.string()))], names=["block", "doc_ids", "sizes", "at", "words"])
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, at binary, words array<string>")
+    return materialize(rows, "bpe-blocks")
+
+
+def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(of, k, ids) of words(block, k, word): the ids of each word as little-endian 32-bit integers.
+
+    One shuffle brings all rows of a word together, in order, so that each distinct word is encoded once.
+    """
+
+    def run(batches):
+        tok, last, bytes_of = tokenizer(tokenizer_path), None, b""
+        for batch in batches:
+            for a in range(0, batch.num_rows, ENCODE_WORDS):
+                part = batch.slice(a, ENCODE_WORDS)
+                numbered = part.column(2).dictionary_encode()
+                own = numbered.dictionary.to_pylist()
+                fresh = own[1:] if own[0] == last else own  # the word of the batch before may go on
+                got = [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(fresh, add_special_tokens=False)]
+                got = [bytes_of, *got] if own[0] == last else got
+                last, bytes_of = own[-1], got[-1]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary()).take(numbered.indices)], names=["of", "k", "ids"])
+
+    dealt = words.select("block", "k", "word").repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "of long, k int, ids binary")
+
+
+def _vocabulary(path: str) -> tuple[pa.Array, pa.Array]:
+    """(pieces, decimal numbers) by id, of this worker; ids without a piece are empty."""
+    if path not in _vocabularies:
+        by_id = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
+        top = max(by_id, default=-1) + 1
+        _vocabularies[path] = pa.array([by_id.get(i, "") for i in range(top)], pa.large_string()), pa.array([str(i) for i in range(top)], pa.large_string())
+    return _vocabularies[path]
+
+
+def _assembled(block: pa.Table, words: pa.Table, path: str) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, pa.Array]]:
+    """(doc_ids, number of ids, ids joined by a space, decoded text) of documents of a block, SLICE_WORDS words at a time.
+
+    words(k, ids) has the ids of the block's words by number. Ids join the vocabulary once for each word of the block,
+    and what they give joins the occurrences by position.
+    """
+    get = lambda name: block.column(name).combine_chunks()
+    doc_ids, sizes, space = get("doc_ids").flatten(), get("sizes").flatten().to_numpy().astype(np.int64), pa.scalar(" ", pa.large_string())
+    ends = np.append(0, np.cumsum(sizes))
+    total = int(ends[-1])
+    at = np.zeros(0, np.int64)
+    if total:
+        planes = np.frombuffer(pa.decompress(get("at")[0].as_py(), decompressed_size=4 * total, codec="zstd", asbytes=True), np.uint8).reshape(4, total)
+        at = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    order = pa.array(np.argsort(words.column("k").to_numpy()))
+    raw = words.column("ids").combine_chunks().take(order).cast(pa.large_binary())
+    n = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = pa.array(np.frombuffer(b"".join(raw.to_pylist()), "<i4"))
+    cuts = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+    pieces, numbers = (pc.binary_join(pa.ListArray.from_arrays(cuts, v.take(flat)), space) for v in _vocabulary(path))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, side="right")) - 1)
+        own = at[ends[a] : ends[b]]
+        each = n[own] if len(own) else own
+        kept, inside = each > 0, ends[a : b + 1] - ends[a]  # words that the tokenizer drops whole leave no gap
+        starts, take = pa.array(np.append(0, np.cumsum(kept))[inside], pa.int32()), pa.array(own[kept])
+        joined = [pc.binary_join(pa.ListArray.from_arrays(starts, t.take(take)), space) for t in (numbers, pieces)]
+        yield doc_ids.slice(a, b - a), np.diff(np.append(0, np.cumsum(each))[inside]), *joined
+        a = b
+
+
+def _per_block(docs: DataFrame, tokenizer_path: str, rows, schema: pa.Schema, sql: str) -> DataFrame:
+    """rows(...) of every slice of every block and the ids of its words."""
+
+    def run(block: pa.Table, words: pa.Table) -> pa.Table:
+        parts = [pa.Table.from_arrays(rows(*x), schema=schema) for x in _assembled(block, words, tokenizer_path)]
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    blocks = split_blocks(docs)
+    found = encode_words(blocks.select("block", F.posexplode("words").alias("k", "word")), tokenizer_path)
+    n = partitions(docs.sparkSession)
+    mine = blocks.select("block", "doc_ids", "sizes", "at").repartition(n, "block")
+    return mine.groupBy("block").cogroup(found.repartition(n, "of").groupBy("of")).applyInArrow(run, sql)
 
 
 def _sha256(texts: pa.Array) -> list[str]:
@@ -107,30 +200,23 @@ def _sha256(texts: pa.Array) -> list[str]:
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids (array), decoded of every document. Null texts count as empty: no ids, empty decoded text.
 
-    Runs without a shuffle. Repeated rows give repeated rows, null doc_ids stay null, other columns are ignored.
+    Repeated rows give repeated rows, null doc_ids stay null, other columns are ignored; a very long text is a block of
+    its own, an empty table gives an empty one. Two shuffles of the blocks' distinct words and one of their numbers.
     """
 
-    def run(batches):
-        table = _table(tokenizer_path)
-        for batch in batches:
-            if batch.num_rows:
-                _, ids, decoded = table.encode(batch.column(1))
-                ids = pa.array([[int(i) for i in x.split()] for x in ids.to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded.cast(pa.string())], names=["doc_id", "ids", "decoded"])
+    def rows(doc_ids: pa.Array, count: np.ndarray, ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
+        flat = pc.split_pattern(ids.filter(pa.array(count > 0)), " ").flatten().cast(pa.int32())
+        return [doc_ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), flat), decoded.cast(pa.string())]
 
-    bound_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return _per_block(docs, tokenizer_path, rows, schema, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 from the same table, without handing ids over to the JVM."""
 
-    def run(batches):
-        table = _table(tokenizer_path)
-        for batch in batches:
-            if batch.num_rows:
-                count, ids, decoded = table.encode(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(_sha256(ids)), pa.array(_sha256(decoded))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def rows(doc_ids: pa.Array, count: np.ndarray, ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
+        return [doc_ids, pa.array(count, pa.int64()), pa.array(_sha256(ids), pa.string()), pa.array(_sha256(decoded), pa.string())]
 
-    bound_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _per_block(docs, tokenizer_path, rows, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
