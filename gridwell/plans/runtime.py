@@ -52,6 +52,15 @@ def materialize(df: DataFrame, what: str, compression: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Write as an external Parquet table in the shared folder, in as many buckets of `key` as there are shuffle
+    partitions, and read it again: operators that group by the key then need no shuffle of it."""
+    spark = df.sparkSession
+    table_name = f"{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(spark), key).option("path", f"{shared_dir(spark).rstrip('/')}/{table_name}").option("compression", "zstd").format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def name(column: str) -> str:
     """A column's name as SQL, whatever is in it."""
     return "`" + column.replace("`", "``") + "`"
