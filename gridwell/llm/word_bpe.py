@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gridwell.llm.chunked_bpe import tokenizer
-from gridwell.plans.runtime import bound_batches, materialize, partitions
+from gridwell.plans.runtime import bound_batches, bucketed, partitions
 
 _vocabularies: dict = {}
 #: White space of the tokenizer besides the space and the line end, in RE2.
@@ -75,7 +75,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
 
 
 def split_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_ids, sizes, at, words): a row for each block of documents.
+    """(block, doc_ids, sizes, at, words): a row for each block of documents, written in buckets by block.
 
     words are the block's distinct words, the frequent ones first; at has the number of each word occurrence in them, in
     three planes of bytes, sizes how many each document has.
@@ -104,12 +104,12 @@ def split_blocks(docs: DataFrame) -> DataFrame:
             planes = np.ascontiguousarray(place[at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
             words = list(number)
             row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            packed = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+            packed = pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), row(ids), row(pa.array(np.diff(total), pa.int32())), pa.array([packed], pa.binary()), row(pa.array([words[k] for k in rank.tolist()], pa.string()))], names=["block", "doc_ids", "sizes", "at", "words"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, at binary, words array<string>")
-    return materialize(rows, "bpe-blocks")
+    return bucketed(rows, "block", "bpe_blocks")
 
 
 def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -186,7 +186,7 @@ def _per_block(docs: DataFrame, tokenizer_path: str, rows, schema: pa.Schema, sq
     blocks = split_blocks(docs)
     found = encode_words(blocks.select("block", F.posexplode("words").alias("k", "word")), tokenizer_path)
     n = partitions(docs.sparkSession)
-    mine = blocks.select("block", "doc_ids", "sizes", "at").repartition(n, "block")
+    mine = blocks.select("block", "doc_ids", "sizes", "at")  # buckets are read where they are, only words move
     return mine.groupBy("block").cogroup(found.repartition(n, "of").groupBy("of")).applyInArrow(run, sql)
 
 
@@ -201,7 +201,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids (array), decoded of every document. Null texts count as empty: no ids, empty decoded text.
 
     Repeated rows give repeated rows, null doc_ids stay null, other columns are ignored; a very long text is a block of
-    its own, an empty table gives an empty one. Two shuffles of the blocks' distinct words and one of their numbers.
+    its own, an empty table gives an empty one. Two shuffles of the blocks' distinct words, none of documents.
     """
 
     def rows(doc_ids: pa.Array, count: np.ndarray, ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
