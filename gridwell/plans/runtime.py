@@ -44,11 +44,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str | None = None, level: int = 3) -> DataFrame:
     """Write as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.compression.codec.zstd.level", level).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
