@@ -71,46 +71,29 @@ def pcm_blocks(media: DataFrame, key: str, column: str = "media", block: int = 1
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, block long, first_sample long, n_samples long, bps int, pcm binary")
 
 
-def stored_blocks(media: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(doc_id, n_bytes, media_bytes, media_sha256, blocks) of (doc_id, n_bytes, media): each stream decoded, its frame
-    checksums verified, as array<struct<first_sample, pcm>> of 8-bit samples, so a reader seeks by first_sample."""
-    kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("pcm", pa.binary())]))
-
-    def run(batches):
-        for batch in batches:
-            values = batch.column(2).to_pylist()
-            for a, b in _runs([len(v) for v in values]):
-                own = values[a:b]
-                blocks = [[{"first_sample": lo, "pcm": s[lo : lo + block].astype("<i1").tobytes()} for lo in range(0, len(s), block)] for _, s in flac.decode_many(own)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(v) for v in own], pa.int64()), pa.array([hashlib.sha256(v).hexdigest() for v in own]), pa.array(blocks, kind)], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<first_sample: bigint, pcm: binary>>")
-
-
 def media_digest(docs: DataFrame) -> DataFrame:
     """Payload, stored form and features of every text of docs(doc_id, text), from what is read back.
 
-    Texts are written as FLAC streams, those are read and written as PCM blocks, and the blocks are read for the digest.
+    Texts are written as FLAC streams; these are read, decoded with their checksums verified, and described by their
+    samples. PCM blocks are not written here: beside the streams they would double what is on disk; see `pcm_blocks`.
     Null texts count as empty, repeated rows and null ids stay, a very long text is coded in slices of frames, an empty
     table gives an empty one.
     """
-    streams = materialize(text_media(docs), "media-flac", compression="zstd")
-    stored = materialize(stored_blocks(streams), "media-pcm", compression="zstd")
+    streams = materialize(text_media(docs), "media-flac", "zstd", 9)  # copies and seek tables shrink, Rice codes hardly
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for blocks in batch.column(4).to_pylist():
-                pcm = b"".join(x["pcm"] for x in sorted(blocks, key=lambda x: x["first_sample"]))
-                s = np.frombuffer(pcm, np.int8)
-                payload = (s.view(np.uint8) ^ 0x80).tobytes()
-                low = s < 0
-                parts = [s[k : k + (1 << 20)].astype(np.int64) for k in range(0, len(s), 1 << 20)]
-                feature = f"sum={sum(int(x.sum()) for x in parts)} energy={sum(int((x * x).sum()) for x in parts)} peak={max(int(np.abs(x).max()) for x in parts)} turns={int(np.count_nonzero(low[1:] != low[:-1]))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
-            size, sha, tail, feature = (pa.array(c, k) for c, k in zip(cols, kinds))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, sha, tail, batch.column(2), batch.column(3), feature], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            values = batch.column(2).to_pylist()
+            for a, b in _runs([len(v) for v in values]):
+                rows = []
+                for v, (_, samples) in zip(values[a:b], flac.decode_many(values[a:b])):
+                    s = samples.astype(np.int8)
+                    payload, low = (s.view(np.uint8) ^ 0x80).tobytes(), s < 0
+                    parts = [s[k : k + (1 << 20)].astype(np.int64) for k in range(0, len(s), 1 << 20)]
+                    feature = f"sum={sum(int(x.sum()) for x in parts)} energy={sum(int((x * x).sum()) for x in parts)} peak={max(int(np.abs(x).max()) for x in parts)} turns={int(np.count_nonzero(low[1:] != low[:-1]))}"
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(v), hashlib.sha256(v).hexdigest(), feature))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return streams.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
