@@ -74,6 +74,33 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
         yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """The rows of split_blocks for the documents of one partition."""
+    for seq, (ids, texts) in enumerate(_gathered(batches)):
+        sizes, flat = split_words(texts)
+        numbered = flat.dictionary_encode()
+        number, first, signs = {}, [], []
+        for w in numbered.dictionary.to_pylist():
+            base, after = bases(w)
+            first.append(number.setdefault(base, len(number)))
+            signs.append(number.setdefault(after, len(number)) if after else -1)
+        first, signs = np.array(first, np.int64), np.array(signs, np.int64)
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        closed = signs[word] >= 0 if len(word) else np.zeros(0, bool)
+        at = np.repeat(first[word] if len(word) else first, 1 + closed)
+        ends = np.cumsum(1 + closed)
+        at[ends[closed] - 1] = signs[word[closed]] if len(word) else 0
+        total = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+        rank = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        planes = np.ascontiguousarray(place[at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        words = list(number)
+        row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        packed = pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), row(ids), row(pa.array(np.diff(total), pa.int32())), pa.array([packed], pa.binary()), row(pa.array([words[k] for k in rank.tolist()], pa.string()))], names=["block", "doc_ids", "sizes", "at", "words"])
+
+
 def split_blocks(docs: DataFrame) -> DataFrame:
     """(block, doc_ids, sizes, at, words): a row for each block of documents, written in buckets by block.
 
@@ -82,36 +109,28 @@ def split_blocks(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        for seq, (ids, texts) in enumerate(_gathered(batches)):
-            sizes, flat = split_words(texts)
-            numbered = flat.dictionary_encode()
-            number, first, signs = {}, [], []
-            for w in numbered.dictionary.to_pylist():
-                base, after = bases(w)
-                first.append(number.setdefault(base, len(number)))
-                signs.append(number.setdefault(after, len(number)) if after else -1)
-            first, signs = np.array(first, np.int64), np.array(signs, np.int64)
-            word = numbered.indices.to_numpy(zero_copy_only=False)
-            closed = signs[word] >= 0 if len(word) else np.zeros(0, bool)
-            at = np.repeat(first[word] if len(word) else first, 1 + closed)
-            ends = np.cumsum(1 + closed)
-            at[ends[closed] - 1] = signs[word[closed]] if len(word) else 0
-            total = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
-            rank = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            planes = np.ascontiguousarray(place[at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            words = list(number)
-            row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            packed = pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), row(ids), row(pa.array(np.diff(total), pa.int32())), pa.array([packed], pa.binary()), row(pa.array([words[k] for k in rank.tolist()], pa.string()))], names=["block", "doc_ids", "sizes", "at", "words"])
+        yield from _block_rows(batches, TaskContext.get().partitionId())
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, at binary, words array<string>")
     return bucketed(rows, "block", "bpe_blocks")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The rows of encode_words for (block, k, word) in the order of words."""
+    tok, last, bytes_of = tokenizer(path), None, b""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ENCODE_WORDS):
+            part = batch.slice(a, ENCODE_WORDS)
+            numbered = part.column(2).dictionary_encode()
+            own = numbered.dictionary.to_pylist()
+            fresh = own[1:] if own[0] == last else own  # the word of the batch before may go on
+            got = [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(fresh, add_special_tokens=False)]
+            got = [bytes_of, *got] if own[0] == last else got
+            last, bytes_of = own[-1], got[-1]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary()).take(numbered.indices)], names=["of", "k", "ids"])
+
+
 def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
     """(of, k, ids) of words(block, k, word): the ids of each word as little-endian 32-bit integers.
 
@@ -119,17 +138,7 @@ def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def run(batches):
-        tok, last, bytes_of = tokenizer(tokenizer_path), None, b""
-        for batch in batches:
-            for a in range(0, batch.num_rows, ENCODE_WORDS):
-                part = batch.slice(a, ENCODE_WORDS)
-                numbered = part.column(2).dictionary_encode()
-                own = numbered.dictionary.to_pylist()
-                fresh = own[1:] if own[0] == last else own  # the word of the batch before may go on
-                got = [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(fresh, add_special_tokens=False)]
-                got = [bytes_of, *got] if own[0] == last else got
-                last, bytes_of = own[-1], got[-1]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary()).take(numbered.indices)], names=["of", "k", "ids"])
+        yield from _encoded(batches, tokenizer_path)
 
     dealt = words.select("block", "k", "word").repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
     return dealt.mapInArrow(run, "of long, k int, ids binary")

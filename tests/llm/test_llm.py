@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from gridwell.llm import contain, deobfuscate, flac, ftrl, line_chunks, media, queries, simhash, template, token_shards, url_tree, word_bpe
-from gridwell.llm.chunked_bpe import SpacePieces
+from gridwell.llm.chunked_bpe import SpacePieces, tokenizer
 from gridwell.llm.wavelet import WaveletFile, pack
 
 SF = "/root/testdata/sf0.001"
@@ -86,31 +86,44 @@ def test_op3_shards(spark, docs):
 
 def test_op6_words(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok = word_bpe.WordTable(path).tok
+    tok = tokenizer(path)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
     for d, t, _ in docs.collect():
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
     key = lambda x: tuple(map(str, x))
-    assert sorted(map(tuple, word_bpe.digests(docs, path).collect()), key=key) == sorted(want, key=key)
+    clash = docs.withColumnRenamed("n", "block").withColumn("ids", F.lit(1))
+    assert sorted(map(tuple, word_bpe.digests(clash, path).collect()), key=key) == sorted(want, key=key)
     one = word_bpe.encode_decode(docs.filter("doc_id = 11"), path).collect()
     assert len(one) == 2 and one[0].ids == tok.encode("same row", add_special_tokens=False).ids
     assert word_bpe.digests(empty(spark), path).count() == 0
 
 
-def test_word_table_equals_whole_texts(monkeypatch):
-    """White space of all kinds, letters that change size when lowered, marks, special tokens; the table turns over."""
-    monkeypatch.setattr(word_bpe, "TABLE_ROWS", 50)
-    table = word_bpe.WordTable(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["it's, IT'S. <|endoftext|>, <|ENDOFTEXT|> a\tb\r\nc\x1ce\x85f\xa0g\u3000h", None, "", "  \n\n", "\u0130\u0130. \u03a3\u0391\u03a3, e\u0301! \ufb01; a\u180eb", " \u0308x, \u4e2d\u6587."]
+@pytest.mark.parametrize("limit", [60, 5000, 1 << 25])
+def test_distinct_words_equal_whole_texts(monkeypatch, limit):
+    """White space of all kinds, letters that change size when lowered, signs, special tokens, blocks of any size."""
+    for name in ("BLOCK_BYTES", "SLICE_WORDS", "ENCODE_WORDS"):
+        monkeypatch.setattr(word_bpe, name, limit)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = tokenizer(path)
+    texts = ["it's, IT'S. <|endoftext|>, <|ENDOFTEXT|> a\tb\r\nc\x1ce\x85f\xa0g\u3000h", None, "", "  \n\n", "\u0130\u0130. \u03a3\u0391\u03a3, e\u0301! \ufb01; a\u180eb", " \u0308x, \u4e2d\u6587.", "A.. b*** C's d' e.<|endoftext|>. x=\u2260 \u0130! \u01c4a. \u00c9t\u00e9*** <|endoftext|>.", "\x00\x01 a"]
     pick = random.Random(1)
     texts += ["".join(pick.choice("aB,. \n\t'sS!\u0301\u03a3\u03c3\u01301_\x1c<|>\u00aa\u4e2d") for _ in range(pick.randint(0, 40))) for _ in range(1500)]
-    for k in range(0, len(texts), 100):
-        count, ids, decoded = table.encode(pa.array(texts[k : k + 100]))
-        for t, n, i, d in zip(texts[k : k + 100], count.tolist(), ids.to_pylist(), decoded.to_pylist()):
-            own = table.tok.encode(t or "", add_special_tokens=False).ids
-            assert (n, i, d) == (len(own), " ".join(map(str, own)), table.tok.decode(own, skip_special_tokens=False)), t
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, min(k + 100, len(texts))), pa.int64()), pa.array(texts[k : k + 100], pa.string())], names=["doc_id", "text"]) for k in range(0, len(texts), 100)]
+    blocks = list(word_bpe._block_rows(iter(batches), 3))
+    rows = sorted((w, b.column(0)[0].as_py(), k) for b in blocks for k, w in enumerate(b.column(4)[0].as_py()))
+    held = [pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int32()), pa.array([x[0] for x in part])], names=["block", "k", "word"]) for part in (rows[i : i + 97] for i in range(0, len(rows), 97))]
+    found = pa.Table.from_batches(list(word_bpe._encoded(iter(held), path)))
+    seen = 0
+    for b in blocks:
+        own = found.filter(pa.compute.equal(found["of"], b.column(0)[0]))
+        for ids_of, count, ids, decoded in word_bpe._assembled(pa.Table.from_batches([b]), own, path):
+            for d, n, i, x in zip(ids_of.to_pylist(), count.tolist(), ids.to_pylist(), decoded.to_pylist()):
+                want = tok.encode(texts[d] or "", add_special_tokens=False).ids
+                assert (n, i, x) == (len(want), " ".join(map(str, want)), tok.decode(want, skip_special_tokens=False)), texts[d]
+                seen += 1
+    assert seen == len(texts)
 
 
 def brute_groups(rows):
@@ -242,71 +255,229 @@ def test_op9_media(spark, docs):
         raw = (t or "").encode()
         pay = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         want.append((str(d), len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:])))
-    got = media.media_digest(media.text_media(docs)).collect()
+    got = media.media_digest(docs.withColumnRenamed('n', 'media')).collect()
     assert sorted((str(g[0]), *g[1:5]) for g in got) == sorted(want)
     blocks = media.pcm_blocks(media.text_media(docs.filter("doc_id = 12")), "doc_id", block=1000).collect()
     pcm = b"".join(b.pcm for b in sorted(blocks, key=lambda b: b.first_sample))
     assert bytes(x ^ 0x80 for x in pcm).rstrip(b"\xff") == b"word " * 30_000
     assert media.pcm_blocks(spark.createDataFrame([(1, None)], "k long, media binary"), "k").count() == 0
-
-
-def test_op2_passages(spark):
+    assert media.media_digest(empty(spark)).count() == 0
+
+
+class Bits:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [value >> (width - 1 - k) & 1 for k in range(width)]
+
+    def rice(self, value, k):
+        z = value * 2 if value >= 0 else -value * 2 - 1
+        self.bits += [0] * (z >> k) + [1]
+        self.put(z & (1 << k) - 1, k)
+
+    def bytes(self):
+        bits = self.bits + [0] * (-len(self.bits) % 8)
+        return bytes(sum(b << 7 - k for k, b in enumerate(bits[i : i + 8])) for i in range(0, len(bits), 8))
+
+
+def crc(data, poly, width):
+    c = 0
+    for byte in data:
+        c ^= byte << width - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> width - 1 else c << 1) & (1 << width) - 1
+    return c
+
+
+def hand_made(frames, bps, edit=bytes):
+    """A stream of frames (samples, kind, options) written bit by bit after the format's description."""
+    out, total = b"", b""
+    for number, (x, kind, o) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x60, {8: 1, 12: 2, 16: 4}[bps] << 1, number, len(x) - 1])
+        f, w = Bits(), o.get("wasted", 0)
+        s, width = [v >> w for v in x], bps - w
+        code = {"constant": 0, "verbatim": 1, "fixed": 8 + o.get("order", 0), "lpc": 31 + o.get("order", 0)}[kind]
+        f.put(code << 1 | (w > 0), 8)
+        if w:
+            f.put(1, w)
+        if kind == "constant":
+            f.put(s[0], width)
+        elif kind == "verbatim":
+            for v in s:
+                f.put(v, width)
+        else:
+            order = o["order"]
+            for v in s[:order]:
+                f.put(v, width)
+            if kind == "lpc":
+                f.put(o["precision"] - 1, 4)
+                f.put(o["shift"], 5)
+                for c in o["coefficients"]:
+                    f.put(c, o["precision"])
+                guess = lambda t: sum(c * s[t - 1 - j] for j, c in enumerate(o["coefficients"])) >> o["shift"]
+            else:
+                guess = lambda t: {0: lambda: 0, 1: lambda: s[t - 1], 2: lambda: 2 * s[t - 1] - s[t - 2], 3: lambda: 3 * s[t - 1] - 3 * s[t - 2] + s[t - 3], 4: lambda: 4 * s[t - 1] - 6 * s[t - 2] + 4 * s[t - 3] - s[t - 4]}[order]()
+            res, parts, method = [s[t] - guess(t) for t in range(order, len(s))], o["parameters"], o.get("method", 0)
+            f.put(method, 2)
+            f.put(len(parts).bit_length() - 1, 4)
+            size, at = len(s) // len(parts), 0
+            for p, k in enumerate(parts):
+                own = res[at : at + size - (order if p == 0 else 0)]
+                at += len(own)
+                if k is None:  # escape: plain bits
+                    f.put(31 if method else 15, 5 if method else 4)
+                    need = max(1 + max(abs(v) for v in own).bit_length(), 1) if any(own) else 0
+                    f.put(need, 5)
+                    for v in own:
+                        f.put(v, need)
+                else:
+                    f.put(k, 5 if method else 4)
+                    for v in own:
+                        f.rice(v, k)
+        frame = head + bytes([crc(head, 0x07, 8)]) + f.bytes()
+        out += frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+        total += b"".join(v.to_bytes(1 if bps <= 8 else 2, "little", signed=True) for v in x)
+    n = sum(len(x) for x, _, _ in frames)
+    info = (16).to_bytes(2, "big") + (256).to_bytes(2, "big") + bytes(6) + (44100 << 44 | (bps - 1) << 36 | n).to_bytes(8, "big") + hashlib.md5(total).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + edit(out)
+
+
+def test_flac_hand_made_streams():
+    """Predictors of high order, partitions, escapes, wide Rice codes, wasted bits, long runs of zeros, samples of 8, 12 and 16 bits."""
+    r = random.Random(41)
+    walk = [0]
+    for _ in range(255):
+        walk.append(max(-2000, min(2000, walk[-1] + r.randint(-90, 90))))
+    low = [v // 20 for v in walk]
+    for bps, x in ((16, walk), (12, [v // 2 for v in walk]), (8, low)):
+        jump = x[:100] + [x[100] + (400 if bps > 8 else 25)] + x[101:]
+        frames = [
+            (x, "lpc", {"order": 4, "precision": 10, "shift": 5, "coefficients": [40, -12, 5, -2], "method": 1, "parameters": [6, None]}),
+            (x[:192], "lpc", {"order": 12, "precision": 7, "shift": 4, "coefficients": [9, 3, 2, 1, 1, 0, -1, 0, 1, -1, 0, 1], "parameters": [5, 4, None, 6]}),
+            ([v // 4 * 4 for v in x], "fixed", {"order": 3, "wasted": 2, "parameters": [3, 4, 0, 5]}),
+            (jump, "fixed", {"order": 4, "parameters": [2]}),
+            (x, "fixed", {"order": 0, "parameters": [0] if bps == 8 else [1]}),
+            (x[:64], "verbatim", {}),
+            ([x[7]] * 100, "constant", {}),
+            ([0] * 32, "fixed", {"order": 1, "parameters": [None, None]}),
+            (x, "fixed", {"order": 2, "parameters": [4] * 16, "method": 1}),
+        ]
+        stream = hand_made(frames, bps)
+        info, got = flac.decode_many([stream])[0]
+        assert got.tolist() == [v for f, _, _ in frames for v in f] and info["bps"] == bps
+        with pytest.raises(flac.BadFrame):
+            flac.decode_many([hand_made(frames, bps, lambda b: b[:40] + bytes([b[40] ^ 1]) + b[41:])])
+
+
+def test_flac_slices_of_long_streams(monkeypatch):
+    monkeypatch.setattr(flac, "SLICE_FRAMES", 7)
+    load = bytes(np.random.default_rng(5).integers(60, 130, 576 * 40, dtype=np.uint8))
+    streams = flac.encode_many([load, load[: 576 * 3]])
+    assert [(x + 128).astype(np.uint8).tobytes() for _, x in flac.decode_many(streams)] == [load, load[: 576 * 3]]
+    monkeypatch.undo()
+    assert flac.encode_many([load, load[: 576 * 3]]) == streams
+
+
+def chunk_model(rows):
+    """Lines removed of each (doc_id, text), worked out apart: boundaries by hashes over two lines, then every span's bytes."""
+    import xxhash
+
+    held = {}
+    docs = {(d is None, d or 0, xxhash.xxh64_intdigest((t or "").encode(), 42), t): None for d, t in rows if t}
+    order = sorted(docs, key=lambda x: (x[0], x[1], x[2] - (1 << 64) if x[2] >> 63 else x[2]))
+    for key in order:
+        lines = key[3].encode().split(b"\n")
+        h = [xxhash.xxh64_intdigest(x) for x in lines]
+        edges = [i for i in range(len(lines)) if lines[i].strip() and not ((h[i] + (h[i - 1] * line_chunks._MUL if i else 0)) % (1 << 64)) >> 17 & 1]
+        spans = {(a, b + 1) for a, b in zip(edges, edges[1:])}
+        words = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(words[a:b]) >= 50 and (words[a] and sum(words[a : b - 1]) < 50 or words[b - 1] and sum(words[a + 1 : b]) < 50):
+                    spans.add((a, b))
+        for a, b in sorted(spans):
+            held.setdefault(b"\n".join(lines[a:b]), []).append((key, a, b))
+    gone = {}
+    for places in held.values():
+        first = min(places, key=lambda p: (order.index(p[0]), p[1]))
+        for key, a, b in places:
+            if (key, a) != first[:2]:
+                gone.setdefault((key[1] if not key[0] else None, key[3]), set()).update(range(a, b))
+    return gone
+
+
+def test_op2_matches_chunk_model(spark):
     r = random.Random(11)
     line = lambda n: " ".join(word(r) + word(r) for _ in range(n))
-    passage, single, short = [line(14), line(20), line(9), line(18)], line(60), [line(9), line(10)]
+    shared = [[line(r.randint(1, 20)) for _ in range(r.randint(2, 8))] for _ in range(6)] + [[line(60)], [line(14)] * 3, ["", line(30), "", line(25)]]
     rows = []
-    for k in range(12):
-        own = [line(12) for _ in range(4)]
-        rows.append((k, "\n".join([*own[:2], *passage, *own[2:], *([single] if k % 3 == 0 else []), *(short if k % 2 else [])]), k))
-    df = spark.createDataFrame(rows + ODD, DOC)
-    got = {(x.doc_id, x.n): x for x in line_chunks.dedup_lines(df).collect()}
-    assert len(got) == len(rows) + len(ODD) - 1 and line_chunks.dedup_lines(df).count() == len(rows) + len(ODD)
-    for k in range(12):
-        t, gone = got[k, k].text, set()
-        if k:
-            gone |= set(passage)
-        if k % 3 == 0 and k:
-            gone.add(single)
-        if k == 9:
-            gone |= set(short)  # single and short follow each other here as in document 3
-        assert t.split("\n") == [x for x in rows[k][1].split("\n") if x not in gone]
-    assert got[7, 2].text is None and got[8, 3].text == "" and got[12, 8].lines_removed == 0
+    for k in range(60):
+        text = [line(r.randint(0, 14)) for _ in range(r.randint(0, 4))]
+        for _ in range(r.randint(0, 3)):
+            text += r.choice(shared) + [line(r.randint(0, 14)) for _ in range(r.randint(0, 3))]
+        rows.append((k, "\n".join(text), k))
+    rows += [(None, rows[5][1], 60), (2**63 - 1, rows[5][1], 61), *rows[8:11]]
+    df = spark.createDataFrame(rows + ODD, DOC).withColumnRenamed("n", "spans").withColumn("row", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("k1", F.lit(2))
+    want = chunk_model([(d, t) for d, t, _ in rows + ODD])
+    got = line_chunks.dedup_lines(df)
+    assert got.columns == [*df.columns, "lines_removed"]
+    cut = {}
+    for x in got.collect():
+        t = next(t for d, t, n in rows + ODD if d == x.doc_id and n == x.spans)
+        gone = want.get((x.doc_id, t), set())
+        assert x.lines_removed == len(gone) and x.text == (None if t is None else "\n".join(y for i, y in enumerate(t.split("\n")) if i not in gone)), x
+        cut[x.doc_id] = len(gone)
+    assert got.count() == df.count() and sum(map(bool, cut.values())) > 30
     assert line_chunks.dedup_lines(empty(spark)).count() == 0
 
 
-def test_op2_short_lines(spark):
-    """Passages of short lines go to their last line wherever they stand; runs below 50 words stay, and so does each first place."""
+def test_op2_passages(spark):
+    """Passages of 50 words go to their last line wherever they stand, and each first place stays, as do other lines."""
     r = random.Random(29)
     line = lambda n: " ".join(word(r) + word(r) for _ in range(n))
-    shapes = [[6] * 9, [6] * 10, [5] * 11, [7] * 8, [6] * 12, [4, 47], [47, 4], [1] * 50, [3, 60, 2], [20, 0, 5, 0, 25], [6] * 8]
+    shapes = [[6] * 9, [5] * 11, [7] * 8, [4, 47], [47, 4], [1] * 50, [3, 60, 2], [20, 0, 5, 0, 25], [14, 20, 9, 18], [60], [25, 25]]
     rows, want, k = [], {}, 0
     for shape in shapes:
         passage = [line(n) for n in shape]
-        for place in range(12):
+        for place in range(8):
             before, after = [line(r.randint(1, 12)) for _ in range(r.randint(0, 3))], [line(r.randint(1, 12)) for _ in range(r.randint(0, 3))]
             rows.append((k, "\n".join(before + passage + after), k))
-            want[k] = "\n".join(before + (passage if place == 0 or sum(shape) < 50 else []) + after)
+            want[k] = "\n".join(before + (passage if place == 0 else []) + after)
             k += 1
     again = line(5)
     rows += [(k, "\n".join([again] * 40), k), (k + 1, "a\tb " + "\t".join(word(r) for _ in range(60)), k), (k + 2, rows[0][1] + "\n" + "own words", k)]
+    rows += [(k + 10 + j, "\n".join([line(9), line(3), line(11)]), k) for j in range(20)]  # clean ones
+    want |= {d: t for d, t, _ in rows[-20:]}
     got = {x.doc_id: x.text for x in line_chunks.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
     assert all(got[d] == t for d, t in want.items())
-    assert got[k].startswith(again) and got[k + 1] == rows[k + 1][1] and got[k + 2].endswith("own words")
+    assert got[k].startswith(again) and got[k + 1] == rows[len(shapes) * 8 + 1][1] and got[k + 2].endswith("own words")
 
 
 def test_op2_windows_cover_every_passage():
     r = random.Random(31)
     for _ in range(300):
-        lines = [" ".join("w" for _ in range(r.choice([0, 1, 3, 7, 9, 20, 55]))) for _ in range(r.randint(1, 25))]
-        spans = line_chunks.windows("\n".join(lines))
+        lines = [b" ".join(b"w" for _ in range(r.choice([0, 1, 3, 7, 9, 20, 55]))) for _ in range(r.randint(1, 25))]
+        spans = line_chunks.windows(lines)
         size = [len(x.split()) for x in lines]
         assert all(sum(size[a:b]) >= 50 for a, b in spans)
         for s in range(len(lines)):
             for t in range(s + 1, len(lines) + 1):
-                if sum(size[s:t]) >= 50 and all(0 < n < 8 for n in size[s:t]):
+                if sum(size[s:t]) >= 50 and all(size[s:t]):
                     assert {k for a, b in spans if a >= s and b <= t for k in range(a, b)} == set(range(s, t))
 
 
+def test_op2_shared_short_chunks(spark):
+    """A repeated chunk goes however few words it has."""
+    r = random.Random(33)
+    line = lambda n: " ".join(word(r) + word(r) for _ in range(n))
+    shared = [line(14) for _ in range(3)]
+    got = line_chunks.dedup_lines(spark.createDataFrame([(k, "\n".join([*shared, line(9)]), k) for k in range(5)] + [(9, "\n".join(shared[:1]), 9)], DOC)).collect()
+    edges = line_chunks.chunks([x.encode() for x in shared])
+    for x in got:
+        assert x.lines_removed == (0 if x.doc_id in (0, 9) else len({k for a, b in edges for k in range(a, b)}))
+
+
 def test_op8_matches_brute_force(spark):
     r = random.Random(13)
     items = [(k, " ".join(word(r) for _ in range(n))) for k, n in enumerate([1, 3, 5, 6, 9, 20, 33, 64, 65, 120])] + [(50, None), (51, " "), (None, "some words of an item without id")]
@@ -358,6 +529,34 @@ def test_op4_forms(noisy):
     assert not {"idiot", "stupid", "mean"} & set(deobfuscate.restore("a good friend, we meet in 2024 - 1,000 of us (at 10:30) to do it", model))
 
 
+def test_op4_viterbi_is_the_best_path():
+    """Every path through the lattice of short noisy strings."""
+    r = random.Random(43)
+    model = deobfuscate.CharModel(char_table(" ".join(r.choices("you idiot stupid mean did it to us all".split(), k=3000))))
+
+    def paths(noisy, edges):
+        held, prev, times = [((26, 26), 0.0)], "", 0
+        for c in noisy.lower():
+            times = times + 1 if c == prev else 1
+            new = []
+            for (a, b), score in held:
+                for x, cost in model.options(c, times, edges):
+                    k = deobfuscate._code(x) if x else None
+                    new.append(((b, k), score + cost + model.log[a][b][k]) if x and not (x == " " and b == 26) else ((a, b), score + cost))
+            held, prev = new, c
+        return max(s + (model.log[a][b][26] if b != 26 else 0.0) for (a, b), s in held)
+
+    for noisy in ("1d10t", "i.d.i", "$tuu", "y0u-1", "a!!", "1*d", "-", "m€@n", "il|1"):
+        for edges in (False, True):
+            if "*" not in noisy or edges:
+                assert model.best(noisy, edges)[0] == pytest.approx(paths(noisy, edges))
+    import time
+
+    began = time.perf_counter()
+    deobfuscate.restore("1d10t" * 20_000, model)
+    assert time.perf_counter() - began < 60
+
+
 def char_table(text):
     c = deobfuscate._CODE[np.frombuffer(b"\n" + text.encode() + b"\n", np.uint8)].astype(int)
     return np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3).astype(float)
@@ -384,6 +583,75 @@ def test_op4_and_op7_held_out(spark):
         assert auc > 0.95, (column, auc)
 
 
+def test_held_out_labels_change_nothing(spark):
+    r = random.Random(45)
+    rows = [(k, " ".join(word(r) for _ in range(30)) + (" nasty rotten" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").select("doc_id", "text")
+    for module, parts, which in ((ftrl, 5, 0), (deobfuscate, 4, 2)):
+        out = lambda d: zlib.crc32(str(d).encode()) % parts == which
+        same = [(d, y) for d, _, y in rows]
+        turned = [(d, 1 - y if out(d) else y) for d, y in same] + [(10_000 + k, 1) for k in range(9000) if out(10_000 + k)]
+        scores = []
+        for labels in (same, turned):
+            trained = module.train(docs, spark.createDataFrame(labels, "doc_id long, label int"), ~queries._held_out(parts, which))
+            scores.append({x.doc_id: x.score for x in module.score(docs, trained, ["doc_id"]).collect()})
+        assert scores[0] == scores[1] and max(scores[0].values()) > 0.5
+
+
+def test_op7_matches_plain_ftrl(monkeypatch):
+    """Features and updates worked out with dictionaries, and hashing in chunks of any size."""
+    import math
+    import re
+
+    r = random.Random(47)
+    texts = [" ".join(r.choice(["a", "bb", "Cc", "7", "!?", "e\u0301", "bb", "x9"]) for _ in range(r.randint(0, 25))) for _ in range(40)] + ["", "ab" * 500]
+    labels = [int("bb" in t) for t in texts]
+    mul, mix, full = int(ftrl._MUL), int(ftrl._MIX), (1 << 64) - 1
+
+    def plain(t):
+        raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), re.sub(rb"[0-9]", b"0", t.encode()))
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", raw)
+        hs = []
+        for w in found:
+            h = sum((c + 1) * pow(mul, i, 1 << 64) for i, c in enumerate(w)) & full
+            hs.append((h ^ h >> 31) * mix & full)
+        twos = []
+        for a, b in zip(hs, hs[1:]):
+            p = (a * 0xC2B2AE3D27D4EB4F + b) & full
+            twos.append((1 if a == b else p ^ p >> 29) * mix & full)
+        return [x >> 44 for x in hs + twos]
+
+    for chunk in (3, 64, 1 << 20):
+        monkeypatch.setattr(ftrl, "CHUNK", chunk)
+        ftrl._tables.cache_clear()
+        index, starts = ftrl.features(texts)
+        assert [sorted(index[a:b].tolist()) for a, b in zip(starts, starts[1:])] == [sorted(plain(t)) for t in texts]
+    monkeypatch.undo()
+    ftrl._tables.cache_clear()
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0)) <= 0.02:
+            return 0.0
+        return -(z[k] - math.copysign(0.02, z[k])) / ((1 + math.sqrt(n[k])) / 0.3 + 0.1)
+
+    data = []
+    for t in texts:
+        own = plain(t)
+        data.append({k: 30 * own.count(k) / max(len(own), 1) for k in own} | {1 << 20: 1.0})
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        for j in rng.permutation(len(data)):
+            w = {k: weight(k) for k in data[j]}
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[k] * x for k, x in data[j].items())))))
+            for k, x in data[j].items():
+                g = (p - labels[j]) * x
+                s = (math.sqrt(n.get(k, 0) + g * g) - math.sqrt(n.get(k, 0))) / 0.3
+                z[k], n[k] = z.get(k, 0) + g - s * w[k], n.get(k, 0) + g * g
+    got = ftrl.fit(texts, labels)
+    assert all(got[k] == pytest.approx(weight(k), abs=1e-5) for k in z) and np.count_nonzero(got) <= len(z)
+
+
 def test_op7_empty_and_untrained(spark):
     w = ftrl.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, label int"), F.lit(True))
     got = ftrl.score(spark.createDataFrame([(None, None), (1, ""), (2, "a b c")], "doc_id long, text string"), w, ["doc_id"]).collect()
@@ -399,6 +667,25 @@ def test_op1_rules(spark):
     assert url_tree.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op1_tree(spark, monkeypatch):
+    """Deep paths, hosts without labels, merged siblings, hot paths, repeated rows, ties and other columns."""
+    urls = [f"http://a.example.com/en/{k}/x/y/{k % 2}/end" for k in range(20)] + [f"http://b.example.com/{lang}/{k}" for lang in ("en", "de", "fr") for k in range(10)]
+    urls += [f"http://q.org/en/{k}/x/y/{k % 2}/end" for k in range(6)] + [f"http://q.org/de/{k}" for k in range(6)] + ["http://q.org/" + "s/" * 3000] + [None] * 50 + ["http://q.org/same"] * 9
+    df = spark.createDataFrame([(k, u, k) for k, u in enumerate(urls)], "page_id long, url string, n long").withColumn("t", F.lit(1)).withColumn("host", F.lit("z"))
+    outs = []
+    for hot in (100_000, 5):
+        monkeypatch.setattr(url_tree, "HOT_ROWS", hot)
+        got = {x.page_id: x for x in url_tree.judge(df).collect()}
+        assert len(got) == len(urls)
+        outs.append(got)
+    assert outs[0] == outs[1]
+    by = lambda text: {(x.template, x.verdict) for k, x in got.items() if urls[k] and text in urls[k]}
+    assert by("a.example.com/en") == {("/en/*/x/y/0/end", "block"), ("/en/*/x/y/1/end", "block")} or by("a.example.com/en") == {("/en/*/x/y/0/end", "block")}
+    assert {v for _, v in by("q.org/en")} == {"block"} and {v for _, v in by("q.org/de")} == {"allow"}  # by the prior over hosts
+    assert len({t for t, _ in by("b.example.com/de") | by("b.example.com/fr")}) == 1 and len({t for t, _ in by("b.example.com/en") | by("b.example.com/de")}) == 2
+    assert all(got[k].template == "" for k, u in enumerate(urls) if u is None)
+
+
 def test_op10_text():
     page = """<html><head><title>t</title><script>var a="</p><article>";</script></head><body><nav><a href="/">menu</a></nav><div class="ad">buy</div>
     <article><h1>Head &amp; tail</h1><p>one <b>two<br>three<p>caf&eacute; &#8212;
@@ -438,6 +725,90 @@ def test_op10_slots_before_names(spark):
     assert got == want
 
 
+def test_op10_classes_match_a_plain_deduction(spark):
+    """Classes by whole occurrence vectors, slots by their text, on small hosts."""
+    r = random.Random(49)
+    line = lambda n: " ".join(word(r) for _ in range(n))
+    rows = []
+    for h in range(5):
+        shape = [r.choice(["div", "section", "article"]) for _ in range(3)]
+        for k in range(6):
+            body = "".join(f"<{t} class={"xyz"[j]}>" + "".join(f"<p>{line(r.randint(1, 30))}</p>" for _ in range(r.randint(1, 3) * (1 + 3 * (j == h % 3)))) + f"</{t}>" for j, t in enumerate(shape))
+            rows.append((f"h{h}", f"<body><nav><a>{line(3)}</a></nav>{body}<footer>{line(2)}</footer></body>"))
+    got = {x.host: x.main for x in template.deduce(spark.createDataFrame(rows, "host string, html string")).collect()}
+    for h in {x for x, _ in rows}:
+        pages = [template.parse(t) for x, t in rows if x == h]
+        vectors = {}
+        for k, p in enumerate(pages):
+            for token, n in p.tokens.items():
+                vectors.setdefault(token, [0] * len(pages))[k] = n
+        classes = {}
+        for token, v in vectors.items():
+            classes.setdefault(tuple(v), []).append(token)
+        valid = {t for v, c in classes.items() if len(c) >= 2 and sum(x > 0 for x in v) >= 3 and max(v) == 1 for t in c}
+        held, info = {}, {}
+        for p in pages:
+            for k, node in enumerate(p.nodes):
+                depth, up, inside = 0, k, set()
+                while up > 0:
+                    depth, up = depth + 1, p.nodes[up].parent
+                info[node.path] = (node.called, depth, node.path, node.body)
+            for at, text, linked in p.blocks:
+                up, around = at, set()
+                while up >= 0:
+                    around.add(p.nodes[up].path)
+                    up = p.nodes[up].parent
+                if not (p.nodes[at].tagged or p.nodes[at].named):
+                    for path in around:
+                        held[path] = held.get(path, 0) + len(text) - 2 * min(linked, len(text))
+        found = {t: held.get(t, 0) for t in valid if t in info and not info[t][3]}
+        best = max(found.values(), default=0)
+        assert got.get(h) == max((t for t, v in found.items() if v > 0 and v * 10 >= best * 9), key=lambda t: info[t][:3], default=None)
+
+
+def test_op10_odd_pages(spark):
+    """Deep and long markup, headings with chrome names, repeated rows, clashing columns, an empty table."""
+    r = random.Random(51)
+    line = lambda n: " ".join(word(r) for _ in range(n))
+    rows, want = [], {}
+    for k in range(6):
+        t = [line(6), line(30), line(12), line(40)]
+        rows.append((k, f"http://a.org/{k}", f'<body><article><h1 class="post-header">{t[0]}</h1><div class="entry-header"><h2>{t[2]}</h2></div><p>{t[1]}</p><div class="related-work">{t[3]}</div></article></body>'))
+        want[k] = "\n".join([t[0], t[2], t[1], t[3]])
+    rows += [(50, "http://deep.org/", "<div>" * 20_000 + "<b>" * 20_000 + "core" + "</i>" * 20_000), (51, "http://deep.org/", "<a " * 50_000 + 'x"' + "<p " * 50_000), (52, "http://deep.org/", "<p>" + "word " * 300_000 + "<!-- never closed"), *rows[:2]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit("t")).withColumn("main", F.lit("m"))
+    got = template.extract(df).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    texts = {x.page_id: x.text for x in got}
+    assert {k: texts[k] for k in want} == want
+    assert texts[50] == "core" and texts[52] == ("word " * 300_000).strip()
+    assert template.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_rows_apart(spark):
+    """Shared, null and repeated ids, leaks without an id, columns of any name, and empty tables in every stage."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, "alpha beta gamma delta one two three four five six"), (1, "totally other words that nobody else would ever write down here"), (None, "a row without an id but with some words"), (None, "a row without an id but with some words"), (2, None), (3, ""), (3, ""), (4, "word " * 30_000), (5, f"leak {item} leak"), (None, f"more {item} of it"), (5, "clean text that only shares its id with a leak, as it happens"), (6, "alpha beta gamma delta one two three four five six")]
+    df = spark.createDataFrame([(d, t, 0.5, "x", 7, len(t or ""), "r") for d, t in rows], "doc_id long, text string, score double, `a.b` string, lines_removed int, n_chars long, row string")
+    ids, now = {}, df
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, SF)
+        if name != "bpe":
+            assert out.columns == df.columns and {x.score for x in out.collect()} == {0.5}
+            now = out
+        ids[name] = sorted(((x.doc_id, x.text if name != "bpe" else None) for x in out.collect()), key=str)
+        assert stage(spark, df.limit(0), SF).count() == 0
+    key = lambda x: sorted(x, key=str)
+    assert ids["toxicity"] == ids["line_dedup"] == key(rows)
+    one_each = [x for x in rows if x[0] != 3 and x != rows[11]]
+    one_each.remove(rows[2])
+    assert ids["simhash_dedup"] == key(one_each)
+    assert ids["decontaminate"] == key([x for x in one_each if not (x[1] and item in x[1])])
+    assert len(ids["bpe"]) == len(ids["decontaminate"])
+
+
 def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
 
@@ -454,6 +825,6 @@ def test_pipeline_stages_match_brute_force(spark):
             want = {c for _, _, c in brute_groups([(d, x.text) for d, x in before.items()])}
             assert set(after) == want
         if name == "bpe":
-            tok = word_bpe.WordTable(public_tokenizers.path("word_bpe_49k.json")).tok
+            tok = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
             assert all(x.n_tokens == len(tok.encode(before[d].text or "", add_special_tokens=False).ids) for d, x in after.items())
     assert corpus_pipeline.run(spark, SF).count() == len(after)
