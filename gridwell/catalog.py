@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwell.operators import cluster, features, layouts, lsh, similarity, spgemm, work
+from gridwell.operators.components import connected_components
 from gridwell.operators.matrix import Matrix, invert, prefix_sum, rows_sorted_unique
 from gridwell.operators.spmv import LAYOUTS, spmv
 from gridwell.plans import fixtures
-from gridwell.plans.runtime import fresh_path
-from gridwell.sources import mtx
+from gridwell.plans.runtime import fresh_path, materialize
+from gridwell.sources import logs, mtx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,12 +415,39 @@ def _(s, d):
     return sigs.join(nxt, "i").select(F.col("i").alias("a"), "b", lsh.estimated_jaccard(F.col("sig"), F.col("other")).alias("score"))
 
 
-def _hc(s, d, capped=True):
-    return cluster.preprocess(fixtures.document_tokens(s, d), K, BANDS, SEED, CLUSTER, capped)
+def _hc(s, d, capped=True, strategy="heap"):
+    return cluster.preprocess(fixtures.document_tokens(s, d), K, BANDS, SEED, CLUSTER, capped, strategy)
+
+
+QUERIES["hc_fast"] = _hc
+QUERIES["hc_v0"] = lambda s, d: _hc(s, d, capped=False, strategy="members")
+QUERIES["hc_v1"] = lambda s, d: _hc(s, d, capped=False)
+
+
+@_add("clsh_pipeline", f"select {N_DOC} as rows, true as permutes, true as covers, true as whole_clusters, true as in_bounds")
+def _(s, d):
+    """Signatures to permutation and offsets, told by what must hold of them."""
+    m = fixtures.document_tokens(s, d)
+    roots = materialize(_hc(s, d), "clsh-roots")
+    perm, offsets = cluster.permutation(roots, m.nrows)
+    told = perm.agg(F.count("*").alias("rows"), ((F.count_distinct("old_row") == m.nrows) & (F.count_distinct("new_row") == m.nrows) & (F.min("new_row") == 0) & (F.max("new_row") == m.nrows - 1)).alias("permutes"))
+    spans = offsets.agg(((F.sum(F.col("stop") - F.col("start")) == m.nrows) & (F.min("start") == 0) & (F.max("stop") == m.nrows)).alias("covers"), (F.max(F.col("stop") - F.col("start")) <= 2 * CLUSTER - 2).alias("in_bounds"))
+    placed = perm.join(roots, F.col("old_row") == F.col("i")).groupBy("root").agg((F.max("new_row") - F.min("new_row") + 1 == F.count("*")).alias("run"))
+    return told.crossJoin(placed.agg(F.bool_and("run").alias("whole_clusters"))).crossJoin(spans).select("rows", "permutes", "covers", "whole_clusters", "in_bounds")
+
+
+@_add("hc_linked", _with(DT, _COEF, _SIG, _BND, _CAPPED % (256, 16)) + f"select {N_DOC} as rows, 0::bigint as strays, 0::bigint as outside, {N_DOC} - (select count(*) from (select i from pr union select j from pr)) as alone from (select 1)")
+def _(s, d):
+    """Roots that are not their own root, members that no pairs link to their root, rows without any pair."""
+    m = fixtures.document_tokens(s, d)
+    pairs = materialize(lsh.candidates(m, K, BANDS, SEED), "hc-all-pairs")
+    roots = materialize(cluster.hierarchical(m, pairs, CLUSTER), "hc-all-roots")
+    parts = connected_components(pairs, "i", "j").select(F.col("node").alias("i"), "component")
+    named = roots.join(parts, "i", "left").select("i", "root", F.coalesce("component", "i").alias("part"), F.col("component").isNull().alias("alone"))
+    top = named.select(F.col("i").alias("root"), F.col("root").alias("own"), F.col("part").alias("root_part"))
+    return named.join(top, "root").agg(F.count("*").alias("rows"), F.count_if(F.col("own") != F.col("root")).alias("strays"), F.count_if(F.col("part") != F.col("root_part")).alias("outside"), F.count_if(F.col("alone")).alias("alone"))
 
 
-QUERIES["hc_fast"] = QUERIES["clsh_pipeline"] = _hc
-QUERIES["hc_v0"] = QUERIES["hc_v1"] = lambda s, d: _hc(s, d, capped=False)
 QUERIES["hc_permutation"] = lambda s, d: cluster.permutation(_hc(s, d), fixtures.document_tokens(s, d).nrows)[0]
 QUERIES["hc_offsets"] = lambda s, d: cluster.permutation(_hc(s, d), fixtures.document_tokens(s, d).nrows)[1]
 
@@ -542,12 +570,25 @@ def _(s, d):
     return features.differing(m, m.withColumn("v", F.col("v") + F.col("i") % 3), ["i", "j"])
 
 
+@_add("compare_pairs", _with(SP, "a as (select i, j, v / 50 x from sp where i % 2 = 0)", "b as (select i, j, v / 50 + case when j % 7 = 0 then 0.5::double else 1e-9::double end y from sp where i % 2 = 0 and j % 5 <> 0 or i % 10 = 1 and j < 20)") + "select i, count(*) filter (where y is null) only_a, count(*) filter (where x is null) only_b, count(*) filter (where abs(x - y) > 1e-6::double) different from a full join b using (i, j) group by i having count(*) filter (where x is null or y is null or abs(x - y) > 1e-6::double) > 0")
+def _(s, d):
+    m = fixtures.supplier_part(s, d).entries
+    a = m.filter("i % 2 = 0").select("i", "j", (F.col("v") / 50).alias("score"))
+    b = m.filter("i % 2 = 0 and j % 5 <> 0 or i % 10 = 1 and j < 20").select("i", "j", (F.col("v") / 50 + F.when(F.col("j") % 7 == 0, 0.5).otherwise(1e-9)).alias("score"))
+    return features.compare_pairs(a, b)
+
+
+@_add("best_rows", "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) = 1")
+def _(s, d):
+    return logs.best_rows(fixtures.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey")
+
+
 # Files, written to and read from the shared folder.
 
 @_add("mtx_roundtrip", _with(SP) + "select i, j, v from sp")
 def _(s, d):
     path = fresh_path(s, "matrix")
-    mtx.write_mtx(fixtures.supplier_part(s, d), path)
+    mtx.write_mtx(fixtures.supplier_part(s, d), path, parts=4)
     return mtx.read_mtx(s, path).entries
 
 
@@ -555,7 +596,7 @@ def _(s, d):
 def _(s, d):
     n = fixtures.supplier_part(s, d).nrows
     path = fresh_path(s, "permutation")
-    mtx.write_rows(_perm(s, n), "old_row", "new_row", path)
+    mtx.write_rows(_perm(s, n), "old_row", "new_row", path, parts=4)
     return mtx.read_permutation(s, path, n)
 
 
@@ -565,7 +606,7 @@ def _(s, d):
     marks = similarity.equal_clusters(m, CLUSTER)
     path = fresh_path(s, "offsets")
     every = marks.select("start").unionByName(s.range(1).select(F.lit(m.nrows).cast("long").alias("start")))
-    mtx.write_rows(every, "start", "start", path)
+    mtx.write_rows(every, "start", "start", path, parts=4)
     return mtx.read_offsets(s, path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import pandas as pd
@@ -64,20 +65,51 @@ def agglomerate(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap:
     return {x: root(x) for x in parent}
 
 
-def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP) -> DataFrame:
+def agglomerate_by_members(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap: int = CAP) -> dict[int, int]:
+    """What `agglomerate` finds, by lists: each root keeps its members, who are told their new root when it changes, and
+    pairs wait in a sorted list rather than a heap."""
+    root = {x: x for i, j, _ in pairs for x in (i, j)}
+    members = {x: [x] for x in root}
+    waiting = sorted({(i, j): (s, i, j) for i, j, s in pairs}.values())  # the best pair is last
+    seen, open_ = {(i, j) for _, i, j in waiting}, set(root)
+    while waiting:
+        _, i, j = waiting.pop()
+        a, b = root[i], root[j]
+        if a == b or not {a, b} <= open_:
+            continue
+        if a == i and b == j:
+            keep, gone = (j, i) if len(members[j]) > len(members[i]) else (i, j)
+            for x in members[gone]:
+                root[x] = keep
+            members[keep] += members.pop(gone)
+            if len(members[keep]) >= cap:
+                open_.discard(keep)
+        elif (pair := (min(a, b), max(a, b))) not in seen:
+            seen.add(pair)
+            x, y = (rows.get(p, set()) for p in pair)
+            bisect.insort(waiting, (len(x & y) / len(x | y) if x or y else 0.0, *pair))
+    return root
+
+
+STRATEGIES = {"heap": agglomerate, "members": agglomerate_by_members}
+
+
+def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "heap") -> DataFrame:
     """(i, root) of every row; rows in no pair are their own root. pairs(i, j, score), i < j.
 
     Merges never leave a connected component of the pairs, so components are found first and clustered in parallel; a
-    component is one task's work, which is what the sequential rule allows.
+    component is one task's work, which is what the sequential rule allows. strategy says how that task keeps its books:
+    "heap" (union-find and a heap of pairs) or "members" (lists of members and of pairs); both give the same roots.
     """
     pairs = materialize(pairs.groupBy("i", "j").agg(F.max("score").alias("score")), "hc-pairs")
     found = materialize(connected_components(pairs, "i", "j"), "hc-components")
     own = pairs.join(found.select(F.col("node").alias("i"), "component"), "i")
     cells = m.entries.select("i", "j").distinct().groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("cols"))
     rows = found.select(F.col("node").alias("i"), F.col("component").alias("part")).join(cells, "i").select("part", "i", "cols")
+    merge = STRATEGIES[strategy]
 
     def run(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        roots = agglomerate(list(zip(p["i"].tolist(), p["j"].tolist(), p["score"].tolist())), {i: set(c) for i, c in zip(r["i"].tolist(), r["cols"])}, cap)
+        roots = merge(list(zip(p["i"].tolist(), p["j"].tolist(), p["score"].tolist())), {i: set(c) for i, c in zip(r["i"].tolist(), r["cols"])}, cap)
         return pd.DataFrame({"i": list(roots), "root": list(roots.values())}, dtype="int64")
 
     merged = own.groupBy("component").cogroup(rows.groupBy("part")).applyInPandas(run, "i long, root long")
@@ -97,6 +129,6 @@ def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
     return perm, offsets
 
 
-def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True) -> DataFrame:
+def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True, strategy: str = "heap") -> DataFrame:
     """(i, root): signatures, candidate pairs (capped buckets or all pairs) and greedy clustering."""
-    return hierarchical(m, lsh.candidates(m, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap)
+    return hierarchical(m, lsh.candidates(m, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy)

@@ -169,3 +169,11 @@ def differing(a: DataFrame, b: DataFrame, keys: list[str], rel: float = 1e-10, a
     both = a.select(*keys, F.col("v").alias("x")).join(b.select(*keys, F.col("v").alias("y")), keys, "full").withColumn("x", value(F.col("x"))).withColumn("y", value(F.col("y")))
     gap = F.abs(F.col("x") - F.col("y"))
     return both.filter((gap > absolute) & (gap > rel * F.greatest(F.abs("x"), F.abs("y"))))
+
+
+def compare_pairs(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(i, only_a, only_b, different): for each row of two lists (i, j, score), the pairs that one of them lacks and those
+    whose scores differ by more than `tolerance`. Rows that agree are not in it."""
+    both = a.select("i", "j", F.col("score").alias("x")).join(b.select("i", "j", F.col("score").alias("y")), ["i", "j"], "full")
+    told = both.groupBy("i").agg(F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.count_if(F.abs(F.col("x") - F.col("y")) > tolerance).alias("different"))
+    return told.filter("only_a + only_b + different > 0")

@@ -14,7 +14,8 @@ from gridwell.operators import cluster, features, layouts, lsh, similarity, spge
 from gridwell.operators.components import connected_components
 from gridwell.operators.matrix import Matrix, invert, prefix_sum
 from gridwell.operators.spmv import LAYOUTS, spmv
-from gridwell.sources import mtx
+from gridwell.plans.microbench import accumulators
+from gridwell.sources import logs, mtx
 from gridwell.streaming.minhash import streaming_signatures
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +182,54 @@ def test_clusters_partition_rows(spark):
     assert max(s[2] - s[1] for s in spans) <= 2 * 4 - 2
 
 
+def greedy_model(pairs, rows, cap):
+    """The greedy rule on plain lists: look at all waiting pairs, take the best, tell every member."""
+    root = {x: x for i, j, _ in pairs for x in (i, j)}
+    waiting, seen, closed = [(s, i, j) for i, j, s in pairs], {(i, j) for i, j, _ in pairs}, set()
+    size = lambda r: sum(x == r for x in root.values())
+    while waiting:
+        best = max(waiting)
+        waiting.remove(best)
+        _, i, j = best
+        a, b = root[i], root[j]
+        if a == b or a in closed or b in closed:
+            continue
+        if (a, b) == (i, j):
+            into, gone = (b, a) if size(b) > size(a) else (a, b)
+            root = {x: into if r == gone else r for x, r in root.items()}
+            if size(into) >= cap:
+                closed.add(into)
+        elif (min(a, b), max(a, b)) not in seen:
+            a, b = min(a, b), max(a, b)
+            seen.add((a, b))
+            union = rows.get(a, set()) | rows.get(b, set())
+            waiting.append((len(rows.get(a, set()) & rows.get(b, set())) / len(union) if union else 0.0, a, b))
+    return root
+
+
+@pytest.mark.parametrize("strategy", cluster.STRATEGIES)
+def test_greedy_strategies_match_the_model(strategy):
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.randint(2, 40)
+        rows = {i: {r.randrange(8) for _ in range(r.randrange(6))} for i in range(n)}
+        pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 80))) if a != b})
+        scored = [(a, b, r.choice([0.0, 0.25, 0.5, 0.75, 1.0])) for a, b in pairs]
+        cap = r.choice([2, 3, 4, 8])
+        assert cluster.STRATEGIES[strategy](scored, rows, cap) == greedy_model(scored, rows, cap)
+
+
+def test_logs(spark, tmp_path):
+    (tmp_path / "run.out").write_text("start\n===== Dataset: cant =====\nFLOPs: 12\nKernel: 1\n[mixed_acc] hash 3 dense 4\nAverage time: 2.5 ms\nAverage GFLOPS: 0.5\nAverage time: 9 ms\n===== Dataset: hood =====\nKernel: 2\n===== Dataset: cant =====\nAverage time: 1.5 ms\n")
+    rows = logs.read_logs(spark, str(tmp_path / "run.out")).orderBy("at").collect()
+    assert [tuple(x)[2:] for x in rows] == [("cant", 12, 1, "hash 3 dense 4", 2.5, 0.5), ("hood", None, 2, None, None, None), ("cant", None, None, None, 1.5, None)]
+    best = logs.best_rows(logs.read_logs(spark, str(tmp_path / "run.out")), "dataset", "average_ms", "at")
+    assert [(x.dataset, x.average_ms) for x in best.collect()] == [("cant", 1.5)]
+    logs.write_csv(best, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first().dataset == "cant"
+    assert {x.faster for x in accumulators(spark, 64, 4, (0.1,), 1).collect()} <= {"hash", "dense"}
+
+
 def test_components(spark):
     r = random.Random(10)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)]
