@@ -24,7 +24,7 @@ _vocabularies: dict = {}
 #: White space of the tokenizer besides the space and the line end, in RE2.
 _SPACE = r"[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text of a block at most, but for a longer text, and word occurrences that are put together at once.
-BLOCK_BYTES, SLICE_WORDS = 32 << 20, 1 << 20
+BLOCK_BYTES, SLICE_WORDS = 32 << 20, 1 << 17
 #: Words that go to the tokenizer at once.
 ENCODE_WORDS = 20_000
 #: A word that ends in ASCII signs after a letter: the tokenizer cuts there.
@@ -79,22 +79,26 @@ def _block_rows(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.Rec
     for seq, (ids, texts) in enumerate(_gathered(batches)):
         sizes, flat = split_words(texts)
         numbered = flat.dictionary_encode()
+        del flat, texts
         number, first, signs = {}, [], []
         for w in numbered.dictionary.to_pylist():
             base, after = bases(w)
             first.append(number.setdefault(base, len(number)))
             signs.append(number.setdefault(after, len(number)) if after else -1)
-        first, signs = np.array(first, np.int64), np.array(signs, np.int64)
+        first, signs = np.array(first, np.int32), np.array(signs, np.int32)
         word = numbered.indices.to_numpy(zero_copy_only=False)
+        del numbered
         closed = signs[word] >= 0 if len(word) else np.zeros(0, bool)
-        at = np.repeat(first[word] if len(word) else first, 1 + closed)
-        ends = np.cumsum(1 + closed)
+        at = np.repeat(first[word] if len(word) else first, closed.astype(np.int8) + 1)
+        ends = np.cumsum(closed.astype(np.int8) + 1, dtype=np.int64)
         at[ends[closed] - 1] = signs[word[closed]] if len(word) else 0
         total = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+        del word, closed, ends
         rank = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        planes = np.ascontiguousarray(place[at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        place = np.empty(len(rank), "<u4")
+        place[rank] = np.arange(len(rank), dtype="<u4")
+        planes = np.ascontiguousarray(place[at].view(np.uint8).reshape(-1, 4).T)
+        del at
         words = list(number)
         row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         packed = pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
@@ -163,20 +167,19 @@ def _assembled(block: pa.Table, words: pa.Table, path: str) -> Iterator[tuple[pa
     doc_ids, sizes, space = get("doc_ids").flatten(), get("sizes").flatten().to_numpy().astype(np.int64), pa.scalar(" ", pa.large_string())
     ends = np.append(0, np.cumsum(sizes))
     total = int(ends[-1])
-    at = np.zeros(0, np.int64)
+    planes = np.zeros((4, 0), np.uint8)
     if total:
         planes = np.frombuffer(pa.decompress(get("at")[0].as_py(), decompressed_size=4 * total, codec="zstd", asbytes=True), np.uint8).reshape(4, total)
-        at = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
     order = pa.array(np.argsort(words.column("k").to_numpy()))
-    raw = words.column("ids").combine_chunks().take(order).cast(pa.large_binary())
+    raw = words.column("ids").combine_chunks().cast(pa.large_binary()).take(order)
     n = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    flat = pa.array(np.frombuffer(b"".join(raw.to_pylist()), "<i4"))
+    flat = pa.array(np.frombuffer(raw.buffers()[2] or b"", "<i4", int(n.sum())))  # take() begins its buffer anew
     cuts = pa.array(np.append(0, np.cumsum(n)), pa.int32())
     pieces, numbers = (pc.binary_join(pa.ListArray.from_arrays(cuts, v.take(flat)), space) for v in _vocabulary(path))
     a = 0
     while a < len(sizes):
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, side="right")) - 1)
-        own = at[ends[a] : ends[b]]
+        own = np.ascontiguousarray(planes[:, ends[a] : ends[b]].T).view("<u4").ravel().astype(np.int64)
         each = n[own] if len(own) else own
         kept, inside = each > 0, ends[a : b + 1] - ends[a]  # words that the tokenizer drops whole leave no gap
         starts, take = pa.array(np.append(0, np.cumsum(kept))[inside], pa.int32()), pa.array(own[kept])
