@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows and bytes up to which a side of a join may be broadcast after both have been counted.
@@ -22,6 +25,25 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return to the system what this process's memory pools keep of tables that are gone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def tidy(rows):
+    """rows, a generator function for mapInArrow, that gives memory back when it ends: a worker stays for later tasks."""
+
+    @functools.wraps(rows)
+    def run(*args):
+        yield from rows(*args)
+        give_back()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
     bound_batches(spark)
