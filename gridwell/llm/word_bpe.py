@@ -18,13 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gridwell.llm.chunked_bpe import tokenizer
-from gridwell.plans.runtime import bound_batches, bucketed, partitions
+from gridwell.plans.runtime import bound_batches, bucketed, give_back, partitions, tidy
 
 _vocabularies: dict = {}
 #: White space of the tokenizer besides the space and the line end, in RE2.
 _SPACE = r"[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Bytes of text of a block at most, but for a longer text, and word occurrences that are put together at once.
-BLOCK_BYTES, SLICE_WORDS = 32 << 20, 1 << 17
+#: Bytes of text of a block at most, but for a longer text; bytes that are split at once, but for a longer word; word
+#: occurrences that are put together at once.
+BLOCK_BYTES, SPLIT_BYTES, SLICE_WORDS = 32 << 20, 4 << 20, 1 << 17
+#: Where a long text may be cut.
+_GAP = re.compile(rb"[ \n]")
 #: Words that go to the tokenizer at once.
 ENCODE_WORDS = 20_000
 #: A word that ends in ASCII signs after a letter: the tokenizer cuts there.
@@ -57,61 +60,111 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(doc_ids, texts) of as many rows at a time as hold BLOCK_BYTES."""
+    """(doc_ids, texts) of as many rows at a time as hold SPLIT_BYTES, or of one longer text."""
     held, size = [], 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < batch.num_rows:
-            b = min(max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_BYTES - size, side="right"))), batch.num_rows)
+            b = min(max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SPLIT_BYTES - size, side="right"))), batch.num_rows)
             held.append(batch.slice(a, b - a))
             size += int(ends[b - 1] - (ends[a - 1] if a else 0))
             a = b
-            if size >= BLOCK_BYTES or a < batch.num_rows:
+            if size >= SPLIT_BYTES or a < batch.num_rows:
                 yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
                 held, size = [], 0
     if held:
         yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    """The rows of split_blocks for the documents of one partition."""
-    for seq, (ids, texts) in enumerate(_gathered(batches)):
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts, or SPLIT_BYTES at a time of the one long text that they are, cut at spaces and line ends."""
+    raw = texts[0].as_buffer() if len(texts) == 1 and texts[0].is_valid else b""
+    if len(raw) <= SPLIT_BYTES:
+        yield texts
+        return
+    view, a = memoryview(raw), 0
+    while a < len(view):
+        gap = _GAP.search(view, a + SPLIT_BYTES)
+        b = gap.end() if gap else len(view)
+        yield pa.array([view[a:b].tobytes()], pa.large_binary()).cast(pa.large_string())
+        a = b
+
+
+class _Block:
+    """Documents of a block as numbers of its distinct words, which count in the order they come."""
+
+    def __init__(self):
+        self.number, self.ids, self.sizes, self.at, self.bytes = {}, [], [], [], 0
+
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each text, numbers of all words in order)."""
         sizes, flat = split_words(texts)
+        if not len(flat):
+            return sizes, np.zeros(0, np.int32)
         numbered = flat.dictionary_encode()
-        del flat, texts
-        number, first, signs = {}, [], []
+        del flat
+        number, first, signs = self.number, [], []
         for w in numbered.dictionary.to_pylist():
             base, after = bases(w)
             first.append(number.setdefault(base, len(number)))
             signs.append(number.setdefault(after, len(number)) if after else -1)
         first, signs = np.array(first, np.int32), np.array(signs, np.int32)
         word = numbered.indices.to_numpy(zero_copy_only=False)
-        del numbered
-        closed = signs[word] >= 0 if len(word) else np.zeros(0, bool)
-        at = np.repeat(first[word] if len(word) else first, closed.astype(np.int8) + 1)
-        ends = np.cumsum(closed.astype(np.int8) + 1, dtype=np.int64)
-        at[ends[closed] - 1] = signs[word[closed]] if len(word) else 0
-        total = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
-        del word, closed, ends
-        rank = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+        closed = signs[word] >= 0
+        ends = np.cumsum(closed + np.int64(1))
+        at = np.repeat(first[word], closed + np.int8(1))
+        at[ends[closed] - 1] = signs[word[closed]]
+        return np.diff(np.append(0, ends)[np.append(0, np.cumsum(sizes))]), at
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        parts = [self._numbers(piece) for piece in _pieces(texts)]
+        self.ids.append(ids)
+        self.sizes.append(np.sum([sizes for sizes, _ in parts], axis=0).astype(np.int32))  # one text's pieces, or all texts
+        self.at += [at for _, at in parts]
+        self.bytes += texts.nbytes
+
+    def row(self, block: int) -> pa.RecordBatch:
+        count = np.zeros(len(self.number), np.int64)
+        for at in self.at:
+            count += np.bincount(at, minlength=len(count))
+        rank = np.argsort(-count, kind="stable")
+        words = pa.array(list(self.number), pa.string()).take(pa.array(rank))
+        self.number = {}
         place = np.empty(len(rank), "<u4")
         place[rank] = np.arange(len(rank), dtype="<u4")
-        planes = np.ascontiguousarray(place[at].view(np.uint8).reshape(-1, 4).T)
-        del at
-        words = list(number)
+        planes, a = np.empty((4, int(count.sum())), np.uint8), 0
+        for at in self.at:
+            planes[:, a : a + len(at)] = place[at].view(np.uint8).reshape(-1, 4).T
+            a += len(at)
+        self.at = []
+        packed = pa.Codec("zstd", compression_level=6).compress(pa.py_buffer(planes), asbytes=True)
+        del planes
         row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        packed = pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
-        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), row(ids), row(pa.array(np.diff(total), pa.int32())), pa.array([packed], pa.binary()), row(pa.array([words[k] for k in rank.tolist()], pa.string()))], names=["block", "doc_ids", "sizes", "at", "words"])
+        values = [pa.array([block], pa.int64()), row(pa.concat_arrays(self.ids)), row(pa.array(np.concatenate(self.sizes))), pa.array([packed], pa.binary()), row(words)]
+        return pa.RecordBatch.from_arrays(values, names=["block", "doc_ids", "sizes", "at", "words"])
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """The rows of split_blocks for the documents of one partition. Texts are held SPLIT_BYTES at a time."""
+    seq, block = 0, _Block()
+    for ids, texts in _gathered(batches):
+        if block.ids and block.bytes + texts.nbytes > BLOCK_BYTES:
+            yield block.row(part << 32 | seq)
+            seq, block = seq + 1, _Block()
+        block.add(ids, texts)
+    if block.ids:
+        yield block.row(part << 32 | seq)
 
 
 def split_blocks(docs: DataFrame) -> DataFrame:
     """(block, doc_ids, sizes, at, words): a row for each block of documents, written in buckets by block.
 
     words are the block's distinct words, the frequent ones first; at has the number of each word occurrence in them, in
-    three planes of bytes, sizes how many each document has.
+    four planes of bytes, sizes how many each document has.
     """
 
+    @tidy
     def run(batches):
         yield from _block_rows(batches, TaskContext.get().partitionId())
 
@@ -141,6 +194,7 @@ def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
     One shuffle brings all rows of a word together, in order, so that each distinct word is encoded once.
     """
 
+    @tidy
     def run(batches):
         yield from _encoded(batches, tokenizer_path)
 
@@ -193,6 +247,7 @@ def _per_block(docs: DataFrame, tokenizer_path: str, rows, schema: pa.Schema, sq
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         parts = [pa.Table.from_arrays(rows(*x), schema=schema) for x in _assembled(block, words, tokenizer_path)]
+        give_back()
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     blocks = split_blocks(docs)

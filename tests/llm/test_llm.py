@@ -105,6 +105,7 @@ def test_distinct_words_equal_whole_texts(monkeypatch, limit):
     """White space of all kinds, letters that change size when lowered, signs, special tokens, blocks of any size."""
     for name in ("BLOCK_BYTES", "SLICE_WORDS", "ENCODE_WORDS"):
         monkeypatch.setattr(word_bpe, name, limit)
+    monkeypatch.setattr(word_bpe, "SPLIT_BYTES", min(limit, 1000) // 3)
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = tokenizer(path)
     texts = ["it's, IT'S. <|endoftext|>, <|ENDOFTEXT|> a\tb\r\nc\x1ce\x85f\xa0g\u3000h", None, "", "  \n\n", "\u0130\u0130. \u03a3\u0391\u03a3, e\u0301! \ufb01; a\u180eb", " \u0308x, \u4e2d\u6587.", "A.. b*** C's d' e.<|endoftext|>. x=\u2260 \u0130! \u01c4a. \u00c9t\u00e9*** <|endoftext|>.", "\x00\x01 a"]
