@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridwell.llm.sample import labelled_sample
-from gridwell.plans.runtime import quoted
+from gridwell.plans.runtime import quoted, tidy
 
 #: Rows of each label that the lexicon is fitted on at most; they are the ones with the lowest hash of their text.
 FIT_POSITIVE, FIT_NEGATIVE = 2000, 4000
@@ -37,6 +37,7 @@ def _code(c: str) -> int:
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts of the characters of all texts; _SIZE ** 3 sums reach the driver."""
 
+    @tidy
     def run(batches):
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
@@ -273,6 +274,7 @@ def score(docs: DataFrame, trained: tuple, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     rows = docs.select(*[quoted(c) for c in keep], F.coalesce("text", F.lit("")))
 
+    @tidy
     def run(batches):
         lexicon, base, counts = shared.value
         scorer = Scorer(lexicon, base, CharModel(counts))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridwell.llm.sample import labelled_sample
-from gridwell.plans.runtime import quoted
+from gridwell.plans.runtime import quoted, tidy
 
 #: log2 of the number of weights.
 HASH_BITS = 20
@@ -152,6 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(*[quoted(c) for c in keep], F.coalesce("text", F.lit("")))
 
+    @tidy
     def run(batches):
         w = shared.value
         for batch in batches:

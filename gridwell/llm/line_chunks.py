@@ -17,7 +17,7 @@ import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridwell.plans.runtime import materialize, quoted, small
+from gridwell.plans.runtime import materialize, quoted, small, tidy
 
 #: Words of a passage: from so many on it is found wherever the boundaries are.
 PASSAGE_WORDS = 50
@@ -72,6 +72,7 @@ def _rows(docs: DataFrame, bloom: Broadcast | None = None) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     names, text_of = ["k0", "k1", "k2", "a", "b", "h1", "h2"], xxhash.xxh128_intdigest
 
+    @tidy
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -185,6 +186,7 @@ def dedup_lines(docs: DataFrame, count: str = "lines_removed") -> DataFrame:
     at = names.index("text")
     kept = [k for k, c in enumerate(names) if c != count]
 
+    @tidy
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridwell.llm import flac
-from gridwell.plans.runtime import materialize
+from gridwell.plans.runtime import materialize, tidy
 
 #: Payload bytes that are coded side by side.
 BATCH_BYTES = 3_000_000
@@ -35,6 +35,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     an empty table gives an empty one; no shuffle.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
@@ -54,6 +55,7 @@ def pcm_blocks(media: DataFrame, key: str, column: str = "media", block: int = 1
     """
     kind = dict(media.dtypes)[key]
 
+    @tidy
     def run(batches):
         for batch in batches:
             values = [v or b"" for v in batch.column(1).to_pylist()]
@@ -81,6 +83,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     """
     streams = materialize(text_media(docs), "media-flac", "zstd", 9)  # copies and seek tables shrink, Rice codes hardly
 
+    @tidy
     def run(batches):
         for batch in batches:
             values = batch.column(2).to_pylist()

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwell.operators.components import connected_components
-from gridwell.plans.runtime import materialize, partitions, quoted, small
+from gridwell.plans.runtime import materialize, partitions, quoted, small, tidy
 
 RADIUS = 3
 #: Rows of one probed value that a task compares with each other; larger ones are dealt to cells of block pairs.
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[Column] | None =
     rows = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").alias("__text"))
     names, kinds = rows.columns[:-1], rows.dtypes[:-1]
 
+    @tidy
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -61,6 +62,7 @@ def _bits(fps: np.ndarray) -> np.ndarray:
 def co_occurrence(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for each pair of bits, how many have both; 64 x 64 sums reach the driver."""
 
+    @tidy
     def run(batches):
         n, both = 0, np.zeros((64, 64), np.int64)
         for batch in batches:
@@ -156,6 +158,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, block_
     total = radius - m + 1
     fold = [g[:16] for g in groups]  # candidate counts are kept for 2**16 values of a partition at most
 
+    @tidy
     def counted(batches):
         sums = [np.zeros(1 << len(g), np.int64) for g in fold]
         for batch in batches:
@@ -173,6 +176,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, block_
     most = min(most, radius)
     shared = spark.sparkContext.broadcast(hist)
 
+    @tidy
     def probes(batches):
         wide = [len(g) for g in groups]
         for batch in batches:
@@ -248,6 +252,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, block_
             lag += 1
         return forest(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])) if got else None
 
+    @tidy
     def compare(batches):
         held = None
         for batch in batches:

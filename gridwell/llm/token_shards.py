@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridwell.llm.blobs import read_blob, write_blob
 from gridwell.llm.chunked_bpe import SpacePieces
 from gridwell.llm.wavelet import WaveletFile, pack
-from gridwell.plans.runtime import fresh_path, materialize, partitions
+from gridwell.plans.runtime import fresh_path, materialize, partitions, tidy
 
 #: Ids after which a shard file ends with its batch.
 SHARD_IDS = 4_000_000
@@ -63,6 +63,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
 
+    @tidy
     def run(batches):
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = SpacePieces(tokenizer_path)
@@ -100,6 +101,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     placed = manifest.join(before, "part").select("path", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("base"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
