@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwell.operators.components import connected_components
+from gridwell.operators.joins import heavy_join
 from gridwell.plans.runtime import materialize, partitions, quoted, small, tidy
 
 RADIUS = 3
@@ -293,8 +294,8 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, parts: int |
     fps = materialize(fingerprints(docs, shingle), "simhash-fp")
     low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     joined = materialize(classes(fps, radius, parts, block_rows).join(low, "fp"), "simhash-classes")
-    named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"), "simhash-named")
+    return heavy_join(fps, named, ["fp"], ["doc_id"], block_rows).select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -305,15 +306,20 @@ def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> Da
     """
     names = docs.columns
     key = [F.col("doc_id").isNull().alias("k0"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64(*[quoted(c) for c in names]).alias("k3")]
-    fps = materialize(fingerprints(docs, shingle, key), "simhash-fp")
-    rows = materialize(fps.join(classes(fps, radius), "fp").select("root", F.struct("k0", "k1", "k2", "k3").alias("key")).groupBy("root", "key").agg(F.count("*").alias("n")), "simhash-rows")
-    first = rows.groupBy("root").agg(F.min("key").alias("first"))
-    told = materialize(rows.join(first, "root").select("key.*", "n", (F.col("key") == F.col("first")).alias("stays")), "simhash-told")
+    counts = fingerprints(docs, shingle, key).groupBy("fp", "k0", "k1", "k2", "k3").agg(F.count("*").alias("n"))
+    rows = materialize(counts, "simhash-rows")
+    # only the least row of a fingerprint joins its class, and rows join by their own key: no group of copies is one key
+    low = rows.groupBy("fp").agg(F.min(F.struct("k0", "k1", "k2", "k3")).alias("low"))
+    first = classes(rows, radius).join(low, "fp").groupBy("root").agg(F.min("low").alias("first"))
+    first = materialize(first.select(*[F.col(f"first.k{k}").alias(f"f{k}") for k in range(4)], F.lit(True).alias("stays")), "simhash-first")
+    same = (F.col("f0") == F.col("k0")) & F.col("f1").eqNullSafe(F.col("k1")) & (F.col("f2") == F.col("k2")) & (F.col("f3") == F.col("k3"))
+    told = rows.join(first, same, "left").select("k0", "k1", "k2", "k3", "n", "stays")
+    told = materialize(told.filter("stays is null or n > 1"), "simhash-told")
     at = lambda df: (F.col("o0") == F.col("k0")) & F.col("o1").eqNullSafe(F.col("k1")) & (F.col("o2") == F.col("k2")) & (F.col("o3") == F.col("k3"))
     own = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), *[c.alias(f"o{k}") for k, c in enumerate(key)])
-    gone = told.filter("not stays").drop("n", "stays")
+    gone = told.filter("stays is null").drop("n", "stays")
     left = own.join(small(gone), at(gone), "left_anti")
-    again = told.filter("stays and n > 1").drop("n", "stays")
+    again = told.filter("stays").drop("n", "stays")
     if again.limit(1).count():  # rows that are equal in every column
         again = small(again)
         once = left.join(again, at(again), "left_semi").dropDuplicates(["o0", "o1", "o2", "o3"])
