@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridwell.operators.joins import heavy_join
 from gridwell.plans.runtime import shared_dir
 
+#: Links of one node from which they are dealt to several tasks.
+HUB_ROWS = 1_000_000
+
+
+def _round(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
+    """One star round. edges(u, v): every link once, u > v. Where no hubs can be, nodes are not counted for them."""
+
+    def told(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return heavy_join(rows, low, ["u"], ["v"], HUB_ROWS) if hubs else rows.join(low, "u")
 
-def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round. edges(u, v): every link once, u > v."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = told(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        out = told(edges, low).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -31,9 +39,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     links = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
     alone = links.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    seen = None
+    seen, hubs = None, edges.count() > HUB_ROWS
     for _ in range(max_rounds):
-        edges = _round(_round(edges, large=True), large=False).checkpoint()
+        edges = _round(_round(edges, True, hubs), False, hubs).checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridwell import catalog
 from gridwell.functions.mod64 import affine, signed
-from gridwell.operators import cluster, features, layouts, lsh, similarity, spgemm, work
+from gridwell.operators import cluster, components, features, layouts, lsh, similarity, spgemm, work
 from gridwell.operators.components import connected_components
 from gridwell.operators.matrix import Matrix, invert, prefix_sum
 from gridwell.operators.spmv import LAYOUTS, spmv
@@ -230,7 +230,9 @@ def test_logs(spark, tmp_path):
     assert {x.faster for x in accumulators(spark, 64, 4, (0.1,), 1).collect()} <= {"hash", "dense"}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [3, 1_000_000])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB_ROWS", hub)
     r = random.Random(10)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)]
     root = {}
