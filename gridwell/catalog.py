@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwell.operators import cluster, features, layouts, lsh, similarity, spgemm, work
 from gridwell.operators.components import connected_components
-from gridwell.operators.matrix import Matrix, invert, prefix_sum, rows_sorted_unique
+from gridwell.operators.matrix import Matrix, invert, prefix_sum, prefix_sums, rows_sorted_unique
 from gridwell.operators.spmv import LAYOUTS, spmv
 from gridwell.plans import fixtures
 from gridwell.plans.runtime import fresh_path, materialize
@@ -132,6 +132,32 @@ def _(s, d):
     return layouts.csr5_tiles(fixtures.order_part(s, d), OMEGA, SIGMA5)
 
 
+_TILED = f"t as (select (row_number() over (order by i, j) - 1) pos, i, (row_number() over (partition by i order by j) = 1)::int head from odd)"
+_ODD = "odd as (select l_orderkey * 3 i, l_partkey j from lineitem where l_orderkey % 7 <> 0 group by all)"
+
+
+def _odd_rows(s, d):
+    """The entries of order_part but for one order in seven, with two empty rows after each row."""
+    own = fixtures.order_part(s, d)
+    return Matrix(own.entries.filter("i % 7 <> 0").select((F.col("i") * 3).alias("i"), "j", "v"), own.nrows * 3, own.ncols)
+
+
+@_add("csr5_marked", _with(_ODD, _TILED, f"g as (select pos // {OMEGA * SIGMA5} tile, min(i) tile_ptr, max(i) last_row, count(*) n, count(distinct i) < max(i) - min(i) + 1 has_empty from t group by 1)") + "select *, coalesce(has_empty or lead(tile_ptr) over (order by tile) > last_row + 1, false) dirty from g")
+def _(s, d):
+    return layouts.csr5_marked(layouts.csr5_tiles(_odd_rows(s, d), OMEGA, SIGMA5))
+
+
+@_add("csr5_lanes", _with(_ODD, _TILED, f"g as (select pos // {OMEGA * SIGMA5} tile, pos % {OMEGA * SIGMA5} // {SIGMA5} lane, string_agg(head::varchar, '' order by pos) flags, sum(head) heads from t group by all)") + "select tile, lane, flags, (sum(heads) over (partition by tile order by lane) - heads)::bigint y_offset from g")
+def _(s, d):
+    return layouts.csr5_lanes(_odd_rows(s, d), OMEGA, SIGMA5)
+
+
+@_add("dia_numbers", _with(PP, "f as (select j - i as \"offset\", min(i) first_i from pp group by 1)") + "select \"offset\", row_number() over (order by first_i, \"offset\") - 1 number from f")
+def _(s, d):
+    m = fixtures.part_part(s, d)
+    return layouts.dia_numbers(layouts.dia(m, 1 << 30), m.nrows, m.ncols)
+
+
 _LANES = "select cluster, j, csz, sum(v * (lane + 1)) placed, sum(v) total, count(*) n from l group by all"
 _VOFF = f"z as (select range c, range * (range + 1) // 2 as start, (range + 1) * (range + 2) // 2 as stop from range(0, 10000)), f as (select c cluster, start, least(stop, {N_SUPP}) stop from z where start < {N_SUPP})"
 
@@ -301,10 +327,18 @@ def _(s, d):
     return work.ranges(fixtures.order_part(s, d).row_counts().withColumnRenamed("n", "work"), "i", PARTS, floor=True)
 
 
-@_add("sell_partition", _with(OP, _COUNTS, f"w as (select i // {CHUNK} as i, (ceil(max(n) / {ALIGN}) * {ALIGN * CHUNK})::bigint as work from c group by 1)", _ranges_sql(f"sum(work)::bigint // {PARTS}")))
+_LOADS = f"w as (select i // {CHUNK} as i, sum(n)::bigint as work from c group by 1)"
+
+
+@_add("sell_partition", _with(OP, _COUNTS, _LOADS, _ranges_sql(f"sum(work)::bigint // {PARTS}")))
+def _(s, d):
+    counts = layouts.sell_order(fixtures.order_part(s, d), 0, CHUNK)
+    return work.ranges(counts.groupBy(F.floor(F.col("new_row") / CHUNK).alias("i")).agg(F.sum("n").alias("work")), "i", PARTS, floor=True)
+
+
+@_add("ell_greedy_partition", "with recursive " + ", ".join([OP, _COUNTS, "s as (select i, (sum(n) over (order by i) - n)::bigint before, (sum(n) over (order by i))::bigint upto from c)", f"t as (select greatest(max(upto) // {PARTS}, 1) share, max(i) + 1 stop from s)", f"g as (select 0::bigint part, 0::bigint as start, 0::bigint base union all select g.part + 1, s.i + 1, s.upto from g, t, s where s.before < g.base + t.share and s.upto >= g.base + t.share and g.part + 1 < {PARTS})"]) + f" select p.range part, coalesce(g.start, t.stop) as start from range(0, {PARTS}) p cross join t left join g on g.part = p.range")
 def _(s, d):
-    widths = layouts.sell_widths(layouts.sell_order(fixtures.order_part(s, d), 0, CHUNK), CHUNK, ALIGN)
-    return work.ranges(widths.select(F.col("chunk").alias("i"), (F.col("width") * CHUNK).alias("work")), "i", PARTS, floor=True)
+    return work.greedy_ranges(fixtures.order_part(s, d).row_counts().withColumnRenamed("n", "work"), "i", PARTS)
 
 
 _CW = "k as (select distinct cluster, csz, j from m join pp using (i)), n as (select i j, count(*) n from pp group by i) select c.cluster, coalesce(sum(n.n * k.csz), 0)::bigint as work from (select distinct cluster from m) c left join k using (cluster) left join n using (j) group by 1"
@@ -334,13 +368,34 @@ def _(s, d):
     return prefix_sum(fixtures.order_part(s, d).row_counts(), "i", "n")
 
 
-@_add("bytes_per_spmv", _with(SP, f"c as (select count(*) nnz, {N_SUPP} rows, (select {N_SUPP} * max(n) from (select count(*) n from sp group by i)) ell, (select count(*) * {BLOCK_R * BLOCK_C} from (select distinct i // {BLOCK_R}, j // {BLOCK_C} from sp)) bsr from sp)") + "select 'coo' layout, (32 * nnz + 16 * rows)::bigint as bytes from c union all select 'csr', (24 * nnz + 8 * (rows + 1) + 16 * rows)::bigint from c union all select 'ell', (16 * ell + 8 * nnz + 16 * rows)::bigint from c union all select 'bsr', (8 * bsr + 8 * nnz + 16 * rows)::bigint from c")
+@_add("prefix_sums_weighted", _with(OP, _COUNTS) + "select i, n, (sum(n) over (order by i) - n)::bigint as before, (sum(n * (i % 5 + 1)) over (order by i) - n * (i % 5 + 1))::bigint as weighted, (sum(n * 3) over (order by i) - n * 3)::bigint as tripled from c")
 def _(s, d):
-    m = fixtures.supplier_part(s, d)
-    nnz, widest = m.row_counts().agg(F.sum("n"), F.max("n")).first()
-    blocks = m.entries.select(F.floor(F.col("i") / BLOCK_R), F.floor(F.col("j") / BLOCK_C)).distinct().count()
-    stored = {"coo": None, "csr": None, "ell": m.nrows * widest, "bsr": blocks * BLOCK_R * BLOCK_C}
-    return s.createDataFrame([(k, work.bytes_per_spmv(m.nrows, nnz, k, v)) for k, v in stored.items()], "layout string, bytes long")
+    n = F.col("n")
+    return prefix_sums(fixtures.order_part(s, d).row_counts(), "i", {"before": n, "weighted": n * (F.col("i") % 5 + 1), "tripled": n * 3})
+
+
+def _slots(order: str) -> str:
+    return f"(select sum(w) * {CHUNK} from (select ceil(max(n) / {ALIGN}) * {ALIGN} w from ({order}) group by new_row // {CHUNK}))"
+
+
+_ROWS_SP = f"c as (select r.range i, coalesce(n, 0) n from range(0, {N_SUPP}) r left join (select i, count(*) n from sp group by i) k on k.i = r.range)"
+_SIZES = f"z as (select (select count(*) from sp) nnz, (select count(*) from c) nr, (select count(*) from c where n > 0) used, (select max(n) from c) widest, (select count(*) from (select distinct i // {BLOCK_R}, j // {BLOCK_C} from sp)) nb, {_slots('select n, i new_row from c')} s0, {_slots(f'select n, (i // {SIGMA}) * {SIGMA} + row_number() over (partition by i // {SIGMA} order by n desc, i desc) - 1 new_row from c')} s1, {_slots('select n, row_number() over (order by n desc, i desc) - 1 new_row from c')} s2)"
+_BYTES = {
+    "coo": "32 * nnz + 16 * used",
+    "csr": "24 * nnz + 32 * nr",
+    "csr5": f"24 * nnz + 32 * nr + 8 * (ceil(nnz / {OMEGA * SIGMA5}) + 1)",
+    "bsr": f"16 * ceil(nr / {BLOCK_R}) + 8 * nb + 16 * nb * {BLOCK_R * BLOCK_C} + 16 * nr",
+    "dia": "16 * nnz + 16 * nr",
+    "ell": "16 * nr * widest + 8 * nnz + 16 * nr",
+    "sell": f"8 * ceil(nr / {CHUNK}) + 16 * s0 + 8 * nnz + 16 * nr",
+    "sell_c_sigma": f"8 * ceil(nr / {CHUNK}) + 16 * s1 + 8 * nnz + 24 * nr",
+    "sell_c_r": f"8 * ceil(nr / {CHUNK}) + 16 * s2 + 8 * nnz + 24 * nr",
+}
+
+
+@_add("bytes_per_spmv", _with(SP, _ROWS_SP, _SIZES) + " union all ".join(f"select '{k}' layout, ({v})::bigint as bytes from z" for k, v in _BYTES.items()))
+def _(s, d):
+    return work.bytes_per_spmv(fixtures.supplier_part(s, d), BLOCK_R, BLOCK_C, OMEGA, SIGMA5, CHUNK, SIGMA, ALIGN)
 
 
 @_add("best_bsr_dim", f"select d.range::bigint as size from range(1, 65) d order by abs(ceil({N_PART} / d.range) - 256), d.range limit 1")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridwell.operators.matrix import Matrix, prefix_sum, rank_by_count
+from gridwell.operators.matrix import Matrix, prefix_sum, prefix_sums, rank_by_count
 from gridwell.plans.runtime import small
 
 
@@ -67,6 +67,12 @@ def dia(m: Matrix, max_diags: int = 10240) -> DataFrame:
     return own.groupBy("offset").agg(F.count("*").alias("n"), F.min("i").alias("first_i"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "v")))).alias("vals"))
 
 
+def dia_numbers(diagonals: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """(offset, number): diagonals in the order in which a scan by rows first meets them, for nrows * (nrows + ncols) < 2^63."""
+    key = F.col("first_i") * (nrows + ncols) + F.col("offset") + nrows
+    return prefix_sums(diagonals.select("offset", key.alias("key")), "key", {"number": F.lit(1)}).select("offset", "number")
+
+
 def bsr(m: Matrix, br: int, bc: int) -> DataFrame:
     """(bi, bj, n, block): dense row-major blocks of br x bc values."""
     own = m.compact().entries.select(F.floor(F.col("i") / br).alias("bi"), F.floor(F.col("j") / bc).alias("bj"), ((F.col("i") % br) * bc + F.col("j") % bc).cast("int").alias("at"), "v")
@@ -98,6 +104,23 @@ def csr5_tiles(m: Matrix, omega: int, sigma: int) -> DataFrame:
     return tiles.select("tile", "tile_ptr", "last_row", "n", (F.col("rows") < F.col("last_row") - F.col("tile_ptr") + 1).alias("has_empty"))
 
 
+def csr5_marked(tiles: DataFrame) -> DataFrame:
+    """csr5_tiles with dirty: whether rows are empty from the tile's first row up to the next tile's. The last tile, which
+    has no next, is never dirty."""
+    after = tiles.select((F.col("tile") - 1).alias("tile"), F.col("tile_ptr").alias("next_ptr"))
+    gap = F.col("has_empty") | (F.col("next_ptr") > F.col("last_row") + 1)
+    return tiles.join(after, "tile", "left").select(*tiles.columns, F.coalesce(gap, F.lit(False)).alias("dirty"))
+
+
+def csr5_lanes(m: Matrix, omega: int, sigma: int) -> DataFrame:
+    """(tile, lane, flags, y_offset): a string with 1 where a row's first entry stands, position by position, and how many
+    such entries the tile's earlier lanes hold."""
+    own = csr5(m, omega, sigma).withColumn("head", F.row_number().over(Window.partitionBy("i").orderBy("j")) == 1)
+    held = own.groupBy("tile", "lane").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("head"), "1").otherwise("0").alias("f")))).alias("p"), F.count_if("head").alias("heads"))
+    before = F.sum("heads").over(Window.partitionBy("tile").orderBy("lane")) - F.col("heads")
+    return held.select("tile", "lane", F.array_join(F.col("p.f"), "").alias("flags"), before.alias("y_offset"))
+
+
 def fixed_clusters(m: Matrix, size: int) -> DataFrame:
     """(i, cluster, lane, csz) of every row, `size` consecutive rows a cluster."""
     return m.rows().select("i", F.floor(F.col("i") / size).alias("cluster"), (F.col("i") % size).cast("int").alias("lane"), F.lit(size).alias("csz"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwell.plans.runtime import small
 
@@ -76,15 +76,22 @@ def rows_sorted_unique(m: Matrix, order: str) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, out: str = "before") -> DataFrame:
-    """Exclusive running sum of `value` in the order of the long `key` (unique), by a two-level scan.
+    """Exclusive running sum of `value` in the order of the long `key` (unique), by a two-level scan."""
+    return prefix_sums(df, key, {out: F.col(value)})
+
+
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums of several values (weighted, multiplied) in one two-level scan; sums maps new columns to values.
 
     Only bucket totals, a row for SCAN_BUCKET keys, pass one task; rows are scanned inside their buckets.
     """
-    held = df.withColumn("__b", F.floor(F.col(key) / SCAN_BUCKET))
-    totals = held.groupBy("__b").agg(F.sum(value).alias("__t"))
-    base = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__base"))
-    inner = F.sum(value).over(Window.partitionBy("__b").orderBy(key)) - F.col(value)
-    return held.withColumn("__in", inner).join(base, "__b").withColumn(out, F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
+    values = {f"__v{k}": v for k, v in enumerate(sums.values())}
+    held = df.withColumns({"__b": F.floor(F.col(key) / SCAN_BUCKET), **values})
+    totals = held.groupBy("__b").agg(*[F.sum(v).alias(v) for v in values])
+    above, inside = Window.orderBy("__b"), Window.partitionBy("__b").orderBy(key)
+    base = totals.select("__b", *[(F.sum(v).over(above) - F.col(v)).alias(f"{v}_base") for v in values])
+    scanned = held.withColumns({f"{v}_in": F.sum(v).over(inside) - F.col(v) for v in values}).join(base, "__b")
+    return scanned.select(*df.columns, *[(F.col(f"{v}_base") + F.col(f"{v}_in")).alias(out) for out, v in zip(sums, values)])
 
 
 def rank_by_count(counts: DataFrame, slice_rows: int | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridwell.operators import layouts
 from gridwell.operators.joins import heavy_join
 from gridwell.operators.matrix import Matrix, prefix_sum
+from gridwell.plans.runtime import materialize
 
 # Fixed values of the cost model.
 FIRST_BIN = 8
@@ -78,14 +80,60 @@ def classify(a: Matrix, b: Matrix, members: DataFrame, cache_bytes: int = CACHE_
     return cluster_stats(a, b, members).withColumn("dense", dense.cast("int"))
 
 
-def bytes_per_spmv(nrows: int, nnz: int, layout: str, stored: int | None = None, index: int = 8, value: int = 8) -> int:
-    """Bytes that a product with a vector moves: stored values and indices, the vector and the result.
+def greedy_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """(part, start): each range takes keys until its own work reaches the total over parts; ranges without keys start at the end.
 
-    stored: cells that the layout holds with its padding (blocks, diagonals, slots); nnz where it pads nothing.
+    Every cut depends on the one before. The running sums are written in key order, so each of the parts - 1 lookups reads
+    the row group that holds its cut.
     """
-    cells = nnz if stored is None else stored
-    extra = {"coo": 2 * index * nnz, "csr": index * (nnz + nrows + 1), "csr5": index * (nnz + nrows + 1), "dia": 0, "bsr": 0}.get(layout, index * cells)
-    return extra + value * cells + value * nnz + 2 * value * nrows
+    scan = prefix_sum(df.select(key, "work"), key, "work").select(F.col(key).alias("key"), "before", (F.col("before") + F.col("work")).alias("upto"))
+    held = materialize(scan.repartitionByRange("key").sortWithinPartitions("key"), "greedy-ranges")
+    total, end = held.agg(F.coalesce(F.max("upto"), F.lit(0)), F.coalesce(F.max("key") + 1, F.lit(0))).first()
+    share, base, starts = max(total // parts, 1), 0, [0]
+    while len(starts) < parts:
+        target = base + share
+        cut = held.filter((F.col("before") < target) & (F.col("upto") >= target)).first()
+        if cut is None:
+            break
+        starts.append(cut.key + 1)
+        base = cut.upto
+    starts += [end] * (parts - len(starts))
+    return df.sparkSession.createDataFrame(list(enumerate(starts)), "part long, start long")
+
+
+def bytes_per_spmv(m: Matrix, br: int, bc: int, omega: int, sigma5: int, chunk: int, sigma: int, align: int, index: int = 8, value: int = 8) -> DataFrame:
+    """(layout, bytes) of the nine layouts: what a product with a vector moves of indices, stored values, vector and result.
+
+    Rows are counted twice for row pointers and for the result, padded cells of slots once as an index and once as a value;
+    sliced layouts store both at the width of an index. A coordinate list touches the rows that have entries alone.
+    """
+    own = m.compact()
+    counts = own.row_counts()
+    rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nnz"), F.coalesce(F.max("n"), F.lit(0)).alias("widest"), F.count_if(F.col("n") > 0).alias("used"))
+    blocks = own.entries.select(F.floor(F.col("i") / br), F.floor(F.col("j") / bc)).distinct().agg(F.count("*").alias("blocks"))
+    stats = [rows, blocks]
+    for name, order in (("sell", 0), ("sell_c_sigma", sigma), ("sell_c_r", None)):
+        stats.append(layouts.sell_widths(layouts.sell_order(m, order, chunk), chunk, align).agg((F.coalesce(F.sum("width"), F.lit(0)) * chunk).alias(name)))
+    held = stats[0]
+    for one in stats[1:]:
+        held = held.crossJoin(one)  # one row each
+    nnz, n = F.col("nnz"), m.nrows
+    vectors, chunks, tiles = value * nnz + 2 * value * n, -(-n // chunk), F.ceil(nnz / (omega * sigma5))
+    csr = index * nnz + 2 * index * n + value * nnz + vectors
+    sliced = {k: index * chunks + 2 * index * F.col(k) + vectors for k in ("sell", "sell_c_sigma", "sell_c_r")}
+    told = {
+        "coo": 2 * index * nnz + 2 * value * nnz + 2 * value * F.col("used"),
+        "csr": csr,
+        "csr5": csr + index * (tiles + 1),
+        "bsr": 2 * index * -(-n // br) + index * F.col("blocks") + 2 * value * F.col("blocks") * br * bc + 2 * value * n,
+        "dia": value * nnz + vectors,
+        "ell": (index + value) * n * F.col("widest") + vectors,
+        "sell": sliced["sell"],
+        "sell_c_sigma": sliced["sell_c_sigma"] + index * n,
+        "sell_c_r": sliced["sell_c_r"] + index * n,
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("layout"), v.cast("long").alias("bytes")) for k, v in told.items()])
+    return held.select(F.inline(pairs))
 
 
 def best_block(n: int, target: int, sizes=range(1, 65)) -> int:

@@ -382,3 +382,26 @@ def test_streaming_signatures(spark, tmp_path):
     q.stop()
     want = {r.i: r.sig for r in lsh.signatures(m, 8, 7).collect() if r.sig[0] != -1 or r.sig[1] != -1}
     assert {r.i: r.sig for r in spark.table("sigs").collect()} == want
+
+
+def greedy_model(loads, parts):
+    share, now, starts = max(sum(loads) // parts, 1), 0, [0]
+    for i, n in enumerate(loads):
+        now += n
+        if now >= share and len(starts) < parts:
+            starts.append(i + 1)
+            now = 0
+    return starts + [len(loads)] * (parts - len(starts))
+
+
+@pytest.mark.parametrize("loads,parts", [([], 3), ([0, 0], 2), ([1, 0, 0, 9, 1, 1, 2], 3), ([1, 1], 5), ([3, 1, 4, 1, 5, 9, 2, 6], 4)])
+def test_greedy_ranges(spark, loads, parts):
+    df = spark.createDataFrame(list(enumerate(loads)), "i long, work long")
+    assert sorted(map(tuple, work.greedy_ranges(df, "i", parts).collect())) == list(enumerate(greedy_model(loads, parts)))
+
+
+def test_marked_tiles(spark):
+    """Rows 0 and 4 fill a tile of two entries each; the gap between them makes the first dirty, not the last."""
+    m = make(spark, [(0, 0, 1), (0, 1, 1), (4, 0, 1), (4, 2, 1)], 6, 3)
+    got = {r.tile: (r.has_empty, r.dirty) for r in layouts.csr5_marked(layouts.csr5_tiles(m, 2, 1)).collect()}
+    assert got == {0: (False, True), 1: (False, False)}
