@@ -4,115 +4,276 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import tempfile
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridwell.operators import lsh
 from gridwell.operators.components import connected_components
 from gridwell.operators.matrix import Matrix, prefix_sum
-from gridwell.plans.runtime import materialize
+from gridwell.plans.runtime import Kinds, by_kind, materialize, partitions, tidy
 
 CAP = 8
 
 
-def agglomerate(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap: int = CAP) -> dict[int, int]:
-    """Root of every row in `pairs`.
+class _Forest:
+    """Roots by union-find."""
 
-    Pairs leave a heap by score, then by the larger ids. Two open roots merge, the smaller into the larger (ties into
-    the first); a root that reaches `cap` closes. A pair of rows that are roots no longer hands its roots on with their
-    exact similarity, once.
-    """
-    parent, size, closed = {}, {}, set()
-    for i, j, _ in pairs:
-        for x in (i, j):
-            parent.setdefault(x, x)
-            size.setdefault(x, 1)
-
-    def root(x: int) -> int:
-        top = x
+    def __init__(self, n: int):
+        self.parent, self.sizes = list(range(n)), [1] * n
+
+    def root(self, x: int) -> int:
+        parent, top = self.parent, x
         while parent[top] != top:
             top = parent[top]
         while parent[x] != top:
             parent[x], x = top, parent[x]
         return top
 
-    def similarity(a: int, b: int) -> float:
-        x, y = rows.get(a, set()), rows.get(b, set())
-        both = len(x & y)
-        return both / (len(x) + len(y) - both) if x or y else 0.0
+    def size(self, x: int) -> int:
+        return self.sizes[x]
+
+    def merge(self, keep: int, gone: int) -> int:
+        self.parent[gone] = keep
+        self.sizes[keep] += self.sizes[gone]
+        return self.sizes[keep]
+
+
+class _Members:
+    """Roots by lists: each root keeps its members, who are told their new root when it changes."""
+
+    def __init__(self, n: int):
+        self.roots, self.held = list(range(n)), {}
+
+    def root(self, x: int) -> int:
+        return self.roots[x]
+
+    def size(self, x: int) -> int:
+        return len(self.held.get(x, (x,)))
+
+    def merge(self, keep: int, gone: int) -> int:
+        own, more = self.held.setdefault(keep, [keep]), self.held.pop(gone, [gone])
+        for x in more:
+            self.roots[x] = keep
+        own += more
+        return len(own)
+
+
+class _Heap:
+    """Waiting pairs in a heap."""
+
+    def __init__(self):
+        self.pairs = []
+
+    def first(self):
+        return self.pairs[0] if self.pairs else None
+
+    def pop(self):
+        return heapq.heappop(self.pairs)
+
+    def push(self, pair) -> None:
+        heapq.heappush(self.pairs, pair)
+
+
+class _Runs:
+    """Waiting pairs in sorted runs of bounded length, the first pair last."""
+
+    MOST = 2000
+
+    def __init__(self):
+        self.runs, self.ends = [], []  # ends: the last pair of each run, negated like its run
+
+    def first(self):
+        return tuple(-x for x in self.runs[-1][-1]) if self.runs else None
+
+    def pop(self):
+        out = self.runs[-1].pop()
+        if self.runs[-1]:
+            self.ends[-1] = self.runs[-1][-1]
+        else:
+            del self.runs[-1], self.ends[-1]
+        return tuple(-x for x in out)
+
+    def push(self, pair) -> None:
+        pair = tuple(-x for x in pair)
+        if not self.runs:
+            self.runs, self.ends = [[pair]], [pair]
+            return
+        k = min(bisect.bisect_left(self.ends, pair), len(self.runs) - 1)
+        run = self.runs[k]
+        bisect.insort(run, pair)
+        if len(run) > self.MOST:
+            half = len(run) // 2
+            self.runs[k : k + 1] = [run[:half], run[half:]]
+            self.ends[k : k + 1] = [run[half - 1], run[-1]]
+        else:
+            self.ends[k] = run[-1]
+
+
+#: How a component's task keeps its books: who is whose root, and which pairs wait. The roots found are the same.
+BOOKS = {"heap": (_Forest, _Heap), "members": (_Members, _Runs)}
+
+
+def _merge_all(stream, n: int, given, similarity, cap: int, strategy: str) -> list[int]:
+    """Root of each of n rows. stream: (-score, -(i * n + j)) of every pair, ascending.
 
-    heap = [(-s, -i, -j) for i, j, s in pairs]
-    known = {(i, j) for i, j, _ in pairs}
-    heapq.heapify(heap)
-    while heap:
-        _, i, j = heapq.heappop(heap)
-        i, j = -i, -j
+    Pairs are taken by score, then by the larger ids. Two open roots merge, the smaller into the larger (ties into the
+    first); a root that reaches `cap` closes. A pair of rows that are roots no longer hands its roots on with their exact
+    similarity, once, unless that pair is given(i * n + j) too. Only handed-on pairs wait here: the given ones come in
+    order, and what is known of a root goes when it closes or ends.
+    """
+    forest, queue = BOOKS[strategy]
+    forest, queue = forest(n), queue()
+    root, known, closed = forest.root, {}, bytearray(n)
+    ahead = next(stream, None)
+    while True:
+        first = queue.first()
+        if first is not None and (ahead is None or first < ahead):
+            pair = queue.pop()
+        elif ahead is not None:
+            pair, ahead = ahead, next(stream, None)
+        else:
+            break
+        i, j = divmod(-pair[1], n)
         a, b = root(i), root(j)
-        if a == b or a in closed or b in closed:
+        if a == b or closed[a] or closed[b]:
             continue
-        if (a, b) == (i, j):
-            keep, gone = (j, i) if size[j] > size[i] else (i, j)
-            parent[gone] = keep
-            size[keep] += size[gone]
-            if size[keep] >= cap:
-                closed.add(keep)
+        if a == i and b == j:
+            keep, gone = (j, i) if forest.size(j) > forest.size(i) else (i, j)
+            known.pop(gone, None)
+            if forest.merge(keep, gone) >= cap:
+                closed[keep] = 1
+                known.pop(keep, None)
             continue
         a, b = min(a, b), max(a, b)
-        if (a, b) not in known:
-            known.add((a, b))
-            heapq.heappush(heap, (-similarity(a, b), -a, -b))
-    return {x: root(x) for x in parent}
+        told = known.setdefault(a, set())
+        if b not in told:
+            told.add(b)
+            if not given(a * n + b):
+                queue.push((-similarity(a, b), -(a * n + b)))
+    return [root(x) for x in range(n)]
+
+
+def _agglomerate(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap: int, strategy: str) -> dict[int, int]:
+    ids = sorted({x for i, j, _ in pairs for x in (i, j)})
+    at, n = {x: k for k, x in enumerate(ids)}, len(ids)
+    waiting = sorted((-s, -(at[i] * n + at[j])) for i, j, s in pairs)
+    given = {-key for _, key in waiting}
+
+    def similarity(a: int, b: int) -> float:
+        x, y = rows.get(ids[a], set()), rows.get(ids[b], set())
+        both = len(x & y)
+        return both / (len(x) + len(y) - both) if x or y else 0.0
+
+    return {ids[x]: ids[r] for x, r in enumerate(_merge_all(iter(waiting), n, given.__contains__, similarity, cap, strategy))}
+
+
+def agglomerate(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap: int = CAP) -> dict[int, int]:
+    """Root of every row in `pairs`, by union-find and a heap of pairs."""
+    return _agglomerate(pairs, rows, cap, "heap")
 
 
 def agglomerate_by_members(pairs: list[tuple[int, int, float]], rows: dict[int, set], cap: int = CAP) -> dict[int, int]:
-    """What `agglomerate` finds, by lists: each root keeps its members, who are told their new root when it changes, and
-    pairs wait in a sorted list rather than a heap."""
-    root = {x: x for i, j, _ in pairs for x in (i, j)}
-    members = {x: [x] for x in root}
-    waiting = sorted({(i, j): (s, i, j) for i, j, s in pairs}.values())  # the best pair is last
-    seen, open_ = {(i, j) for _, i, j in waiting}, set(root)
-    while waiting:
-        _, i, j = waiting.pop()
-        a, b = root[i], root[j]
-        if a == b or not {a, b} <= open_:
-            continue
-        if a == i and b == j:
-            keep, gone = (j, i) if len(members[j]) > len(members[i]) else (i, j)
-            for x in members[gone]:
-                root[x] = keep
-            members[keep] += members.pop(gone)
-            if len(members[keep]) >= cap:
-                open_.discard(keep)
-        elif (pair := (min(a, b), max(a, b))) not in seen:
-            seen.add(pair)
-            x, y = (rows.get(p, set()) for p in pair)
-            bisect.insort(waiting, (len(x & y) / len(x | y) if x or y else 0.0, *pair))
-    return root
+    """What `agglomerate` finds, by lists of members and sorted runs of pairs."""
+    return _agglomerate(pairs, rows, cap, "members")
 
 
 STRATEGIES = {"heap": agglomerate, "members": agglomerate_by_members}
 
 
-def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "heap") -> DataFrame:
+class _File:
+    """Numbers of one type in a file of this task's own, read through the page cache; the file has no name any more."""
+
+    def __init__(self):
+        self.file, self.kind, self.n = tempfile.TemporaryFile(), np.dtype(np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.kind = values.dtype if not self.n else self.kind
+        self.file.write(np.ascontiguousarray(values, self.kind).tobytes())
+        self.n += len(values)
+
+    def read(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
+
+
+def _component(held: Kinds, cap: int, strategy: str) -> pa.RecordBatch:
+    """(i, root) of one component, whose kinds are its rows, its pairs for look-up and its pairs in order.
+
+    The columns of the rows and the pairs for look-up are in files: this worker's memory holds an offset and a few numbers
+    a row, and the pairs that are handed on.
+    """
+    ids, sizes, cols = [], [], _File()
+    for batch in held.of(0):
+        own = batch.column("cols")
+        ids.append(batch.column("i").to_numpy())
+        sizes.append(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        cols.add(own.flatten().to_numpy())
+    ids, n = np.concatenate(ids), sum(map(len, ids))
+    start, cols = np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.int64)), cols.read()
+    keys = _File()
+    key = lambda i, j: np.searchsorted(ids, i) * n + np.searchsorted(ids, j)
+    for batch in held.of(1):
+        keys.add(key(batch.column("i").to_numpy(), batch.column("j").to_numpy()))
+    keys = keys.read()
+    look = memoryview(keys) if len(keys) else []
+
+    def given(x: int) -> bool:
+        at = bisect.bisect_left(look, x)
+        return at < len(look) and look[at] == x
+
+    def similarity(a: int, b: int) -> float:
+        x, y = cols[start[a] : start[a + 1]], cols[start[b] : start[b + 1]]
+        if len(x) < len(y):
+            x, y = y, x
+        both = int(np.count_nonzero(x.take(x.searchsorted(y), mode="clip") == y)) if len(y) else 0
+        return both / (len(x) + len(y) - both) if len(x) else 0.0
+
+    def stream():
+        for batch in held.of(2):
+            yield from zip(batch.column("s").to_numpy().tolist(), (-key(-batch.column("i").to_numpy(), -batch.column("j").to_numpy())).tolist())
+
+    roots = _merge_all(stream(), n, given, similarity, cap, strategy)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.array(roots)])], names=["i", "root"])
+
+
+def row_sets(m: Matrix) -> DataFrame:
+    """(i, cols) of rows with entries: their columns, ascending and once each, as ints where they fit."""
+    column = "int" if m.ncols <= 1 << 31 else "bigint"
+    return m.entries.select("i", F.col("j").cast(column).alias("j")).groupBy("i").agg(F.sort_array(F.collect_set("j")).alias("cols"))
+
+
+def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "heap", sets: DataFrame | None = None) -> DataFrame:
     """(i, root) of every row; rows in no pair are their own root. pairs(i, j, score), i < j.
 
     Merges never leave a connected component of the pairs, so components are found first and clustered in parallel; a
-    component is one task's work, which is what the sequential rule allows. strategy says how that task keeps its books:
-    "heap" (union-find and a heap of pairs) or "members" (lists of members and of pairs); both give the same roots.
+    component is one task's work, which is what the sequential rule allows. A task gets a component's rows, its pairs for
+    look-up and its pairs in order, as batches of one sorted partition, and holds none of them as a whole. strategy says
+    how that task keeps its books (BOOKS): "heap" or "members"; both give the same roots. sets: row_sets(m), where the caller has them.
     """
     pairs = materialize(pairs.groupBy("i", "j").agg(F.max("score").alias("score")), "hc-pairs")
-    found = materialize(connected_components(pairs, "i", "j"), "hc-components")
-    own = pairs.join(found.select(F.col("node").alias("i"), "component"), "i")
-    cells = m.entries.select("i", "j").distinct().groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("cols"))
-    rows = found.select(F.col("node").alias("i"), F.col("component").alias("part")).join(cells, "i").select("part", "i", "cols")
-    merge = STRATEGIES[strategy]
+    found = materialize(connected_components(pairs, "i", "j"), "hc-components").select(F.col("node").alias("i"), F.col("component").alias("part"))
+    sets = row_sets(m) if sets is None else sets
+    cells = found.join(sets, "i", "left")
+    own = pairs.join(found, "i")
+    none = {"s": F.lit(None).cast("double"), "cols": F.lit(None).cast(sets.schema["cols"].dataType)}
+    shape = ["part", "kind", "s", "i", "j", "cols"]
+    kinds = [
+        cells.withColumns({"kind": F.lit(0), "s": none["s"], "j": F.lit(None).cast("long")}),
+        own.withColumns({"kind": F.lit(1), **none}),
+        own.withColumns({"kind": F.lit(2), "s": F.lit(0.0) - F.col("score"), "i": -F.col("i"), "j": -F.col("j"), "cols": none["cols"]}),
+    ]
+    every = kinds[0].select(shape).unionByName(kinds[1].select(shape)).unionByName(kinds[2].select(shape))
+    dealt = every.repartition(partitions(m.entries.sparkSession), "part").sortWithinPartitions(*shape[:5])
 
-    def run(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        roots = merge(list(zip(p["i"].tolist(), p["j"].tolist(), p["score"].tolist())), {i: set(c) for i, c in zip(r["i"].tolist(), r["cols"])}, cap)
-        return pd.DataFrame({"i": list(roots), "root": list(roots.values())}, dtype="int64")
+    @tidy
+    def run(batches):
+        for _, held in by_kind(batches):
+            yield _component(held, cap, strategy)
 
-    merged = own.groupBy("component").cogroup(rows.groupBy("part")).applyInPandas(run, "i long, root long")
+    merged = dealt.mapInArrow(run, "i long, root long")
     return m.rows().join(materialize(merged, "hc-roots"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
 
 
@@ -131,4 +292,6 @@ def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
 
 def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True, strategy: str = "heap") -> DataFrame:
     """(i, root): signatures, candidate pairs (capped buckets or all pairs) and greedy clustering."""
-    return hierarchical(m, lsh.candidates(m, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy)
+    sets = materialize(row_sets(m), "hc-rows", "zstd")  # what the entries are made from is read once
+    own = m.with_entries(sets.select("i", F.explode("cols").alias("j")).select("i", F.col("j").cast("long").alias("j"), F.lit(1.0).alias("v")))
+    return hierarchical(own, lsh.candidates(own, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy, sets)

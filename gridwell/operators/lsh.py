@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwell.functions.mod64 import affine, signed, unsigned_min
 from gridwell.operators.joins import heavy_join
 from gridwell.operators.matrix import SCAN_BUCKET, Matrix
-from gridwell.plans.runtime import materialize, small
+from gridwell.plans.runtime import by_kind, materialize, partitions, small, tidy
 
 # The congruential generator that gives the coefficients, and the bounds of a bucket's pairs.
 LCG_MUL, LCG_ADD = 6364136223846793005, 1442695040888963407
 BUCKET_LIMIT, WINDOW_ROWS = 256, 16
 #: Rows of a large bucket that one task pairs.
 RUN_ROWS = 1 << 16
+#: Rows of a block of signatures that a task holds two of to score pairs.
+SCORE_ROWS = 1 << 16
 
 
 def coefficients(k: int, seed: int = 12345) -> list[tuple[int, int]]:
@@ -91,9 +95,73 @@ def bucket_pairs(banded: DataFrame, limit: int | None = BUCKET_LIMIT, window: in
     return (pairs if out is None else pairs.unionByName(out)).distinct()
 
 
+def _packed(sigs: DataFrame, k: int, seed: int, ncols: int) -> DataFrame:
+    """(i, sig binary): places of equal value have equal bytes. Each place's numbers are a permutation, so the column that
+    gave the minimum stands for it, in 4 bytes where columns fit; the all ones of an empty row become -1 unless a column
+    has them too."""
+    if ncols > 1 << 31:
+        turn = lambda v: v
+        kind = np.int64
+    else:
+        mul, add = (np.array([f(a, b) for a, b in coefficients(k, seed)], np.uint64) for f in (lambda a, b: pow(a, -1, 1 << 64), lambda a, b: b))
+        kind = np.int32
+
+        def turn(v):
+            col = (v.view(np.uint64) - add) * mul
+            return np.where(col < np.uint64(1 << 31), col, np.uint64((1 << 64) - 1)).view(np.int64)
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            values = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, k)
+            out = np.ascontiguousarray(turn(values), kind)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([x.tobytes() for x in out], pa.binary())], names=["i", "sig"])
+
+    return sigs.mapInArrow(run, "i long, sig binary")
+
+
+def _scored(m: Matrix, sigs: DataFrame, pairs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(i, j, score) of pairs, i < j. Pairs are dealt by the blocks of their rows, and a block's signatures go to the tasks of
+    its pairs of blocks once, not with each pair."""
+    kind, n = (np.int64 if m.ncols > 1 << 31 else np.int32), -(-m.nrows // SCORE_ROWS)
+    block = lambda c: F.floor(F.col(c) / SCORE_ROWS)
+    packed = _packed(sigs, k, seed, m.ncols).withColumn("own", block("i"))
+    none = {"j": F.lit(None).cast("long"), "kind": F.lit(0)}
+    left = packed.withColumns({**none, "to": F.explode(F.sequence(F.col("own"), F.lit(n - 1).cast("long")))}).withColumn("part", F.col("own") * n + F.col("to"))
+    right = packed.filter("own > 0").withColumns({**none, "kind": F.lit(1), "to": F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))}).withColumn("part", F.col("to") * n + F.col("own"))
+    told = pairs.withColumns({"part": block("i") * n + block("j"), "kind": F.lit(2), "sig": F.lit(None).cast("binary")})
+    shape = ["part", "kind", "i", "j", "sig"]
+    every = left.select(shape).unionByName(right.select(shape)).unionByName(told.select(shape))
+
+    @tidy
+    def run(batches):
+        for _, held in by_kind(batches):
+            sides = []
+            for side in (0, 1):
+                one = np.zeros((0, k), kind)
+                for batch in held.of(side):
+                    if not len(one):
+                        one = np.zeros((SCORE_ROWS, k), kind)
+                    one[batch.column("i").to_numpy() % SCORE_ROWS] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), kind).reshape(-1, k)
+                sides.append(one)
+            a, b = sides[0], sides[1] if len(sides[1]) else sides[0]
+            for batch in held.of(2):
+                i, j = batch.column("i"), batch.column("j").cast(pa.int64())
+                same = np.count_nonzero(a[i.to_numpy() % SCORE_ROWS] == b[j.to_numpy() % SCORE_ROWS], axis=1)
+                yield pa.RecordBatch.from_arrays([i, j, pa.array(same / k)], names=["i", "j", "score"])
+
+    dealt = every.repartition(partitions(sigs.sparkSession), "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(run, "i long, j long, score double")
+
+
 def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS) -> DataFrame:
-    """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once."""
+    """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once.
+
+    Where the blocks of signatures would be more than the signatures of each pair, these go with the pairs instead.
+    """
     sigs = materialize(signatures(m, k, seed), "lsh-signatures")
-    pairs = bucket_pairs(bands(sigs, k, n), limit, window)
+    pairs = materialize(bucket_pairs(bands(sigs, k, n), limit, window), "lsh-pairs")
+    if -(-m.nrows // SCORE_ROWS) * m.nrows <= max(2 * pairs.count(), 2 * m.nrows):
+        return _scored(m, sigs, pairs, k, seed)
     left, right = sigs.select("i", F.col("sig").alias("a")), sigs.select(F.col("i").alias("j"), F.col("sig").alias("b"))
     return pairs.join(left, "i").join(right, "j").select("i", "j", estimated_jaccard(F.col("a"), F.col("b")).alias("score"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -44,6 +46,33 @@ def tidy(rows):
     return run
 
 
+class Kinds:
+    """The rows of one part as batches, kind by kind as they come."""
+
+    def __init__(self, group):
+        self.group, self.ahead = group, next(group, None)
+
+    def of(self, kind: int):
+        while self.ahead is not None and self.ahead[1] == kind:
+            yield self.ahead[2]
+            self.ahead = next(self.group, None)
+
+
+def by_kind(batches):
+    """(part, Kinds) of batches that are sorted by their columns part and kind. A part is to be used up before the next."""
+
+    def slices():
+        for batch in batches:
+            part, kind = (batch.column(c).to_numpy() for c in ("part", "kind"))
+            cuts = (np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1).tolist()
+            for a, z in zip([0, *cuts], [*cuts, len(part)]):
+                if z > a:
+                    yield int(part[a]), int(kind[a]), batch.slice(a, z - a)
+
+    for part, group in itertools.groupby(slices(), lambda x: x[0]):
+        yield part, Kinds(group)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
     bound_batches(spark)
