@@ -27,13 +27,19 @@ def csr_to_entries(rows: DataFrame) -> DataFrame:
 
 
 def ell(m: Matrix) -> DataFrame:
-    """(i, slot, j, v): every row padded to the widest with column -1 and value 0."""
-    own = m.compact().entries.withColumn("slot", F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1)
-    width = own.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+    """(i, slot, j, v): every row padded to the widest with column -1 and value 0.
+
+    A row is padded as an array and unfolded last: a frame of all slots would be taken for as small as its rows, and be
+    broadcast.
+    """
+    held = m.compact().entries.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("own"))
+    width = m.compact().entries.groupBy("i").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     if width == 0:
-        return own.select("i", "slot", "j", "v")
-    frame = m.rows().select("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot"))
-    return frame.join(own, ["i", "slot"], "left").select("i", "slot", F.coalesce("j", F.lit(-1)).alias("j"), F.coalesce("v", F.lit(0.0)).alias("v"))
+        return m.entries.limit(0).select("i", F.lit(0).alias("slot"), "j", "v")
+    pad = F.struct(F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("v"))
+    own = F.coalesce("own", F.array().cast(held.schema["own"].dataType))
+    every = m.rows().join(held, "i", "left").select("i", F.concat(own, F.array_repeat(pad, F.lit(width).cast("int") - F.size(own))).alias("own"))
+    return every.select("i", F.posexplode("own").alias("slot", "e")).select("i", "slot", F.col("e.j").alias("j"), F.col("e.v").alias("v"))
 
 
 def sell_widths(counts: DataFrame, chunk: int, align: int) -> DataFrame:
