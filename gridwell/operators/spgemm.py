@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.operators import layouts, work
 from gridwell.operators.joins import HEAVY_ROWS, heavy_join
-from gridwell.operators.matrix import Matrix
-from gridwell.plans.runtime import materialize, partitions, small
+from gridwell.operators.matrix import Matrix, prefix_sum
+from gridwell.plans.runtime import by_kind, materialize, partitions, small, tidy
 
 #: Columns up to which a dense row accumulator is used, rows of a block and cells of it at most.
 SPA_COLUMNS, SPA_ROWS, SPA_CELLS = 1 << 20, 128, 1 << 22
 #: Columns of a piece of a row of B, and products that are formed at once.
 PIECE_COLUMNS, FLUSH_PRODUCTS = 1 << 16, 1 << 21
+#: Products of a block of rows of the sorted strategy, cells and products that it holds at once, cells it hands on at once.
+BLOCK_PRODUCTS, BLOCK_CELLS, FORMED, OUT_CELLS = 8_000_000, 1 << 20, 1 << 19, 1 << 18
 
 
 def _right(b: Matrix) -> DataFrame:
@@ -37,11 +39,13 @@ def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = Fals
     """C = A B. hash, sorted and spa keep cancelled cells as zeros unless drop_zeros; cluster and mixed drop them always,
     as zeros are what pads a cluster's lanes.
 
-    hash: join and hash aggregation. sorted: the same, rows in order. spa: dense numpy accumulators of blocks of rows.
+    hash: join and hash aggregation. sorted: blocks of rows in order, each product summed where it is formed. spa: dense numpy accumulators of blocks of rows.
     cluster: A in cluster layout, lanes are summed together. mixed: clusters are told apart by `work.classify`, dense
     ones get a dense accumulator over their column range, the others the cluster strategy. members(i, cluster, lane, csz).
     """
-    if strategy in ("hash", "sorted", "auto"):
+    if strategy == "sorted":
+        out = _sorted(a, b)
+    elif strategy in ("hash", "auto"):
         out = products(a, b).groupBy("i", "j").agg(F.sum("p").alias("v"))
     elif strategy == "spa":
         out = _spa(a, b)
@@ -52,8 +56,74 @@ def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = Fals
     else:
         raise ValueError(strategy)
     out = out.filter("v <> 0") if drop_zeros else out
-    c = Matrix(out, a.nrows, b.ncols)
-    return c.with_entries(c.sorted()) if strategy == "sorted" else c
+    return Matrix(out, a.nrows, b.ncols)
+
+
+def _gather(batches) -> tuple[np.ndarray, ...]:
+    """ids, entries of each, and all columns and values of batches(id, cols, vals)."""
+    held = [(b.column("id").to_numpy(), b.column("cols").value_lengths().to_numpy().astype(np.int64), b.column("cols").flatten().to_numpy(), b.column("vals").flatten().to_numpy()) for b in batches]
+    return tuple(np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+
+
+def _multiply(batches):
+    """(i, j, v), in order, of blocks of rows: batches(part, kind, id, cols, vals) with rows of A, then the rows of B they meet,
+    both by id. A block's cells are its rows by the columns that occur in it, BLOCK_CELLS of them at a time."""
+    for _, held in by_kind(batches):
+        ids, n, k, av = _gather(held.of(0))
+        own, size, bj, bv = _gather(held.of(1))
+        if not len(own):
+            continue
+        cols, at = np.unique(bj, return_inverse=True)
+        begin, width = np.cumsum(size) - size, len(cols)
+        place = np.minimum(np.searchsorted(own, k), len(own) - 1)
+        count, first = np.where(own[place] == k, size[place], 0), begin[place]
+        done, row, edge = np.append(0, np.cumsum(count)), np.repeat(np.arange(len(ids)), n), np.append(0, np.cumsum(n))
+        most = max(1, BLOCK_CELLS // width)
+        for r in range(0, len(ids), most):
+            a, end = edge[r], edge[min(r + most, len(ids))]
+            cells = min(most, len(ids) - r) * width
+            acc, hit = np.zeros(cells), np.zeros(cells, bool)
+            while a < end:
+                z = max(a + 1, min(end, np.searchsorted(done, done[a] + FORMED, side="right") - 1))
+                c = count[a:z]
+                from_b = np.arange(c.sum()) + np.repeat(first[a:z] - (np.cumsum(c) - c), c)
+                cell = np.repeat((row[a:z] - r) * width, c) + at[from_b]
+                value = np.repeat(av[a:z], c) * bv[from_b]
+                if len(cell) * 8 > cells:
+                    acc += np.bincount(cell, value, cells)
+                else:
+                    np.add.at(acc, cell, value)
+                hit[cell] = True
+                a = z
+            found = np.flatnonzero(hit)
+            for some in (found[x : x + OUT_CELLS] for x in range(0, len(found), OUT_CELLS)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some // width + r]), pa.array(cols[some % width]), pa.array(acc[some])], names=["i", "j", "v"])
+
+
+def _sorted(a: Matrix, b: Matrix) -> DataFrame:
+    """Rows of A are cut into blocks of about BLOCK_PRODUCTS products; a block gets each row of B that it meets once, so rows
+    are shuffled and no products. Rows of more products than that go by hash aggregation. Blocks are dealt in order."""
+    _check(a, b)
+    spark = a.entries.sparkSession
+    left = materialize(a.entries.select("i", F.col("j").alias("k"), F.col("v").cast("double").alias("v")), "spgemm-left", "zstd")
+    pair = F.collect_list(F.struct("bj", "bv")).alias("row")
+    right = _right(b).groupBy("k", "bj").agg(F.sum(F.col("bv").cast("double")).alias("bv")).groupBy("k").agg(pair)
+    right = materialize(right.select("k", F.size("row").cast("long").alias("n"), F.col("row.bj").alias("cols"), F.col("row.bv").alias("vals")), "spgemm-right", "zstd")
+    load = left.join(right.select("k", "n"), "k").groupBy("i").agg(F.sum("n").alias("work"))
+    cut = materialize(prefix_sum(load, "i", "work").select("i", "work", F.floor(F.col("before") / BLOCK_PRODUCTS).alias("part")), "spgemm-blocks")
+    blocks, most = cut.agg(F.coalesce(F.max("part") + 1, F.lit(1)), F.coalesce(F.max("work"), F.lit(0))).first()
+    own = left.join(cut.filter(F.col("work") <= BLOCK_PRODUCTS).select("i", "part"), "i")
+    pair = F.collect_list(F.struct("k", "v")).alias("row")
+    rows = own.groupBy("part", "i").agg(pair).select("part", F.lit(0).alias("kind"), F.col("i").alias("id"), F.col("row.k").alias("cols"), F.col("row.v").alias("vals"))
+    met = own.select("part", "k").distinct().join(right, "k").select("part", F.lit(1).alias("kind"), F.col("k").alias("id"), "cols", "vals")
+    parts = min(max(partitions(spark), 1), blocks)
+    dealt = rows.unionByName(met).repartitionById(parts, F.floor(F.col("part") * parts / blocks).cast("int")).sortWithinPartitions("part", "kind", "id")
+    out = dealt.mapInArrow(tidy(_multiply), "i long, j long, v double")
+    if most <= BLOCK_PRODUCTS:
+        return out
+    large = Matrix(left.join(cut.filter(F.col("work") > BLOCK_PRODUCTS).select("i"), "i").select("i", F.col("k").alias("j"), "v"), a.nrows, a.ncols)
+    rest = products(large, b).groupBy("i", "j").agg(F.sum("p").alias("v"))
+    return Matrix(out.unionByName(rest), a.nrows, b.ncols).sorted()
 
 
 class _Accumulator:
