@@ -13,22 +13,27 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 from gridwell.plans.runtime import materialize, small, tidy
 
 #: Pages that a class needs in a host, and tokens that it needs.
 MIN_PAGES, MIN_TOKENS = 3, 2
-#: Different pages of a host that its word tokens are deduced from at most; they are the ones with the lowest hash.
-WORD_PAGES = 32
+#: Buckets of a host's word tokens in the first count of its pages, and entries of it that a task holds at once.
+BUCKETS, SKETCH_ENTRIES = 1 << 16, 4_000_000
+#: Pages that are looked at together, and hashes of copied pages that may be broadcast.
+SLICE_PAGES, COPIED_ROWS = 250, 1_000_000
 #: Successive pairs of template words that make a template run inside a block that has other words too.
 RUN_PAIRS = 4
 
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SPACE = re.compile(r"\s+")
 
 # HTML's own groups of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +47,11 @@ _PLACE_WORDS = frozenset("post entry article site page box area list section blo
 
 
 def _labels(attrs: str) -> tuple[str, set[str], bool, bool]:
+    """As `_read_labels`, which pages of a site ask the same things of; long attributes are not kept."""
+    return _short_labels(attrs) if len(attrs) < 200 else _read_labels(attrs)
+
+
+def _read_labels(attrs: str) -> tuple[str, set[str], bool, bool]:
     """What names the element in its path, the words of its class, id, role and itemprop, whether it is hidden, and
     whether one of its names says chrome and nothing else (comments, post-comments, but not related-work)."""
     name, words, hidden, plain = "", set(), False, False
@@ -60,6 +70,9 @@ def _labels(attrs: str) -> tuple[str, set[str], bool, bool]:
     return name, words, hidden, plain
 
 
+_short_labels = lru_cache(1 << 14)(_read_labels)
+
+
 TAG, NAME, PART = range(3)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags of a page that are looked for with their quotes; after as many that do not close, a tag ends at its first >.
@@ -138,6 +151,7 @@ def _tags(page: str):
     yield page[begin : rest if rest >= 0 else size], None, False, "", size
 
 
+@lru_cache(1 << 14)
 def _path(parent: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}>{text}") >> 1
 
@@ -157,7 +171,7 @@ def parse(page: str) -> Page:
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 blocks.append((stack[-1][2] if stack else 0, text, linked))
         parts, linked = [], 0
@@ -193,7 +207,7 @@ def parse(page: str) -> Page:
         if tag in BLOCK or tag in RAW:
             if tag in BLOCK:
                 flush()
-            while stack and (stack[-1][0] in CLOSES.get(tag, ()) or (tag in BLOCK and any(s[0] == "p" for s in stack[-4:]))):
+            while stack and (stack[-1][0] in CLOSES.get(tag, ()) or (tag in BLOCK and open_tags["p"] and any(s[0] == "p" for s in stack[-4:]))):
                 if stack[-1][0] in BLOCK and stack[-1][0] not in ("p", *CLOSES.get(tag, ())):
                     break
                 pop()
@@ -239,17 +253,54 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 _VECTOR, _HALF = (1 << 48) - 1, (1 << 24) - 1
 
 
-def _host_tokens(rows: DataFrame) -> DataFrame:
+class _Sketch:
+    """How many of each host's pages have a word token in each bucket, summed until it is handed on."""
+
+    def __init__(self):
+        self.hosts, self.keys, self.size = {}, [], 0
+
+    def add(self, hosts: list[str], pages: list[Page]) -> None:
+        tokens, ends = page_tokens(pages)
+        page = np.repeat(np.arange(len(pages)), np.diff(ends))
+        own = np.unique(page * BUCKETS + (tokens & (BUCKETS - 1)))  # a page counts once in a bucket
+        names = np.array([self.hosts.setdefault(h, len(self.hosts)) for h in hosts], np.int64)
+        self.keys.append(names[own // BUCKETS] * BUCKETS + own % BUCKETS)
+        self.size += len(own)
+
+    def flush(self):
+        """(hosts, sketches) of a few hosts at a time."""
+        keys, n = np.unique(np.concatenate(self.keys), return_counts=True) if self.keys else (np.zeros(0, np.int64),) * 2
+        names, comp = list(self.hosts), zstandard.ZstdCompressor(level=1)
+        cuts = np.searchsorted(keys, np.arange(len(names) + 1) * BUCKETS)
+        for lo in range(0, len(names), 256):
+            out = []
+            for k in range(lo, min(lo + 256, len(names))):
+                dense = np.zeros(BUCKETS, "<u4")
+                dense[keys[cuts[k] : cuts[k + 1]] % BUCKETS] = n[cuts[k] : cuts[k + 1]]
+                out.append(comp.compress(dense.tobytes()))
+            yield names[lo : lo + 256], out
+        self.__init__()
+
+
+def _host_tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per host and token: pages, occurrences, occurrence-vector signature, text below the token outside chrome (`mass`)
-    and with it (`whole`), depth, whether it is html or body, and whether it is an article."""
+    and with it (`whole`), depth, whether it is html or body, and whether it is an article; and (host, sketch) of its word
+    tokens, from each task."""
+    kinds = {"host": pa.string(), "token": pa.int64(), "pages": pa.int64(), "n": pa.int64(), "vector": pa.int64(), "mass": pa.int64(), "whole": pa.int64(), "depth": pa.int32(), "body": pa.bool_(), "called": pa.bool_(), "sketch": pa.binary()}
+
+    def sketched(hosts, sketches):
+        own = {"host": hosts, "sketch": sketches}
+        return pa.RecordBatch.from_arrays([pa.array(own[k], t) if k in own else pa.nulls(len(hosts), t) for k, t in kinds.items()], names=list(kinds))
 
     @tidy
     def run(batches):
+        sketch = _Sketch()
         for batch in batches:
-            sums: dict = {}
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums, pages, hosts = {}, [], batch.column(0).to_pylist()
+            for host, text in zip(hosts, batch.column(1).to_pylist()):
                 page = parse(text)
                 page.weigh()
+                pages.append(page)
                 raw = text.encode("utf-8", "replace")
                 own = f"{xxhash.xxh64_intdigest(raw)}.{len(raw)}"
                 held, depth = {}, [0] * len(page.nodes)
@@ -266,60 +317,160 @@ def _host_tokens(rows: DataFrame) -> DataFrame:
                     row[2] = (row[2] + xxhash.xxh64_intdigest(f"{own}.{n}")) & _VECTOR
                     if about := held.get(token):
                         row[3:] = row[3] + about[0], row[4] + about[1], *about[2:]
+                if len(pages) == SLICE_PAGES:
+                    sketch.add(hosts[: len(pages)], pages)
+                    hosts, pages = hosts[len(pages) :], []
+            if pages:
+                sketch.add(hosts, pages)
+            if sketch.size >= SKETCH_ENTRIES:
+                yield from (sketched(*x) for x in sketch.flush())
             if sums:
                 keys, values = zip(*sums.items())
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[c] for v in values], t) for c, t in enumerate(kinds))], names=["host", "token", "pages", "n", "vector", "mass", "whole", "depth", "body", "called"])
+                of = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[c] for v in values], t) for c, t in enumerate(list(kinds.values())[2:-1]))]
+                yield pa.RecordBatch.from_arrays([*of, pa.nulls(len(keys), pa.binary())], names=list(kinds))
+        yield from (sketched(*x) for x in sketch.flush())
 
-    seen = rows.mapInArrow(run, "host string, token long, pages long, n long, vector long, mass long, whole long, depth int, body boolean, called boolean")
+    seen = rows.mapInArrow(run, "host string, token long, pages long, n long, vector long, mass long, whole long, depth int, body boolean, called boolean, sketch binary")
+    seen = materialize(seen, "html-seen", "zstd")
     halves = [F.sum(F.shiftright("vector", 24)).alias("high"), F.sum(F.col("vector").bitwiseAND(F.lit(_HALF))).alias("low")]  # sums of halves stay in the range of a long
-    held = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), *halves, F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.max("depth").alias("depth"), F.bool_or("body").alias("body"), F.bool_or("called").alias("called"))
+    held = seen.filter("sketch is null").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), *halves, F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.max("depth").alias("depth"), F.bool_or("body").alias("body"), F.bool_or("called").alias("called"))
     vector = F.pmod(F.pmod("high", F.lit(1 << 24)) * F.lit(1 << 24) + F.col("low"), F.lit(1 << 48))
-    return held.withColumn("vector", vector).drop("high", "low")
+    return held.withColumn("vector", vector).drop("high", "low"), seen.filter("sketch is not null").select("host", "sketch")
 
 
-def pairs(path: int, text: str) -> tuple[list[str], list[int]]:
-    """The words of a block and the tokens of its pairs of successive words; its edges count as words."""
-    words = text.split()
-    ends = ["", *words, ""]
-    return words, [xxhash.xxh64_intdigest(f"{path} {a} {b}") - (1 << 63) for a, b in zip(ends, ends[1:])]
+_POWER = 0x9E3779B97F4A7C15
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([k])) for k in range(256)], np.uint64)
+_powers: list = []
 
 
-def word_template(pages: list[str]) -> tuple[list[int], list[int]]:
-    """(word tokens, chrome names) of the template of different pages of a host.
+def _hash_words(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes' numbers, modulo 2^64."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    if not _powers or len(_powers[0]) <= len(raw):
+        size = max(1 << 20, len(raw) + 1)
+        _powers[:] = [np.append(np.uint64(1), np.cumprod(np.full(size, k, np.uint64))) for k in (_POWER, pow(_POWER, -1, 1 << 64))]
+    upto = np.append(np.uint64(0), np.cumsum(_BYTES[raw] * _powers[0][: len(raw)]))
+    x = (upto[ends[1:]] - upto[ends[:-1]]) * _powers[1][ends[:-1]] + np.diff(ends).astype(np.uint64)
+    x ^= x >> np.uint64(32)
+    return x * _LAST
+
+
+_EDGE, _A, _B, _PATH, _LAST = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
-    A word token is in it if its class has MIN_TOKENS tokens, tags included, and half of the pages, MIN_PAGES at least.
-    The names are paths of elements with text on as many pages that are called chrome, and have no heading in them.
-    """
-    vectors, called, need = {}, Counter(), max(MIN_PAGES, (len(pages) + 1) // 2)
-    for k, text in enumerate(pages):
-        page = parse(text)
-        page.weigh()
-        words = Counter(t for at, own, _ in page.blocks for t in pairs(page.nodes[at].path, own)[1])
-        for t, n in (*(((0, t), n) for t, n in page.tokens.items()), *(((1, t), n) for t, n in words.items())):
-            vectors.setdefault(t, []).append((k, n))
-        called.update({x.path for x in page.nodes if x.mark == NAME and x.text and not x.heading})
-    classes: dict = {}
-    for t, v in vectors.items():
-        if len(v) >= need:
-            classes.setdefault(tuple(v), []).append(t)
-    return sorted(t for c in classes.values() if len(c) >= MIN_TOKENS for is_word, t in c if is_word), sorted(p for p, n in called.items() if n >= need)
-
-
-def _host_words(rows: DataFrame) -> DataFrame:
-    """(host, words, names) from at most WORD_PAGES different pages of each host; copies of a page count once."""
-    hashed = rows.select("host", "html", F.xxhash64("html").alias("h"))
-    top = hashed.groupBy("host", "h").agg(F.pmod("h", F.lit(61)).alias("part"))
-    for by in (["host", "part"], ["host"]):  # in parts first, so that a host with very many pages is no task's work
-        top = top.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("at") <= WORD_PAGES)
-    upto = materialize(top.groupBy("host").agg(F.max("h").alias("upto"), F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES).select("host", "upto"), "html-hosts")
-    some = hashed.join(small(upto), "host").filter("h <= upto").groupBy("host", "h").agg(F.min("html").alias("html")).select("host", "html")
+
+def pair_tokens(paths: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each block's pairs of successive words, its edges counting as words, block after block, and where each
+    block's begin and end. A block's words are parted by one space, as `parse` leaves them."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = split.flatten().dictionary_encode()
+    own = _hash_words(coded.dictionary)
+    n = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    words = np.full(int(n.sum()) + len(n) + 1, _EDGE)
+    words[np.arange(n.sum()) + np.repeat(np.arange(len(n)) + 1, n)] = own[coded.indices.to_numpy()]
+    a, b = words[:-1], words[1:]
+    x = a * _A ^ (b << np.uint64(23) | b >> np.uint64(41)) * _B
+    x += np.repeat(np.array(paths, np.uint64) * _PATH, n + 1)
+    x ^= x >> np.uint64(31)
+    x *= _LAST
+    x ^= x >> np.uint64(29)
+    return x.view(np.int64), np.append(0, np.cumsum(n + 1))
+
+
+def page_tokens(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """The word tokens of each page, and where each page's begin and end."""
+    tokens, ends = pair_tokens([p.nodes[b[0]].path for p in pages for b in p.blocks], [b[1] for p in pages for b in p.blocks])
+    return tokens, ends[np.append(0, np.cumsum([len(p.blocks) for p in pages])).astype(np.int64)]
+
+
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values if len(held) else np.zeros(len(values), bool)
+
+
+#: A prime: a page of c copies counts as the inverse of c in each, so that they add up to one page.
+_PRIME = (1 << 48) - 59
+_WORD, _NAME_OF = 1, 2
+
+
+def _wanted(hashed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(host, need, buckets) of hosts with MIN_PAGES different pages: the pages that a word token needs, and the buckets that
+    as many have. All tokens in other buckets are in fewer pages."""
+    pages = hashed.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    need = pages.select("host", F.greatest(F.lit(MIN_PAGES), F.floor((F.col("pages") + 1) / 2)).cast("long").alias("need"))
 
     def run(group: pa.Table) -> pa.Table:
-        words, names = word_template(sorted(group.column("html").to_pylist()))
-        return pa.table({"host": group.column("host").slice(0, 1), "words": pa.array([words], pa.list_(pa.int64())), "names": pa.array([names], pa.list_(pa.int64()))})
+        undo, total = zstandard.ZstdDecompressor(), np.zeros(BUCKETS, np.int64)
+        for raw in group.column("sketch"):
+            total += np.frombuffer(undo.decompress(raw.as_py()), "<u4")
+        often = np.flatnonzero(total >= group.column("need")[0].as_py()).astype("<u2").tobytes()
+        return pa.table({"host": group.column("host").slice(0, 1), "need": group.column("need").slice(0, 1), "buckets": pa.array([often], pa.binary())})
+
+    return sketches.join(need, "host").groupBy("host").applyInArrow(run, "host string, need long, buckets binary")
 
-    return some.groupBy("host").applyInArrow(run, "host string, words array<long>, names array<long>")
+
+def _host_words(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(host, words, names) from all different pages of each host; copies of a page count once.
+
+    A word token is in the template if its class has MIN_TOKENS tokens, tags included, and half of the host's pages,
+    MIN_PAGES at least. The names are paths of elements with text on as many pages that are called chrome, and have no
+    heading in them. `sketches` bound each token's pages from above, so that only tokens that may be in so many are counted.
+    """
+    keyed = rows.withColumn("h", F.xxhash64("html"))
+    hashed = materialize(keyed.groupBy("host", "h").agg(F.count("*").alias("copies")), "html-hashes")
+    wanted = materialize(_wanted(hashed, sketches), "html-wanted")
+    copied = small(hashed.filter("copies > 1"), COPIED_ROWS)
+    own = keyed.join(small(wanted.select("host", "buckets")), "host").join(copied, ["host", "h"], "left")
+    own = own.select("host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "buckets")
+
+    @tidy
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_PAGES):
+                batch = whole.slice(lo, SLICE_PAGES)
+                htmls = batch.column(1).to_pylist()
+                pages = [parse(t) for t in htmls]
+                tokens, ends = page_tokens(pages)
+                at, kind, token, weight, vector = [], [], [], [], []
+                for k, (page, text, copies, buckets) in enumerate(zip(pages, htmls, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                    page.weigh()
+                    raw, share = text.encode("utf-8", "replace"), pow(copies, -1, _PRIME)
+                    name = f"{xxhash.xxh64_intdigest(raw)}.{len(raw)}"
+                    words = tokens[ends[k] : ends[k + 1]]
+                    words = words[_among((words & (BUCKETS - 1)).astype(np.uint16), np.frombuffer(buckets, "<u2"))]
+                    words, times = np.unique(words, return_counts=True)
+                    called = {x.path for x in page.nodes if x.mark == NAME and x.text and not x.heading}
+                    n = np.concatenate([np.fromiter(page.tokens.values(), np.int64, len(page.tokens)), times, np.zeros(len(called), np.int64)])
+                    counts, place = np.unique(n, return_inverse=True)
+                    value = np.array([xxhash.xxh64_intdigest(f"{name}.{c}") * share % _PRIME for c in counts.tolist()], np.int64)
+                    token += [np.fromiter(page.tokens, np.int64, len(page.tokens)), words, np.fromiter(called, np.int64, len(called))]
+                    kind.append(np.repeat([0, _WORD, _NAME_OF], [len(page.tokens), len(words), len(called)]))
+                    vector.append(value[place])
+                    weight.append(np.full(len(n), share))
+                    at.append(np.full(len(n), k))
+                columns = {"at": at, "kind": kind, "token": token, "weight": weight, "vector": vector}
+                hosts = batch.column(0).dictionary_encode()
+                table = pa.table({k: np.concatenate(v).astype(np.int64) for k, v in columns.items()})
+                table = table.append_column("host", hosts.indices.take(table.column("at").combine_chunks()))
+                table = table.group_by(["host", "kind", "token"]).aggregate([("weight", "sum"), ("vector", "sum")]).combine_chunks()
+                named = hosts.dictionary.take(table.column("host").combine_chunks())
+                yield from pa.table({"host": named, **{c: table.column(c) for c in ("kind", "token", "weight_sum", "vector_sum")}}).to_batches()
+
+    seen = own.mapInArrow(run, "host string, kind long, token long, weight_sum long, vector_sum long")
+    cut = [f(c).alias(f"{c}_{n}") for c in ("weight_sum", "vector_sum") for n, f in (("high", lambda c: F.sum(F.shiftright(c, 24))), ("low", lambda c: F.sum(F.col(c).bitwiseAND(F.lit(_HALF)))))]
+    shift, prime = F.lit(1 << 12), F.lit(_PRIME)
+    whole = lambda c: F.pmod(F.pmod(F.pmod(F.pmod(f"{c}_high", prime) * shift, prime) * shift, prime) + F.pmod(f"{c}_low", prime), prime)
+    held = seen.groupBy("host", "kind", "token").agg(*cut).select("host", "kind", "token", whole("weight_sum").alias("pages"), whole("vector_sum").alias("vector"))
+    held = materialize(held.join(small(wanted.select("host", "need")), "host").filter("pages >= need").drop("need"), "html-words")
+    same = ["host", "vector", "pages"]
+    tokens = held.filter(F.col("kind") < _NAME_OF)
+    valid = tokens.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TOKENS).drop("n")
+    words = tokens.filter(F.col("kind") == _WORD).join(valid, same, "left_semi").groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("words"))
+    names = held.filter(F.col("kind") == _NAME_OF).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("names"))
+    return words.join(names, "host", "full")
 
 
 def deduce(rows: DataFrame) -> DataFrame:
@@ -332,7 +483,8 @@ def deduce(rows: DataFrame) -> DataFrame:
     chrome counts on hosts where most text does. Classes and hosts are compared by aggregates alone, so that a host with
     very many tokens is no single task's work.
     """
-    tokens = materialize(_host_tokens(rows), "html-tokens")
+    tokens, sketches = _host_tokens(rows)
+    tokens = materialize(tokens, "html-tokens")
     same = ["host", "vector", "pages", "n"]
     large = tokens.groupBy(*same).agg(F.count("*").alias("members")).filter((F.col("pages") >= MIN_PAGES) & (F.col("members") >= MIN_TOKENS)).drop("members")
     once = tokens.filter((F.col("n") == F.col("pages")) & (F.col("token") % 2 == 0) & ~F.col("body")).join(large, same, "left_semi")
@@ -341,16 +493,12 @@ def deduce(rows: DataFrame) -> DataFrame:
     held, top = F.when(plain, F.col("mass")).otherwise(F.col("whole")), F.when(plain, F.col("best_mass")).otherwise(F.col("best_whole"))
     pick = once.join(best, "host").filter((held > 0) & (held * 10 >= top * 9))
     main = pick.groupBy("host").agg(F.max_by("token", F.struct(F.col("called").cast("int"), "depth", "token")).alias("main"))
-    return main.join(_host_words(rows), "host", "full")
+    return main.join(_host_words(rows, sketches), "host", "full")
 
 
-def _without(path: int, text: str, template: frozenset[int]) -> tuple[str, int, int]:
-    """A block's text without the template's runs of words, how many words it had, and how many went."""
-    words, tokens = pairs(path, text)
-    hits = [t in template for t in tokens]
-    if all(hits):
-        return "", len(words), len(words)
-    gone, k = set(), 0
+def _without(text: str, hits: list[bool]) -> tuple[str, int]:
+    """A block's text without the template's runs of words, and how many went. hits: which of its pairs are the template's."""
+    words, gone, k = text.split(" "), set(), 0
     while k < len(hits):
         end = k
         while end < len(hits) and hits[end]:
@@ -358,7 +506,7 @@ def _without(path: int, text: str, template: frozenset[int]) -> tuple[str, int,
         if end - k >= RUN_PAIRS:
             gone.update(range(max(k - 1, 0), min(end, len(words))))
         k = end + 1
-    return (" ".join(w for i, w in enumerate(words) if i not in gone) if gone else text), len(words), len(gone)
+    return (" ".join(w for i, w in enumerate(words) if i not in gone) if gone else text), len(gone)
 
 
 def _slot(page: Page, main: int, names: frozenset[int]) -> list[tuple[int, str, int]]:
@@ -377,21 +525,49 @@ def _slot(page: Page, main: int, names: frozenset[int]) -> list[tuple[int, str,
     return [b for b in page.blocks if inside[b[0]] and not out[b[0]] and not named[b[0]]]
 
 
-def main_text(html: str, main: int | None, words: frozenset[int] = frozenset(), names: frozenset[int] = frozenset()) -> str:
-    """The blocks in the host's main slot, or else of the article, or else of all that is not chrome, without template words.
-
-    Where template words are most of the words they are taken for copies of one text, and stay.
-    """
+def _own_blocks(html: str, main: int | None, names: frozenset[int]) -> list[tuple[int, str]]:
+    """(path, text) of the blocks in the host's main slot, or else of the article, or else of all that is not chrome."""
     page = parse(html)
     own = _slot(page, main, names) if main is not None else []
     if not own:
         keep = [b for b in page.blocks if not (page.nodes[b[0]].tagged or page.nodes[b[0]].named)]
         own = [b for b in keep if page.nodes[b[0]].article] or [b for b in keep if b[2] * 2 < len(b[1])]
-    if words:
-        left = [_without(page.nodes[at].path, text, words) for at, text, _ in own]
-        if sum(n for _, _, n in left) * 2 <= sum(n for _, n, _ in left):
-            return "\n".join(t for t, _, _ in left if t)
-    return "\n".join(text for _, text, _ in own)
+    return [(page.nodes[at].path, text) for at, text, _ in own]
+
+
+def _main_texts(pages: list[tuple[list[tuple[int, str]], np.ndarray]]) -> list[str]:
+    """The text of each page's blocks without its host's template words, which are sorted.
+
+    Where template words are most of the words they are taken for copies of one text, and stay.
+    """
+    blocks = [b for own, words in pages if len(words) for b in own]
+    tokens, ends = pair_tokens([b[0] for b in blocks], [b[1] for b in blocks])
+    out, at = [], 0
+    for own, words in pages:
+        texts = [t for _, t in own]
+        if len(words) and own:
+            edges = ends[at : at + len(own) + 1]
+            at += len(own)
+            hits = _among(tokens[edges[0] : edges[-1]], words)
+            edges = edges - edges[0]
+            if hits.any():
+                left, lost, found = [], 0, np.add.reduceat(hits, edges[:-1], dtype=np.int64).tolist()
+                for text, n, a, b in zip(texts, found, edges[:-1].tolist(), edges[1:].tolist()):
+                    if n == b - a:
+                        text, gone = "", n - 1
+                    else:
+                        text, gone = _without(text, hits[a:b].tolist()) if n >= RUN_PAIRS else (text, 0)
+                    left.append(text)
+                    lost += gone
+                if lost * 2 <= edges[-1] - len(own):
+                    texts = [t for t in left if t]
+        out.append("\n".join(texts))
+    return out
+
+
+def main_text(html: str, main: int | None, words: frozenset[int] = frozenset(), names: frozenset[int] = frozenset()) -> str:
+    """The main text of one page by its host's main slot, template words and chrome names."""
+    return _main_texts([(_own_blocks(html, main, names), np.array(sorted(words), np.int64))])[0]
 
 
 def extract(pages: DataFrame, url: str = "url", column: str = "html") -> DataFrame:
@@ -412,10 +588,12 @@ def extract(pages: DataFrame, url: str = "url", column: str = "html") -> DataFra
     @tidy
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                words, names = ([frozenset(x or ()) for x in part.column(k).to_pylist()] for k in (4, 5))
-                texts = [main_text(*x) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), words, names)]
+            for lo in range(0, batch.num_rows, SLICE_PAGES):
+                part = batch.slice(lo, SLICE_PAGES)
+                words = [np.zeros(0, np.int64) if x.values is None else x.values.to_numpy() for x in part.column(4)]  # sorted by `deduce`
+                names = [frozenset(x or ()) for x in part.column(5).to_pylist()]
+                own = [_own_blocks(*x) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), names)]
+                texts = _main_texts(list(zip(own, words)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
