@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridwell.operators import layouts, work
+from gridwell.operators import work
 from gridwell.operators.joins import HEAVY_ROWS, heavy_join
 from gridwell.operators.matrix import Matrix, prefix_sum
-from gridwell.plans.runtime import by_kind, materialize, partitions, small, tidy
+from gridwell.operators.work import deal, gather
+from gridwell.plans.runtime import Kinds, by_kind, materialize, partitions, small, tidy
 
 #: Columns up to which a dense row accumulator is used, rows of a block and cells of it at most.
 SPA_COLUMNS, SPA_ROWS, SPA_CELLS = 1 << 20, 128, 1 << 22
@@ -40,7 +41,7 @@ def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = Fals
     as zeros are what pads a cluster's lanes.
 
     hash: join and hash aggregation. sorted: blocks of rows in order, each product summed where it is formed. spa: dense numpy accumulators of blocks of rows.
-    cluster: A in cluster layout, lanes are summed together. mixed: clusters are told apart by `work.classify`, dense
+    cluster: blocks of clusters in cluster layout, lanes are summed together. mixed: clusters are told apart by `work.classify`, dense
     ones get a dense accumulator over their column range, the others the cluster strategy. members(i, cluster, lane, csz).
     """
     if strategy == "sorted":
@@ -59,56 +60,108 @@ def spgemm(a: Matrix, b: Matrix, strategy: str = "hash", drop_zeros: bool = Fals
     return Matrix(out, a.nrows, b.ncols)
 
 
-def _gather(batches) -> tuple[np.ndarray, ...]:
-    """ids, entries of each, and all columns and values of batches(id, cols, vals)."""
-    held = [(b.column("id").to_numpy(), b.column("cols").value_lengths().to_numpy().astype(np.int64), b.column("cols").flatten().to_numpy(), b.column("vals").flatten().to_numpy()) for b in batches]
-    return tuple(np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+class _Block:
+    """A block's entries of A, row by row, and the rows of B that they meet."""
+
+    def __init__(self, held: Kinds):
+        self.rows = [b for b in held.of(0)]
+        self.ids, self.size, self.k, self.av = gather(self.rows)
+        self.own, size, self.bj, self.bv = gather(held.of(1))
+        if len(self.own):
+            place = np.minimum(np.searchsorted(self.own, self.k), len(self.own) - 1)
+            self.count, self.first = np.where(self.own[place] == self.k, size[place], 0), (np.cumsum(size) - size)[place]
+
+    def sums(self, entries: np.ndarray, row: np.ndarray, column: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells with products, ascending, their sums): entry k of `entries` times its row of B is added to the cells row[k] + column."""
+        count, first, av = self.count[entries], self.first[entries], self.av[entries]
+        done = np.append(0, np.cumsum(count))
+        acc, hit, a = np.zeros(cells), np.zeros(cells, bool), 0
+        while a < len(entries):
+            z = max(a + 1, min(len(entries), np.searchsorted(done, done[a] + FORMED, side="right") - 1))
+            c = count[a:z]
+            from_b = np.arange(c.sum()) + np.repeat(first[a:z] - (np.cumsum(c) - c), c)
+            cell = np.repeat(row[a:z], c) + column[from_b]
+            value = np.repeat(av[a:z], c) * self.bv[from_b]
+            if len(cell) * 8 > cells:
+                acc += np.bincount(cell, value, cells)
+            else:
+                np.add.at(acc, cell, value)
+            hit[cell] = True
+            a = z
+        found = np.flatnonzero(hit)
+        return found, acc[found]
+
+
+def _out(i: np.ndarray, j: np.ndarray, v: np.ndarray):
+    for x in range(0, len(i), OUT_CELLS):
+        y = slice(x, x + OUT_CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(i[y]), pa.array(j[y]), pa.array(v[y])], names=["i", "j", "v"])
 
 
 def _multiply(batches):
     """(i, j, v), in order, of blocks of rows: batches(part, kind, id, cols, vals) with rows of A, then the rows of B they meet,
     both by id. A block's cells are its rows by the columns that occur in it, BLOCK_CELLS of them at a time."""
     for _, held in by_kind(batches):
-        ids, n, k, av = _gather(held.of(0))
-        own, size, bj, bv = _gather(held.of(1))
-        if not len(own):
+        block = _Block(held)
+        if not len(block.own):
             continue
-        cols, at = np.unique(bj, return_inverse=True)
-        begin, width = np.cumsum(size) - size, len(cols)
-        place = np.minimum(np.searchsorted(own, k), len(own) - 1)
-        count, first = np.where(own[place] == k, size[place], 0), begin[place]
-        done, row, edge = np.append(0, np.cumsum(count)), np.repeat(np.arange(len(ids)), n), np.append(0, np.cumsum(n))
+        cols, at = np.unique(block.bj, return_inverse=True)
+        width, ids = len(cols), block.ids
+        row, edge = np.repeat(np.arange(len(ids)), block.size), np.append(0, np.cumsum(block.size))
         most = max(1, BLOCK_CELLS // width)
         for r in range(0, len(ids), most):
-            a, end = edge[r], edge[min(r + most, len(ids))]
-            cells = min(most, len(ids) - r) * width
-            acc, hit = np.zeros(cells), np.zeros(cells, bool)
-            while a < end:
-                z = max(a + 1, min(end, np.searchsorted(done, done[a] + FORMED, side="right") - 1))
-                c = count[a:z]
-                from_b = np.arange(c.sum()) + np.repeat(first[a:z] - (np.cumsum(c) - c), c)
-                cell = np.repeat((row[a:z] - r) * width, c) + at[from_b]
-                value = np.repeat(av[a:z], c) * bv[from_b]
-                if len(cell) * 8 > cells:
-                    acc += np.bincount(cell, value, cells)
-                else:
-                    np.add.at(acc, cell, value)
-                hit[cell] = True
-                a = z
-            found = np.flatnonzero(hit)
-            for some in (found[x : x + OUT_CELLS] for x in range(0, len(found), OUT_CELLS)):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some // width + r]), pa.array(cols[some % width]), pa.array(acc[some])], names=["i", "j", "v"])
+            end = min(r + most, len(ids))
+            entries = np.arange(edge[r], edge[end])
+            found, sums = block.sums(entries, (row[entries] - r) * width, at, (end - r) * width)
+            yield from _out(ids[found // width + r], cols[found % width], sums)
+
+
+def _multiply_clusters(batches):
+    """(i, j, v) of blocks of clusters: batches(part, kind, cluster, id, low, width, cols, vals) with rows of A by cluster, then
+    the rows of B they meet by id.
+
+    A block's entries are laid out by cluster and shared column, lanes together. A cluster with a width is summed in a
+    dense block of its rows by its columns from `low` on, the others by the columns that occur in the block.
+    """
+    for _, held in by_kind(batches):
+        block = _Block(held)
+        if not len(block.own):
+            continue
+        cluster, low, span = (np.concatenate([b.column(c).to_numpy() for b in block.rows]) for c in ("cluster", "low", "width"))
+        cols, at = np.unique(block.bj, return_inverse=True)
+        width, ids = len(cols), block.ids
+        row = np.repeat(np.arange(len(ids)), block.size)
+        edge = np.append(0, np.cumsum(block.size))
+        laid = lambda a, z: edge[a] + np.lexsort((row[edge[a] : edge[z]], block.k[edge[a] : edge[z]], cluster[row[edge[a] : edge[z]]]))
+        cuts = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1)), len(cluster))
+        most, a = max(1, BLOCK_CELLS // width), 0
+        while a < len(ids):
+            if span[a]:
+                end = int(cuts[np.searchsorted(cuts, a, side="right")])
+                wide, column, names = int(span[a]), block.bj - low[a], lambda x, lo=low[a]: x + lo
+            else:
+                dense = np.flatnonzero(span[a : a + most])
+                end = a + (int(dense[0]) if len(dense) else min(most, len(ids) - a))
+                wide, column, names = width, at, cols.__getitem__
+            entries = laid(a, end)
+            found, sums = block.sums(entries, (row[entries] - a) * wide, column, (end - a) * wide)
+            yield from _out(ids[found // wide + a], names(found % wide), sums)
+            a = end
+
+
+def _operands(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
+    """Entries (i, k, v) of A and rows (k, n, cols, vals) of B, written once."""
+    left = materialize(a.entries.select("i", F.col("j").alias("k"), F.col("v").cast("double").alias("v")), "spgemm-left", "zstd")
+    pair = F.collect_list(F.struct("bj", "bv")).alias("row")
+    right = _right(b).groupBy("k", "bj").agg(F.sum(F.col("bv").cast("double")).alias("bv")).groupBy("k").agg(pair)
+    return left, materialize(right.select("k", F.size("row").cast("long").alias("n"), F.col("row.bj").alias("cols"), F.col("row.bv").alias("vals")), "spgemm-right", "zstd")
 
 
 def _sorted(a: Matrix, b: Matrix) -> DataFrame:
     """Rows of A are cut into blocks of about BLOCK_PRODUCTS products; a block gets each row of B that it meets once, so rows
     are shuffled and no products. Rows of more products than that go by hash aggregation. Blocks are dealt in order."""
     _check(a, b)
-    spark = a.entries.sparkSession
-    left = materialize(a.entries.select("i", F.col("j").alias("k"), F.col("v").cast("double").alias("v")), "spgemm-left", "zstd")
-    pair = F.collect_list(F.struct("bj", "bv")).alias("row")
-    right = _right(b).groupBy("k", "bj").agg(F.sum(F.col("bv").cast("double")).alias("bv")).groupBy("k").agg(pair)
-    right = materialize(right.select("k", F.size("row").cast("long").alias("n"), F.col("row.bj").alias("cols"), F.col("row.bv").alias("vals")), "spgemm-right", "zstd")
+    left, right = _operands(a, b)
     load = left.join(right.select("k", "n"), "k").groupBy("i").agg(F.sum("n").alias("work"))
     cut = materialize(prefix_sum(load, "i", "work").select("i", "work", F.floor(F.col("before") / BLOCK_PRODUCTS).alias("part")), "spgemm-blocks")
     blocks, most = cut.agg(F.coalesce(F.max("part") + 1, F.lit(1)), F.coalesce(F.max("work"), F.lit(0))).first()
@@ -116,9 +169,7 @@ def _sorted(a: Matrix, b: Matrix) -> DataFrame:
     pair = F.collect_list(F.struct("k", "v")).alias("row")
     rows = own.groupBy("part", "i").agg(pair).select("part", F.lit(0).alias("kind"), F.col("i").alias("id"), F.col("row.k").alias("cols"), F.col("row.v").alias("vals"))
     met = own.select("part", "k").distinct().join(right, "k").select("part", F.lit(1).alias("kind"), F.col("k").alias("id"), "cols", "vals")
-    parts = min(max(partitions(spark), 1), blocks)
-    dealt = rows.unionByName(met).repartitionById(parts, F.floor(F.col("part") * parts / blocks).cast("int")).sortWithinPartitions("part", "kind", "id")
-    out = dealt.mapInArrow(tidy(_multiply), "i long, j long, v double")
+    out = deal(rows.unionByName(met), blocks, "id").mapInArrow(tidy(_multiply), "i long, j long, v double")
     if most <= BLOCK_PRODUCTS:
         return out
     large = Matrix(left.join(cut.filter(F.col("work") > BLOCK_PRODUCTS).select("i"), "i").select("i", F.col("k").alias("j"), "v"), a.nrows, a.ncols)
@@ -222,27 +273,34 @@ def _spa(a: Matrix, b: Matrix) -> DataFrame:
     return _dense(own, b)
 
 
-def _clustered(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
-    """Join rows are shared columns rather than entries; each lane is summed in one aggregation. Columns of over
-    HEAVY_ROWS joined rows are dealt to several tasks by cluster."""
+def _clustered(a: Matrix, b: Matrix, members: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+    """Clusters are cut into blocks of about BLOCK_PRODUCTS products, and rows of A and of B are shuffled to them, no products.
+    Rows of clusters of more products than that go in blocks of rows. dense(cluster, low, width): clusters that are summed
+    in a dense block."""
     _check(a, b)
-    layout = layouts.cluster_layout(a, members)
-    most = members.agg(F.max("csz")).first()[0] or 1
-    hit = heavy_join(layout.withColumnRenamed("j", "k"), _right(b), ["k"], ["cluster"])
-    sums = [F.sum(F.coalesce(F.get("lanes", F.lit(p)), F.lit(0.0)) * F.col("bv")).alias(f"l{p}") for p in range(most)]
-    held = hit.groupBy("cluster", "bj").agg(*sums).select("cluster", F.col("bj").alias("j"), F.array(*[f"l{p}" for p in range(most)]).alias("lanes"))
-    return layouts.cluster_to_entries(held, members)
+    left, right = _operands(a.compact(), b)
+    load = left.join(right.select("k", "n"), "k").groupBy("i").agg(F.sum("n").alias("work")).join(members, "i")
+    cut = materialize(work.cluster_blocks(load, BLOCK_PRODUCTS), "spgemm-blocks")
+    blocks, most = cut.agg(F.coalesce(F.max("part") + 1, F.lit(1)), F.coalesce(F.max("work"), F.lit(0))).first()
+    about = cut.withColumns({"low": F.lit(0).cast("long"), "width": F.lit(0).cast("long")}) if dense is None else cut.join(dense, "cluster", "left").na.fill(0, ["low", "width"])
+    place = members.select("i", "cluster").join(about.filter(F.col("work") <= BLOCK_PRODUCTS), "cluster").select("i", "cluster", "part", "low", "width")
+    own = left.join(small(place), "i")
+    pair = F.collect_list(F.struct("k", "v")).alias("row")
+    rows = own.groupBy("part", "cluster", "i", "low", "width").agg(pair).select("part", F.lit(0).alias("kind"), "cluster", F.col("i").alias("id"), "low", "width", F.col("row.k").alias("cols"), F.col("row.v").alias("vals"))
+    none = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("cluster", "low", "width")]
+    met = own.select("part", "k").distinct().join(right, "k").select("part", F.lit(1).alias("kind"), F.col("k").alias("id"), "cols", "vals", *none)
+    out = deal(rows.unionByName(met), blocks, "cluster", "id").mapInArrow(tidy(_multiply_clusters), "i long, j long, v double")
+    if most > BLOCK_PRODUCTS:
+        wide = members.join(cut.filter(F.col("work") > BLOCK_PRODUCTS), "cluster").select("i")
+        out = out.unionByName(_sorted(a.with_entries(left.join(wide, "i").select("i", F.col("k").alias("j"), "v")), b))
+    return out.filter("v <> 0")
 
 
 def _mixed(a: Matrix, b: Matrix, members: DataFrame) -> DataFrame:
     """Dense clusters accumulate into blocks over their column range, the others take the cluster strategy."""
     flags = materialize(work.classify(a, b, members), "mixed-clusters")  # the symbolic product runs once
-    dense = small(flags.filter("dense = 1").select("cluster", F.col("min_col").alias("low"), (F.col("max_col") - F.col("min_col") + 1).alias("width")))
-    sparse = members.join(dense, "cluster", "left_anti")
-    rows = a.with_entries(a.entries.join(small(sparse.select("i")), "i", "left_semi"))
-    inside = members.join(dense, "cluster")
-    own = a.entries.join(small(inside), "i").select("i", "cluster", "lane", "csz", "low", "width", F.col("j").alias("k"), "v")
-    return _clustered(rows, b, sparse).unionByName(_dense(own, b).filter("v <> 0"))
+    dense = flags.filter("dense = 1").select("cluster", F.col("min_col").alias("low"), (F.col("max_col") - F.col("min_col") + 1).alias("width"))
+    return _clustered(a, b, members, dense)
 
 
 def flops(a: Matrix, b: Matrix) -> DataFrame:
