@@ -8,12 +8,12 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.operators import lsh
 from gridwell.operators.components import connected_components
-from gridwell.operators.matrix import Matrix, prefix_sum
-from gridwell.plans.runtime import Kinds, by_kind, materialize, partitions, tidy
+from gridwell.operators.matrix import SCAN_BUCKET, Matrix, prefix_sum
+from gridwell.plans.runtime import Kinds, by_kind, materialize, partitions, small, tidy
 
 CAP = 8
 
@@ -279,8 +279,6 @@ def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "h
 
 def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
     """((new_row, old_row), (cluster, start, stop)): clusters by root, rows ascending inside."""
-    from pyspark.sql import Window
-
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     starts = prefix_sum(sizes, "root", "n", "start")
     inside = F.row_number().over(Window.partitionBy("root").orderBy("i")) - 1
@@ -290,8 +288,38 @@ def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
     return perm, offsets
 
 
+def settle_copies(sigs: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """((i, sig) of the rows that are still open, (i, root) of those that are settled), where every pair of rows of equal
+    signatures is given with a score of 1.
+
+    These pairs come before all others, the largest ids first, and meet no other rows: from the largest id on, each `cap`
+    rows close as one cluster whose root is the second largest of them. Closed rows change nothing after that, so that
+    only the pairs of the rest, fewer than `cap` rows of the lowest ids of each signature, are needed. Rows are numbered
+    over cells of row ids: a signature of very many rows is no single task's work.
+    """
+    size, same = max(cap, 2), ["c0", "c1"]
+    told = sigs.select("i", *[F.xxhash64(F.lit(k), "sig").alias(c) for k, c in enumerate(same)], F.floor(F.col("i") / SCAN_BUCKET).alias("cell"))
+    cells = told.groupBy(*same, "cell").agg(F.count("*").alias("n"))
+    rows = materialize(cells.groupBy(*same).agg(F.sum("n").alias("rows")).filter(F.col("rows") >= size), "hc-copies")
+    large = cells.join(small(rows), same)
+    base = large.withColumn("base", F.sum("n").over(Window.partitionBy(*same).orderBy("cell")) - F.col("n")).drop("n")
+    at = F.row_number().over(Window.partitionBy(*same, "cell").orderBy("i")) - 1 + F.col("base")
+    placed = told.join(small(base), [*same, "cell"]).withColumn("before", F.col("rows") - 1 - at)
+    closed = placed.filter(F.col("before") < F.col("rows") - F.col("rows") % size)
+    groups = closed.groupBy(*same, F.floor(F.col("before") / size).alias("group")).agg(F.sort_array(F.collect_list("i")).alias("ids"))
+    settled = materialize(groups.select(F.explode("ids").alias("i"), F.element_at("ids", F.lit(-2)).alias("root")), "hc-settled")
+    return materialize(sigs.join(settled, "i", "left_anti"), "lsh-open"), settled
+
+
 def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True, strategy: str = "heap") -> DataFrame:
-    """(i, root): signatures, candidate pairs (capped buckets or all pairs) and greedy clustering."""
+    """(i, root): signatures, candidate pairs (capped buckets or all pairs) and greedy clustering.
+
+    Of all pairs, those of copies that `settle_copies` settles are not unfolded; the roots are the same.
+    """
     sets = materialize(row_sets(m), "hc-rows", "zstd")  # what the entries are made from is read once
     own = m.with_entries(sets.select("i", F.explode("cols").alias("j")).select("i", F.col("j").cast("long").alias("j"), F.lit(1.0).alias("v")))
-    return hierarchical(own, lsh.candidates(own, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy, sets)
+    if capped or n < 1 or k % n:
+        return hierarchical(own, lsh.candidates(own, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy, sets)
+    sigs, settled = settle_copies(materialize(lsh.signatures(own, k, seed), "lsh-signatures"), cap)
+    roots = hierarchical(own, lsh.candidates(own, k, n, seed, None, sigs=sigs), cap, strategy, sets)
+    return roots.join(settled.withColumnRenamed("root", "settled"), "i", "left").select("i", F.coalesce("settled", "root").alias("root"))

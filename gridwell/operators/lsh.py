@@ -82,6 +82,8 @@ def bucket_pairs(banded: DataFrame, limit: int | None = BUCKET_LIMIT, window: in
     limit None gives all pairs of every bucket, by a join that deals buckets of many pairs to several tasks.
     """
     if limit is None:
+        shared = banded.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1").select("band", "part")
+        banded = materialize(banded.join(shared, ["band", "part"], "left_semi"), "lsh-shared")
         return heavy_join(banded, banded.select("band", "part", F.col("i").alias("j")), ["band", "part"], ["i"]).filter("i < j").select("i", "j").distinct()
     large = banded.groupBy("band", "part").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("band", "part")
     rest, out = banded, None
@@ -154,12 +156,12 @@ def _scored(m: Matrix, sigs: DataFrame, pairs: DataFrame, k: int, seed: int) ->
     return dealt.mapInArrow(run, "i long, j long, score double")
 
 
-def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS) -> DataFrame:
+def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS, sigs: DataFrame | None = None) -> DataFrame:
     """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once.
 
-    Where the blocks of signatures would be more than the signatures of each pair, these go with the pairs instead.
+    sigs: signatures of the rows to pair, where the caller has written them. Where the blocks of signatures would be more than the signatures of each pair, these go with the pairs instead.
     """
-    sigs = materialize(signatures(m, k, seed), "lsh-signatures")
+    sigs = materialize(signatures(m, k, seed), "lsh-signatures") if sigs is None else sigs
     pairs = materialize(bucket_pairs(bands(sigs, k, n), limit, window), "lsh-pairs")
     if -(-m.nrows // SCORE_ROWS) * m.nrows <= max(2 * pairs.count(), 2 * m.nrows):
         return _scored(m, sigs, pairs, k, seed)
