@@ -11,16 +11,25 @@ import zstandard
 MAGIC = b"WVM1"
 #: Bits in a compressed block of a bit-plane.
 BLOCK_BITS = 1 << 16
+#: Ids that are parted at once, so that they stay in the processor's cache.
+RUN_IDS = 1 << 15
 _HEAD = struct.Struct("<4sBIQQ")
 
 
 def _planes(ids: np.ndarray, levels: int):
-    """Bit-planes from the most significant bit on; each level is stably parted by the bits above it."""
+    """Bit-planes from the most significant bit on; each level is stably parted by the bits above it, RUN_IDS at a time."""
     for shift in range(levels - 1, -1, -1):
-        bit = ((ids >> shift) & 1).astype(bool)
-        zeros = ids.compress(~bit)
-        yield bit, len(zeros)
-        ids = np.concatenate([zeros, ids.compress(bit)])
+        bit = (ids & ids.dtype.type(1 << shift)) != 0
+        zeros = len(ids) - int(np.count_nonzero(bit))
+        out, a, b = np.empty_like(ids), 0, zeros
+        for k in range(0, len(ids), RUN_IDS):
+            one, own = bit[k : k + RUN_IDS], ids[k : k + RUN_IDS]
+            at, off = np.flatnonzero(one), np.flatnonzero(~one)
+            own.take(off, out=out[a : a + len(off)], mode="clip")
+            own.take(at, out=out[b : b + len(at)], mode="clip")
+            a, b = a + len(off), b + len(at)
+        yield bit, zeros
+        ids = out
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int = 16) -> bytes:
@@ -129,8 +138,12 @@ class WaveletFile:
         for level in range(self.levels - 1, -1, -1):
             raw = b"".join(self.undo.decompress(self.data[int(a) : int(b)]) for a, b in zip(self.starts[level][:-1], self.starts[level][1:]))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
-            out, z = np.empty_like(ids), self.zeros[level]
-            out[np.flatnonzero(~bit)] = ids[:z]
-            out[np.flatnonzero(bit)] = ids[z:] | ids.dtype.type(1 << (self.levels - 1 - level))
+            out, a, b, one = np.empty_like(ids), 0, self.zeros[level], ids.dtype.type(1 << (self.levels - 1 - level))
+            for k in range(0, self.n, RUN_IDS):
+                own, part = bit[k : k + RUN_IDS], out[k : k + RUN_IDS]
+                at, off = np.flatnonzero(own), np.flatnonzero(~own)
+                part[off] = ids[a : a + len(off)]
+                part[at] = ids[b : b + len(at)] | one
+                a, b = a + len(off), b + len(at)
             ids = out
         return ids
