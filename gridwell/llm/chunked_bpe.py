@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
 TABLE_ROWS = 2_000_000
+#: Pieces that are encoded as one text; where their cuts are not clear, 16ths of them are tried.
+JOINED = 256
 #: White space before a space or a line end, or a line end at the text's edge, in RE2.
 _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\pZ][ \n]|\A\n|\n\z|\n[\s\x0b\x1c-\x1f\x{85}\pZ]"
 _workers: dict = {}
@@ -50,7 +52,7 @@ class SpacePieces:
         if len(self.table) + len(pieces) > TABLE_ROWS:
             self.table.clear()
             self.table[""] = b""
-        table, step, plain, late = self.table, 64, [], []
+        table, plain, late = self.table, [], []
         for p in pieces:
             if p[-1] in self.marks and p[-2:-1].isalpha():
                 late.append(p)
@@ -60,23 +62,26 @@ class SpacePieces:
         plain += {b for p in late if (b := p[:-1]) not in table and b not in known}
         opening = [p for p in plain if p[0] == "\n"]
         plain = [p for p in plain if p[0] != "\n"]
-        for a in range(0, len(opening), step):
-            self._cut("".join(opening[a : a + step]), opening[a : a + step], self.line)
-        for a in range(0, len(plain), step):
-            self._cut(" " + " ".join(plain[a : a + step]), plain[a : a + step], self.opens)
+        for a in range(0, len(opening), JOINED):
+            self._cut(opening[a : a + JOINED], "", self.line)
+        for a in range(0, len(plain), JOINED):
+            self._cut(plain[a : a + JOINED], " ", self.opens)
         for p in late:
             table[p] = table[p[:-1]] + self.marks[p[-1]]
 
-    def _cut(self, text: str, own: list[str], opens: np.ndarray) -> None:
-        """Learn the pieces that make up `text`; each begins at an id of `opens`."""
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+    def _cut(self, own: list[str], before: str, opens: np.ndarray) -> None:
+        """Learn pieces from the text they make up, each with `before` before it; each begins at an id of `opens`."""
+        ids = np.array(self.tok.encode_batch_fast([before + before.join(own)], add_special_tokens=False)[0].ids, "<u2")
         cuts = np.flatnonzero(opens[ids])
-        if len(cuts) != len(own):  # a piece with an unusual start: one by one
-            for p in own:
-                self.table[p] = np.array(self.tok.encode(p if p[0] == "\n" else " " + p, add_special_tokens=False).ids, "<u2").tobytes()
-            return
-        raw, cuts = ids.tobytes(), (cuts * 2).tolist()
-        self.table.update(zip(own, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+        if len(cuts) == len(own):
+            raw, cuts = ids.tobytes(), (cuts * 2).tolist()
+            self.table.update(zip(own, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+        elif len(own) == 1:  # a piece with an unusual start
+            self.table[own[0]] = ids.tobytes()
+        else:
+            part = -(-len(own) // 16)
+            for a in range(0, len(own), part):
+                self._cut(own[a : a + part], before, opens)
 
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text), with `end_id` after each text if it is given.
@@ -95,7 +100,8 @@ class SpacePieces:
         split = pc.split_pattern(pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " \n"), "", " "), " ")
         cuts = split.offsets.to_numpy()
         numbered = split.flatten().dictionary_encode()
-        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
+        # by way of numpy, as to_pylist makes an Arrow scalar of every piece first
+        distinct, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().copy()
         found = list(map(self.table.get, distinct))
         if None in found:
             gaps = [k for k, f in enumerate(found) if f is None]
