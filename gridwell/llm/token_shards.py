@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.llm.blobs import read_blob, write_blob
 from gridwell.llm.chunked_bpe import SpacePieces
-from gridwell.llm.wavelet import WaveletFile, pack
+from gridwell.llm.wavelet import pack_ranked, shard
 from gridwell.plans.runtime import fresh_path, materialize, partitions, tidy
 
 #: Ids after which a shard file ends with its batch.
@@ -72,7 +72,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
         def flush():
             path, own = f"{folder}/part-{part:06d}-{seq:05d}.wvm", np.concatenate(names)
-            write_blob(path, pack(np.concatenate(ids), own, np.concatenate(sizes)))
+            write_blob(path, pack_ranked(np.concatenate(ids), own, np.concatenate(sizes)))
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_tokens": [held], "n_docs": [len(own)]}, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
         for keys, texts in _gathered(batches):
@@ -105,7 +105,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f = WaveletFile(read_blob(path))
+                f = shard(read_blob(path))
                 ids = f.decode().astype("<u4")
                 ends = np.cumsum(f.lengths, dtype=np.int64)
                 starts = ends - f.lengths

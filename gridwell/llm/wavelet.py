@@ -1,4 +1,7 @@
-"""Wavelet matrix file: bit-planes in zstd blocks with rank directories; access, count and occurrences from the file."""
+"""Wavelet matrix file: bit-planes in zstd blocks with rank directories; access, count and occurrences from the file.
+
+A ranked file numbers its ids by falling count and keeps the rare ones in a second matrix, so that most ids cross few planes.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,8 @@ BLOCK_BITS = 1 << 16
 #: Ids that are parted at once, so that they stay in the processor's cache.
 RUN_IDS = 1 << 15
 _HEAD = struct.Struct("<4sBIQQ")
+RANKED = b"WVR1"
+_RANKED = struct.Struct("<4sBBIQQ")
 
 
 def _planes(ids: np.ndarray, levels: int):
@@ -147,3 +152,103 @@ class WaveletFile:
                 a, b = a + len(off), b + len(at)
             ids = out
         return ids
+
+
+def _levels(counts: np.ndarray) -> tuple[int, int]:
+    """(levels of the first matrix, levels of the second) that move the fewest bits, for counts in falling order.
+
+    A first matrix of k levels has the 2**k - 1 most frequent ids and a code for all others, which the second tells apart.
+    """
+    size, total = len(counts), int(counts.sum())
+    before = np.concatenate([[0], np.cumsum(counts)])
+    full = max(size - 1, 0).bit_length()
+    own = [(total * full, full, 0)]
+    for k in range(1, full):
+        second = (size - (1 << k)).bit_length()
+        own.append((total * k + (total - int(before[(1 << k) - 1])) * (second + 1), k, second))
+    return min(own)[1:]
+
+
+def _looked_up(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at], RUN_IDS at a time, as numpy widens all indices first."""
+    out = np.empty(len(at), table.dtype)
+    for k in range(0, len(at), RUN_IDS):
+        table.take(at[k : k + RUN_IDS], out=out[k : k + RUN_IDS], mode="clip")
+    return out
+
+
+def pack_ranked(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The ranked file of one shard. ids: uint16 or uint32; lengths: ids of each document, doc_ids int64."""
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    for k in range(0, len(ids), RUN_IDS):
+        own = np.bincount(ids[k : k + RUN_IDS])
+        counts[: len(own)] += own
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype("<u4")
+    first, second = _levels(counts[order])
+    wide = np.uint16 if first <= 16 else np.uint32
+    direct = (1 << first) - 1 if second else len(order)
+    code = np.full(len(counts), direct if second else 0, wide)
+    code[order[:direct]] = np.arange(direct)
+    codes, rest = _looked_up(code, ids), ids[:0]
+    if direct < len(order):
+        code = np.zeros(len(counts), np.uint32)
+        code[order[direct:]] = np.arange(len(order) - direct)
+        rest = _looked_up(code, ids[np.flatnonzero(codes == direct)])
+    alphabet = zstandard.ZstdCompressor(level=1).compress(order.tobytes())
+    one, two = pack(codes, doc_ids, lengths, first), pack(rest, np.zeros(0), np.zeros(0), second)
+    return b"".join([_RANKED.pack(RANKED, first, second, len(order), len(alphabet), len(one)), alphabet, one, two])
+
+
+class RankedFile:
+    """One ranked shard, read from its bytes."""
+
+    def __init__(self, data: bytes):
+        magic, first, second, size, own, one = _RANKED.unpack_from(data)
+        if magic != RANKED:
+            raise ValueError("not a ranked wavelet file")
+        at = _RANKED.size
+        self.alphabet = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + own]) if size else b"", "<u4")
+        self.first, self.second = WaveletFile(data[at + own : at + own + one]), WaveletFile(data[at + own + one :])
+        #: Ids with a code of their own; that number is the code of all others.
+        self.direct = (1 << first) - 1 if second else size
+        self.n, self.n_docs, self.doc_ids, self.lengths = self.first.n, self.first.n_docs, self.first.doc_ids, self.first.lengths
+
+    def access(self, i: int) -> int:
+        code = self.first.access(i)
+        return int(self.alphabet[code if code < self.direct else code + self.second.access(self.first.count(code, 0, i))])
+
+    def _code(self, token: int) -> int | None:
+        at = np.flatnonzero(self.alphabet == token)
+        return int(at[0]) if len(at) else None
+
+    def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
+        """Occurrences of a token in [lo, hi)."""
+        code, hi = self._code(token), self.n if hi is None else hi
+        if code is None:
+            return 0
+        if code < self.direct:
+            return self.first.count(code, lo, hi)
+        return self.second.count(code - self.direct, self.first.count(self.direct, 0, lo), self.first.count(self.direct, 0, hi))
+
+    def select(self, token: int, j: int) -> int:
+        """Position of the j-th occurrence, from 0."""
+        code = self._code(token)
+        if code is None:
+            raise IndexError(j)
+        if code < self.direct:
+            return self.first.select(code, j)
+        return self.first.select(self.direct, self.second.select(code - self.direct, j))
+
+    def decode(self) -> np.ndarray:
+        """All ids in order."""
+        codes = self.first.decode()
+        wide = self.alphabet.astype(np.uint16 if not len(self.alphabet) or self.alphabet.max() < 1 << 16 else np.uint32)
+        ids = _looked_up(wide, codes)
+        if self.second.n:
+            ids[np.flatnonzero(codes == self.direct)] = _looked_up(wide[self.direct :], self.second.decode())
+        return ids
+
+
+def shard(data: bytes) -> RankedFile | WaveletFile:
+    """The reader of a shard's bytes, whichever kind of file it is."""
+    return (RankedFile if data[:4] == RANKED else WaveletFile)(data)
