@@ -5,12 +5,14 @@ from __future__ import annotations
 import bisect
 import heapq
 import tempfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwell.operators import lsh
+from gridwell.operators.best_first import BestFirst
 from gridwell.operators.components import connected_components
 from gridwell.operators.matrix import SCAN_BUCKET, Matrix, prefix_sum
 from gridwell.plans.runtime import Kinds, by_kind, materialize, partitions, small, tidy
@@ -22,7 +24,14 @@ class _Forest:
     """Roots by union-find."""
 
     def __init__(self, n: int):
-        self.parent, self.sizes = list(range(n)), [1] * n
+        self.parent, self.sizes = array("q", range(n)), [1] * n
+
+    def roots_of(self, rows: np.ndarray) -> np.ndarray:
+        parent = np.frombuffer(self.parent, np.int64)
+        tops, above = rows, parent[rows]
+        while (tops != above).any():
+            tops, above = above, parent[above]
+        return tops
 
     def root(self, x: int) -> int:
         parent, top = self.parent, x
@@ -45,7 +54,10 @@ class _Members:
     """Roots by lists: each root keeps its members, who are told their new root when it changes."""
 
     def __init__(self, n: int):
-        self.roots, self.held = list(range(n)), {}
+        self.roots, self.held = array("q", range(n)), {}
+
+    def roots_of(self, rows: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.roots, np.int64)[rows]
 
     def root(self, x: int) -> int:
         return self.roots[x]
@@ -117,7 +129,8 @@ BOOKS = {"heap": (_Forest, _Heap), "members": (_Members, _Runs)}
 
 
 def _merge_all(stream, n: int, given, similarity, cap: int, strategy: str) -> list[int]:
-    """Root of each of n rows. stream: (-score, -(i * n + j)) of every pair, ascending.
+    """Root of each of n rows. stream: (-score, -(i * n + j)) of every pair, ascending; or a function that gives it from
+    the roots and the closed rows so far, and may leave out pairs that can change nothing any more.
 
     Pairs are taken by score, then by the larger ids. Two open roots merge, the smaller into the larger (ties into the
     first); a root that reaches `cap` closes. A pair of rows that are roots no longer hands its roots on with their exact
@@ -127,6 +140,8 @@ def _merge_all(stream, n: int, given, similarity, cap: int, strategy: str) -> li
     forest, queue = BOOKS[strategy]
     forest, queue = forest(n), queue()
     root, known, closed = forest.root, {}, bytearray(n)
+    if callable(stream):
+        stream = stream(forest, np.frombuffer(closed, bool))
     ahead = next(stream, None)
     while True:
         first = queue.first()
@@ -199,20 +214,37 @@ class _File:
         return np.memmap(self.file, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
 
 
-def _component(held: Kinds, cap: int, strategy: str) -> pa.RecordBatch:
-    """(i, root) of one component, whose kinds are its rows, its pairs for look-up and its pairs in order.
-
-    The columns of the rows and the pairs for look-up are in files: this worker's memory holds an offset and a few numbers
-    a row, and the pairs that are handed on.
-    """
-    ids, sizes, cols = [], [], _File()
+def _rows(held: Kinds):
+    """(ids, exact similarity of two rows, bytes of the signatures if they have come) of a component's rows. Columns and
+    signatures lie in files."""
+    ids, sizes, cols, sigs = [], [], _File(), _File()
     for batch in held.of(0):
         own = batch.column("cols")
         ids.append(batch.column("i").to_numpy())
         sizes.append(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         cols.add(own.flatten().to_numpy())
-    ids, n = np.concatenate(ids), sum(map(len, ids))
+        if "sig" in batch.schema.names:
+            sigs.add(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8))
     start, cols = np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.int64)), cols.read()
+
+    def similarity(a: int, b: int) -> float:
+        x, y = cols[start[a] : start[a + 1]], cols[start[b] : start[b + 1]]
+        if len(x) < len(y):
+            x, y = y, x
+        both = int(np.count_nonzero(x.take(x.searchsorted(y), mode="clip") == y)) if len(y) else 0
+        return both / (len(x) + len(y) - both) if len(x) else 0.0
+
+    return np.concatenate(ids), similarity, sigs.read()
+
+
+def _component(held: Kinds, cap: int, strategy: str) -> pa.RecordBatch:
+    """(i, root) of one component, whose kinds are its rows, its pairs for look-up and its pairs in order.
+
+    The columns of the rows and the pairs for look-up are in files: this worker's memory holds an offset and a few numbers
+    a row, and the pairs that are handed on.
+    """
+    ids, similarity, _ = _rows(held)
+    n = len(ids)
     keys = _File()
     key = lambda i, j: np.searchsorted(ids, i) * n + np.searchsorted(ids, j)
     for batch in held.of(1):
@@ -224,13 +256,6 @@ def _component(held: Kinds, cap: int, strategy: str) -> pa.RecordBatch:
         at = bisect.bisect_left(look, x)
         return at < len(look) and look[at] == x
 
-    def similarity(a: int, b: int) -> float:
-        x, y = cols[start[a] : start[a + 1]], cols[start[b] : start[b + 1]]
-        if len(x) < len(y):
-            x, y = y, x
-        both = int(np.count_nonzero(x.take(x.searchsorted(y), mode="clip") == y)) if len(y) else 0
-        return both / (len(x) + len(y) - both) if len(x) else 0.0
-
     def stream():
         for batch in held.of(2):
             yield from zip(batch.column("s").to_numpy().tolist(), (-key(-batch.column("i").to_numpy(), -batch.column("j").to_numpy())).tolist())
@@ -239,23 +264,70 @@ def _component(held: Kinds, cap: int, strategy: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.array(roots)])], names=["i", "root"])
 
 
+def _bucket_component(held: Kinds, bands: int, k: int, kind: type, cap: int, strategy: str) -> pa.RecordBatch:
+    """(i, root) of one component, whose only kind is its rows, with their signatures.
+
+    Pairs are formed here, best first, and only as many at once as BestFirst holds. Closed rows leave its buckets, and of
+    the pairs that it gives those of one root or of a closed one are not looked at one by one.
+    """
+    ids, similarity, sigs = _rows(held)
+    n, best = len(ids), BestFirst(np.asarray(sigs).view(kind).reshape(-1, k), bands)
+
+    def stream(forest, closed):
+        for places, i, j in best.pairs(lambda: ~closed[forest.roots_of(np.arange(n))]):
+            a, b = forest.roots_of(i), forest.roots_of(j)
+            live = np.flatnonzero((a != b) & ~closed[a] & ~closed[b])
+            yield from zip((-(places[live] / k)).tolist(), (-(i[live] * n + j[live])).tolist())
+
+    roots = _merge_all(stream, n, lambda key: best.share(*divmod(key, n)), similarity, cap, strategy)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.array(roots)])], names=["i", "root"])
+
+
 def row_sets(m: Matrix) -> DataFrame:
     """(i, cols) of rows with entries: their columns, ascending and once each, as ints where they fit."""
     column = "int" if m.ncols <= 1 << 31 else "bigint"
     return m.entries.select("i", F.col("j").cast(column).alias("j")).groupBy("i").agg(F.sort_array(F.collect_set("j")).alias("cols"))
 
 
-def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "heap", sets: DataFrame | None = None) -> DataFrame:
+def hierarchical(m: Matrix, pairs: DataFrame | lsh.Buckets, cap: int = CAP, strategy: str = "heap", sets: DataFrame | None = None) -> DataFrame:
     """(i, root) of every row; rows in no pair are their own root. pairs(i, j, score), i < j.
 
     Merges never leave a connected component of the pairs, so components are found first and clustered in parallel; a
     component is one task's work, which is what the sequential rule allows. A task gets a component's rows, its pairs for
     look-up and its pairs in order, as batches of one sorted partition, and holds none of them as a whole. strategy says
     how that task keeps its books (BOOKS): "heap" or "members"; both give the same roots. sets: row_sets(m), where the caller has them.
+
+    pairs may be lsh.Buckets: all pairs of their buckets, with estimated similarities, which no frame holds; components
+    come from links in the buckets, and a task gets signatures with its rows.
     """
-    pairs = materialize(pairs.groupBy("i", "j").agg(F.max("score").alias("score")), "hc-pairs")
-    found = materialize(connected_components(pairs, "i", "j"), "hc-components").select(F.col("node").alias("i"), F.col("component").alias("part"))
     sets = row_sets(m) if sets is None else sets
+    if isinstance(pairs, lsh.Buckets):
+        merged = _of_buckets(m, pairs, cap, strategy, sets)
+    else:
+        merged = _of_pairs(m, pairs, cap, strategy, sets)
+    return m.rows().join(materialize(merged, "hc-roots"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links, "i", "j"), "hc-components").select(F.col("node").alias("i"), F.col("component").alias("part"))
+
+
+def _of_buckets(m: Matrix, pairs: lsh.Buckets, cap: int, strategy: str, sets: DataFrame) -> DataFrame:
+    cells = _components(pairs.links()).join(pairs.sigs, "i").join(sets, "i", "left").withColumn("kind", F.lit(0))
+    dealt = cells.select("part", "kind", "i", "cols", "sig").repartition(partitions(m.entries.sparkSession), "part").sortWithinPartitions("part", "i")
+    bands, k, kind = pairs.n, pairs.k, pairs.kind
+
+    @tidy
+    def run(batches):
+        for _, held in by_kind(batches):
+            yield _bucket_component(held, bands, k, kind, cap, strategy)
+
+    return dealt.mapInArrow(run, "i long, root long")
+
+
+def _of_pairs(m: Matrix, pairs: DataFrame, cap: int, strategy: str, sets: DataFrame) -> DataFrame:
+    pairs = materialize(pairs.groupBy("i", "j").agg(F.max("score").alias("score")), "hc-pairs")
+    found = _components(pairs)
     cells = found.join(sets, "i", "left")
     own = pairs.join(found, "i")
     none = {"s": F.lit(None).cast("double"), "cols": F.lit(None).cast(sets.schema["cols"].dataType)}
@@ -273,8 +345,7 @@ def hierarchical(m: Matrix, pairs: DataFrame, cap: int = CAP, strategy: str = "h
         for _, held in by_kind(batches):
             yield _component(held, cap, strategy)
 
-    merged = dealt.mapInArrow(run, "i long, root long")
-    return m.rows().join(materialize(merged, "hc-roots"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
+    return dealt.mapInArrow(run, "i long, root long")
 
 
 def permutation(clusters: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
@@ -312,14 +383,17 @@ def settle_copies(sigs: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame
 
 
 def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True, strategy: str = "heap") -> DataFrame:
-    """(i, root): signatures, candidate pairs (capped buckets or all pairs) and greedy clustering.
+    """(i, root): signatures, candidate pairs and greedy clustering. All pairs of every bucket count, unless `capped` asks
+    for those of capped buckets.
 
-    Of all pairs, those of copies that `settle_copies` settles are not unfolded; the roots are the same.
+    Of all pairs, those of copies that `settle_copies` settles are not looked at, and none is written; the roots are the same.
     """
     sets = materialize(row_sets(m), "hc-rows", "zstd")  # what the entries are made from is read once
     own = m.with_entries(sets.select("i", F.explode("cols").alias("j")).select("i", F.col("j").cast("long").alias("j"), F.lit(1.0).alias("v")))
-    if capped or n < 1 or k % n:
-        return hierarchical(own, lsh.candidates(own, k, n, seed, lsh.BUCKET_LIMIT if capped else None), cap, strategy, sets)
-    sigs, settled = settle_copies(materialize(lsh.signatures(own, k, seed), "lsh-signatures"), cap)
-    roots = hierarchical(own, lsh.candidates(own, k, n, seed, None, sigs=sigs), cap, strategy, sets)
+    if capped:
+        return hierarchical(own, lsh.candidates(own, k, n, seed), cap, strategy, sets)
+    if n < 1 or k % n:
+        return m.rows().select("i", F.col("i").alias("root"))
+    sigs, settled = settle_copies(materialize(lsh.packed_signatures(own, k, seed), "lsh-signatures"), cap)
+    roots = hierarchical(own, lsh.Buckets(sigs, k, n, own.ncols), cap, strategy, sets)
     return roots.join(settled.withColumnRenamed("root", "settled"), "i", "left").select("i", F.coalesce("settled", "root").alias("root"))

@@ -156,6 +156,45 @@ def _scored(m: Matrix, sigs: DataFrame, pairs: DataFrame, k: int, seed: int) ->
     return dealt.mapInArrow(run, "i long, j long, score double")
 
 
+def packed_signatures(m: Matrix, k: int = 64, seed: int = 12345) -> DataFrame:
+    """(i, sig binary): `signatures` as bytes, equal where places are equal."""
+    return _packed(signatures(m, k, seed), k, seed, m.ncols)
+
+
+class Buckets:
+    """All pairs of rows that share one of n bands of k places, without forming them. sigs: `packed_signatures`."""
+
+    def __init__(self, sigs: DataFrame, k: int, n: int, ncols: int):
+        self.sigs, self.k, self.kind = sigs, k, (np.int64 if ncols > 1 << 31 else np.int32)
+        self.n = n if n > 0 and k % n == 0 else 0  # no bands if n does not divide k
+
+    def banded(self) -> DataFrame:
+        """(i, band, part): as `bands`, a part as bytes."""
+        if not self.n:
+            return self.sigs.select("i", F.lit(0).alias("band"), F.col("sig").alias("part")).limit(0)
+        size = self.k // self.n * np.dtype(self.kind).itemsize
+        return self.sigs.select("i", F.posexplode(F.array(*[F.substring("sig", b * size + 1, size) for b in range(self.n)])).alias("band", "part"))
+
+    def frame(self) -> DataFrame:
+        """The pairs (i, j), i < j, formed."""
+        return bucket_pairs(self.banded(), None)
+
+    def count(self) -> int:
+        return self.frame().count()
+
+    def links(self) -> DataFrame:
+        """(i, j), j < i, that connect the rows of each bucket and no others; a row of no pair has none.
+
+        A row is linked to the first of its bucket and cell of row ids, and that to the bucket's first: no task has all
+        rows of a large bucket.
+        """
+        placed = self.banded().withColumn("cell", F.floor(F.col("i") / SCAN_BUCKET))
+        first = lambda *by: F.min("i").over(Window.partitionBy("band", "part", *by))
+        cells = placed.groupBy("band", "part", "cell").agg(F.min("i").alias("i"))
+        near, far = placed.withColumn("j", first("cell")), cells.withColumn("j", first())
+        return near.select("i", "j").unionByName(far.select("i", "j")).filter("i > j").distinct()
+
+
 def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS, sigs: DataFrame | None = None) -> DataFrame:
     """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once.
 
