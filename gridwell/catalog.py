@@ -470,13 +470,12 @@ def _(s, d):
     return sigs.join(nxt, "i").select(F.col("i").alias("a"), "b", lsh.estimated_jaccard(F.col("sig"), F.col("other")).alias("score"))
 
 
-def _hc(s, d, capped=True, strategy="heap"):
-    return cluster.preprocess(fixtures.document_tokens(s, d), K, BANDS, SEED, CLUSTER, capped, strategy)
+def _hc(s, d, strategy="heap"):
+    return cluster.preprocess(fixtures.document_tokens(s, d), K, BANDS, SEED, CLUSTER, strategy=strategy)
 
 
-QUERIES["hc_fast"] = _hc
-QUERIES["hc_v0"] = lambda s, d: _hc(s, d, capped=False, strategy="members")
-QUERIES["hc_v1"] = lambda s, d: _hc(s, d, capped=False)
+QUERIES["hc_fast"] = QUERIES["hc_v1"] = _hc
+QUERIES["hc_v0"] = lambda s, d: _hc(s, d, strategy="members")
 
 
 @_add("clsh_pipeline", f"select {N_DOC} as rows, true as permutes, true as covers, true as whole_clusters, true as in_bounds")

@@ -382,7 +382,7 @@ def settle_copies(sigs: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame
     return materialize(sigs.join(settled, "i", "left_anti"), "lsh-open"), settled
 
 
-def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = True, strategy: str = "heap") -> DataFrame:
+def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = False, strategy: str = "heap") -> DataFrame:
     """(i, root): signatures, candidate pairs and greedy clustering. All pairs of every bucket count, unless `capped` asks
     for those of capped buckets.
 
