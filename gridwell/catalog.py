@@ -490,13 +490,16 @@ def _(s, d):
     return told.crossJoin(placed.agg(F.bool_and("run").alias("whole_clusters"))).crossJoin(spans).select("rows", "permutes", "covers", "whole_clusters", "in_bounds")
 
 
-@_add("hc_linked", _with(DT, _COEF, _SIG, _BND, _CAPPED % (256, 16)) + f"select {N_DOC} as rows, 0::bigint as strays, 0::bigint as outside, {N_DOC} - (select count(*) from (select i from pr union select j from pr)) as alone from (select 1)")
+@_add("hc_linked", _with(DT, _COEF, _SIG, _BND, "pr as (select distinct a.i, b.i j from bd a join bd b on a.band = b.band and a.part = b.part and a.i < b.i)") + f"select {N_DOC} as rows, 0::bigint as strays, 0::bigint as outside, {N_DOC} - (select count(*) from (select i from pr union select j from pr)) as alone from (select 1)")
 def _(s, d):
-    """Roots that are not their own root, members that no pairs link to their root, rows without any pair."""
-    m = fixtures.document_tokens(s, d)
-    pairs = materialize(lsh.candidates(m, K, BANDS, SEED), "hc-all-pairs")
-    roots = materialize(cluster.hierarchical(m, pairs, CLUSTER), "hc-all-roots")
-    parts = connected_components(pairs, "i", "j").select(F.col("node").alias("i"), "component")
+    """Roots that are not their own root, members that no pairs link to their root, rows without any pair.
+
+    All pairs of every bucket count. What they link is what the links of their buckets do, so no pair is written.
+    """
+    m, sets = cluster.read_once(fixtures.document_tokens(s, d))
+    sigs = materialize(lsh.packed_signatures(m, K, SEED), "hc-all-signatures")
+    roots = materialize(cluster.preprocess(m, K, BANDS, SEED, CLUSTER, sets=sets, sigs=sigs), "hc-all-roots")
+    parts = connected_components(lsh.Buckets(sigs, K, BANDS, m.ncols).links(), "i", "j").select(F.col("node").alias("i"), "component")
     named = roots.join(parts, "i", "left").select("i", "root", F.coalesce("component", "i").alias("part"), F.col("component").isNull().alias("alone"))
     top = named.select(F.col("i").alias("root"), F.col("root").alias("own"), F.col("part").alias("root_part"))
     return named.join(top, "root").agg(F.count("*").alias("rows"), F.count_if(F.col("own") != F.col("root")).alias("strays"), F.count_if(F.col("part") != F.col("root_part")).alias("outside"), F.count_if(F.col("alone")).alias("alone"))

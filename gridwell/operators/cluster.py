@@ -382,18 +382,25 @@ def settle_copies(sigs: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame
     return materialize(sigs.join(settled, "i", "left_anti"), "lsh-open"), settled
 
 
-def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = False, strategy: str = "heap") -> DataFrame:
+def read_once(m: Matrix) -> tuple[Matrix, DataFrame]:
+    """m with its rows written, and row_sets of it: what the entries are made from is read once. Values become 1."""
+    sets = materialize(row_sets(m), "hc-rows", "zstd")
+    return m.with_entries(sets.select("i", F.explode("cols").alias("j")).select("i", F.col("j").cast("long").alias("j"), F.lit(1.0).alias("v"))), sets
+
+
+def preprocess(m: Matrix, k: int = 64, n: int = 16, seed: int = 7, cap: int = CAP, capped: bool = False, strategy: str = "heap", sets: DataFrame | None = None, sigs: DataFrame | None = None) -> DataFrame:
     """(i, root): signatures, candidate pairs and greedy clustering. All pairs of every bucket count, unless `capped` asks
     for those of capped buckets.
 
     Of all pairs, those of copies that `settle_copies` settles are not looked at, and none is written; the roots are the same.
+    sets, sigs: read_once's sets and lsh.packed_signatures, where the caller has written both; m is then read_once's matrix.
     """
-    sets = materialize(row_sets(m), "hc-rows", "zstd")  # what the entries are made from is read once
-    own = m.with_entries(sets.select("i", F.explode("cols").alias("j")).select("i", F.col("j").cast("long").alias("j"), F.lit(1.0).alias("v")))
+    own, sets = read_once(m) if sets is None else (m, sets)
     if capped:
         return hierarchical(own, lsh.candidates(own, k, n, seed), cap, strategy, sets)
     if n < 1 or k % n:
         return m.rows().select("i", F.col("i").alias("root"))
-    sigs, settled = settle_copies(materialize(lsh.packed_signatures(own, k, seed), "lsh-signatures"), cap)
+    sigs = materialize(lsh.packed_signatures(own, k, seed), "lsh-signatures") if sigs is None else sigs
+    sigs, settled = settle_copies(sigs, cap)
     roots = hierarchical(own, lsh.Buckets(sigs, k, n, own.ncols), cap, strategy, sets)
     return roots.join(settled.withColumnRenamed("root", "settled"), "i", "left").select("i", F.coalesce("settled", "root").alias("root"))

@@ -1,12 +1,13 @@
 """The clustering queries take all pairs of every bucket."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from gridwell import catalog
-from gridwell.operators import cluster
+from gridwell.operators import cluster, lsh
 from gridwell.plans import fixtures
 
 ROWS = 300
@@ -41,3 +42,13 @@ def expected(spark, documents):
 
 def test_hc_fast_takes_all_pairs(spark, documents, expected):
     assert {x.i: x.root for x in catalog.QUERIES["hc_fast"](spark, documents).collect()} == expected
+
+
+def test_hc_linked_and_its_sql_cut_no_bucket(spark, documents, monkeypatch):
+    limits, formed = [], lsh.bucket_pairs
+    monkeypatch.setattr(lsh, "bucket_pairs", lambda banded, limit=lsh.BUCKET_LIMIT, *rest: limits.append(limit) or formed(banded, limit, *rest))
+    got = [tuple(x) for x in catalog.QUERIES["hc_linked"](spark, documents).collect()]
+    assert not [x for x in limits if x is not None] and "row_number" not in catalog.ORACLE_SQL["hc_linked"]
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{documents}/documents.parquet'")
+    assert got == con.sql(catalog.ORACLE_SQL["hc_linked"]).fetchall() == [(ROWS + 2, 0, 0, 2)]
