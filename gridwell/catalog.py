@@ -460,7 +460,7 @@ def _(s, d):
 
 @_add("lsh_candidates", _with(DT, _COEF, _SIG, _BND, _CAPPED % (256, 16)) + f"select pr.i, pr.j, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {K} score from pr join sl x on x.i = pr.i join sl y on y.i = pr.j")
 def _(s, d):
-    return lsh.candidates(fixtures.document_tokens(s, d), K, BANDS, SEED)
+    return lsh.candidates(fixtures.document_tokens(s, d), K, BANDS, SEED, 256, 16)
 
 
 @_add("est_jaccard", _with(DT, _COEF, _SIG) + f"select x.i a, y.i b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {K} score from sl x join sl y on y.i = x.i + 1")

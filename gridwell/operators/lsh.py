@@ -76,10 +76,10 @@ def _run_pairs(banded: DataFrame, window: int) -> DataFrame:
     return dealt.withColumn("next", ahead).filter("home = run").select("i", F.explode("next").alias("j"))
 
 
-def bucket_pairs(banded: DataFrame, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS) -> DataFrame:
-    """Distinct (i, j), i < j, of rows that share a bucket; in buckets of over `limit` rows each with its next `window`.
+def bucket_pairs(banded: DataFrame, limit: int | None = None, window: int = WINDOW_ROWS) -> DataFrame:
+    """Distinct (i, j), i < j, of rows that share a bucket, by a join that deals buckets of many pairs to several tasks.
 
-    limit None gives all pairs of every bucket, by a join that deals buckets of many pairs to several tasks.
+    limit, only where it is asked for: in buckets of over `limit` rows each row meets its next `window` instead.
     """
     if limit is None:
         shared = banded.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1").select("band", "part")
@@ -195,7 +195,7 @@ class Buckets:
         return near.select("i", "j").unionByName(far.select("i", "j")).filter("i > j").distinct()
 
 
-def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = BUCKET_LIMIT, window: int = WINDOW_ROWS, sigs: DataFrame | None = None) -> DataFrame:
+def candidates(m: Matrix, k: int = 64, n: int = 16, seed: int = 12345, limit: int | None = None, window: int = WINDOW_ROWS, sigs: DataFrame | None = None) -> DataFrame:
     """(i, j, score) of candidate pairs, score the estimated similarity. Signatures are written once.
 
     sigs: signatures of the rows to pair, where the caller has written them. Where the blocks of signatures would be more than the signatures of each pair, these go with the pairs instead.

@@ -52,3 +52,13 @@ def test_hc_linked_and_its_sql_cut_no_bucket(spark, documents, monkeypatch):
     con = duckdb.connect()
     con.sql(f"create view documents as from '{documents}/documents.parquet'")
     assert got == con.sql(catalog.ORACLE_SQL["hc_linked"]).fetchall() == [(ROWS + 2, 0, 0, 2)]
+
+
+def test_hc_permutation_follows_all_pairs(spark, documents, expected):
+    order = sorted(expected, key=lambda i: (expected[i], i))
+    assert {x.new_row: x.old_row for x in catalog.QUERIES["hc_permutation"](spark, documents).collect()} == dict(enumerate(order))
+
+
+def test_no_cap_unless_asked_for(spark, documents):
+    banded = lsh.bands(catalog._sigs(spark, documents), catalog.K, catalog.BANDS)
+    assert lsh.bucket_pairs(banded).count() == lsh.bucket_pairs(banded, None).count() > lsh.bucket_pairs(banded, lsh.BUCKET_LIMIT).count()
